@@ -6,7 +6,6 @@ the n-grams of the longest length of which one at least is known, from longest t
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -21,7 +20,7 @@ from wardline.llm.common import cut, documents, hash52
 FIT_DOCUMENTS = 20_000
 VOCABULARY = 60_000
 NGRAMS = 40_000
-ORDERS = (5, 4, 3, 2, 1)
+ORDERS = (4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Below this confidence a text counts as rejected in a pipeline.
 LEAST_SCORE = 0.5
@@ -59,13 +58,13 @@ def fit_language_model(docs: DataFrame, sample: int = FIT_DOCUMENTS, vocabulary:
     langs = sorted({r["lang"] for r in whole})
     totals = {(r["kind"], r["lang"]): r["n"] for r in whole}
     per_item = counts.groupBy("kind", "item").agg(F.sum("n").alias("all_n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    tables = {}
+    index, rows = ({}, {}), []
     for kind, most in ((0, vocabulary), (1, ngrams)):
         top = per_item.where(F.col("kind") == kind).orderBy(F.desc("all_n"), "item").limit(most).select("item", "by").collect()
-        table = {r["item"]: np.array([r["by"].get(x, 0) for x in langs], float) for r in top}
-        floor = np.array([totals.get((kind, x), 0) for x in langs]) + 0.5 * (len(table) + 1)
-        tables[kind] = {k: np.log((v + 0.5) / floor) for k, v in table.items()}
-    return {"langs": langs, "words": tables[0], "grams": tables[1]}
+        index[kind].update((r["item"], len(rows) + i) for i, r in enumerate(top))
+        n = np.array([[r["by"].get(x, 0) for x in langs] for r in top], float).reshape(len(top), len(langs))
+        rows.extend(np.log((n + 0.5) / (np.array([totals.get((kind, x), 0) for x in langs]) + 0.5 * (len(top) + 1))))
+    return {"langs": langs, "words": index[0], "grams": index[1], "scores": np.array(rows).reshape(len(rows), len(langs))}
 
 
 def tallies(words: Counter):
@@ -82,10 +81,10 @@ def tallies(words: Counter):
 def word_scores(word: str, model: dict) -> np.ndarray | None:
     """Log frequency by language; None if neither the word nor any of its n-grams is known."""
     if (found := model["words"].get(word)) is not None:
-        return found
+        return model["scores"][found]
     for order in ORDERS:
-        if known := [s for g in grams(word, order) if (s := model["grams"].get(g)) is not None]:
-            return np.mean(known, axis=0)
+        if known := [i for g in grams(word, order) if (i := model["grams"].get(g)) is not None]:
+            return model["scores"][known].mean(axis=0)
     return None
 
 
