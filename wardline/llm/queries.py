@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import langid, mixing, pii, secrets, sharding, tokenids
+from wardline.llm import langid, mixing, packing, pii, secrets, sharding, tokenids
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_personal_data": pii.op1_personal_data,
         "op2_shard_documents": sharding.op2_shard_documents,
         "op4_secret_ledger": secrets.op4_secret_ledger,
+        "op6_pack_documents": packing.op6_pack_documents,
         "op7_language_id": langid.op7_language_id,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_token_ids": tokenids.op9_token_ids,
