@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from wardline.llm import langid, mixing, packing, pii, secrets, sharding, tokenids
+from wardline.llm import jaccard, langid, mixing, packing, pii, secrets, sharding, tokenids
 
 
 def queries() -> dict:
     return {
         "op1_personal_data": pii.op1_personal_data,
         "op2_shard_documents": sharding.op2_shard_documents,
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_secret_ledger": secrets.op4_secret_ledger,
         "op6_pack_documents": packing.op6_pack_documents,
         "op7_language_id": langid.op7_language_id,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": mixing.SQL}
+    return {"op3_jaccard_join": jaccard.SQL, "op8_mix_sources": mixing.SQL}
