@@ -89,22 +89,24 @@ def word_scores(word: str, model: dict) -> np.ndarray | None:
 
 
 class Scores(dict):
-    """Raw token -> index of its summed scores; a token is worked out once per task."""
+    """Raw token -> row of its summed scores and number of words; a token is worked out once per task."""
 
     def __init__(self, model: dict, most: int = 300_000):
-        self.model, self.most, self.rows = model, most, [np.zeros(len(model["langs"]) + 1)]
+        self.model, self.most = model, most
+        self.rows = np.zeros((4096, len(model["langs"]) + 1))
+        self.used = 1  # row 0: no letter
 
     def __missing__(self, token: str) -> int:
-        parts = LETTERS.findall(token)
-        sums = np.zeros(len(self.model["langs"]) + 1)
-        for w in parts:
-            if (s := word_scores(w, self.model)) is not None:
-                sums[:-1] += s
-                sums[-1] += 1
-        i = 0
+        i, parts = 0, LETTERS.findall(token)
         if parts:
-            self.rows.append(sums)
-            i = len(self.rows) - 1
+            i, self.used = self.used, self.used + 1
+            if i == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[i] = 0
+            for w in parts:
+                if (s := word_scores(w, self.model)) is not None:
+                    self.rows[i, :-1] += s
+                    self.rows[i, -1] += 1
         self[token] = i
         return i
 
@@ -117,13 +119,11 @@ def predict(text: str | None, scores: Scores) -> tuple[str, float]:
     tokens = text.lower().split()
     if len(scores) > scores.most:
         scores.clear()
-        del scores.rows[1:]
+        scores.used = 1
     ids = np.fromiter(map(scores.__getitem__, tokens), np.int64, len(tokens))
-    ids = ids[ids > 0]
-    if not len(ids):
+    if not ids.any():
         return UNKNOWN, 0.0
-    uniq, n = np.unique(ids, return_counts=True)
-    total = n @ np.array([scores.rows[i] for i in uniq])
+    total = scores.rows[ids].sum(0)
     if not total[-1]:
         return langs[0], 1 / len(langs)
     mean = total[:-1] / total[-1] * min(total[-1], 10.0)  # belief grows with up to ten words

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import jaccard, langid, mixing, packing, pii, secrets, sharding, tokenids
+from wardline.llm import ann, jaccard, langid, mixing, neardup, packing, pii, secrets, sharding, tokenids
 
 
 def queries() -> dict:
@@ -11,12 +11,14 @@ def queries() -> dict:
         "op2_shard_documents": sharding.op2_shard_documents,
         "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_secret_ledger": secrets.op4_secret_ledger,
+        "op5_embedding_neardup": neardup.op5_embedding_neardup,
         "op6_pack_documents": packing.op6_pack_documents,
         "op7_language_id": langid.op7_language_id,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_token_ids": tokenids.op9_token_ids,
+        "op10_nearest": ann.op10_nearest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": jaccard.SQL, "op8_mix_sources": mixing.SQL}
+    return {"op3_jaccard_join": jaccard.SQL, "op5_embedding_neardup": neardup.SQL, "op10_nearest": ann.SQL, "op8_mix_sources": mixing.SQL}
