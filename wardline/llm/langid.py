@@ -23,7 +23,7 @@ NGRAMS = 40_000
 ORDERS = (4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Below this confidence a text counts as rejected in a pipeline.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 UNKNOWN = "und"
 
 

@@ -83,8 +83,8 @@ def take_words(docs: DataFrame, **rules) -> DataFrame:
     part = (F.col("taken") - whole * F.col("size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(-1), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     rows = mixed.withColumn("words", F.explode(copies))
-    head = F.regexp_extract(F.col("row")["text"], F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("words").cast("string"), F.lit("}")), 0)
-    text = F.when(F.col("words") < 0, F.col("row")["text"]).otherwise(F.rtrim(head))
+    pieces = F.regexp_extract_all(F.col("row")["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("words") < 0, F.col("row")["text"]).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.greatest("words", F.lit(0))), ""))
     out = {c: F.col("row")[c] for c in docs.columns} | {"text": text}
     if "n_chars" in out:
         out["n_chars"] = F.when(F.col("words") < 0, F.col("row")["n_chars"]).otherwise(F.length(text).cast("long"))
