@@ -1,7 +1,7 @@
 """URL parts and the 32 lexical URL features, as native column expressions.
 
-All of it is one narrow projection: the edit distances to the brand list are unrolled into built-in
-levenshtein calls, which cost less per row than shuffling rows to share them by domain would.
+All of it is narrow projection: built-in levenshtein calls for a list of brands cost less per row than
+shuffling rows to share them by domain would.
 """
 
 from __future__ import annotations
@@ -87,12 +87,12 @@ def url_features(df: DataFrame, url_col: str = "url", brands=fixed.BRANDS, short
     risks = fixed.ENDING_RISK if risks is None else risks
     brand = base.isin(*brands) if brands else F.lit(False)
     letters = F.regexp_count(host, F.lit(r"\p{L}"))
-    dist = {b: F.levenshtein(base, F.lit(b)) for b in brands}
-    longest = {b: F.greatest(F.length(base), F.lit(len(b))) for b in brands}
-    near = [1 - dist[b] / longest[b] for b in brands]
-    alike = [F.when((r > 0.6) & (r < 1.0), r).otherwise(0.0) for r in near]
-    inside = [F.when(base.contains(b.split(".")[0]) & (base != b.split(".")[0]), 0.85).otherwise(0.0) for b in brands]
-    nearest = F.array_min(F.array(*(F.struct(dist[b].alias("d"), F.lit(i).alias("i"), longest[b].alias("n")) for i, b in enumerate(brands))))
+    known = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(i).alias("i"), F.lit(b.split(".")[0]).alias("name")) for i, b in enumerate(brands)))
+    df = df.withColumn("_near", F.transform(known, lambda x: F.struct(
+        F.levenshtein(base, x["b"]).alias("d"), x["i"].alias("i"), F.greatest(F.length(base), F.length(x["b"])).alias("n"), (base.contains(x["name"]) & (base != x["name"])).alias("inside"),
+    )))
+    likeness = F.transform("_near", lambda x: F.greatest(F.when((x["d"] > 0) & (1 - x["d"] / x["n"] > 0.6), 1 - x["d"] / x["n"]).otherwise(0.0), F.when(x["inside"], 0.85).otherwise(0.0)))
+    nearest = F.array_min("_near")
     tokens = F.filter(F.split(address, r"[./\-_?&=]"), lambda t: t.rlike(r"^\p{L}+$"))
     low_path = F.lower(path)
     out = {
@@ -110,13 +110,14 @@ def url_features(df: DataFrame, url_col: str = "url", brands=fixed.BRANDS, short
         "special_char_count": F.length(address) - F.length(F.translate(address, SPECIAL, "")),
         "consonant_ratio": F.when(letters > 0, F.round(F.regexp_count(host, F.lit("[b-df-hj-np-tv-z]")) / letters, 4)).otherwise(0.0),
         "longest_word_length": F.coalesce(F.array_max(F.transform(tokens, F.length)), F.lit(0)),
-        "brand_impersonation_score": F.when(brand, 0.0).otherwise(F.round(F.greatest(*alike, *inside), 4)),
+        "brand_impersonation_score": F.when(brand, 0.0).otherwise(F.round(F.array_max(likeness), 4)),
         "subdomain_brand_match": flag(~brand & any_in(F.array_join(subs, "."), [b.split(".")[0] for b in brands])),
         "suspicious_keywords": F.least(hits(F.lower(address), fixed.URL_WORDS), F.lit(6)), "login_path_score": F.round(F.least(hits(low_path, fixed.PATH_WORDS) / 3.0, F.lit(1.0)), 4),
         "levenshtein_min": F.when(brand, 99).otherwise(nearest["d"]), "levenshtein_ratio": F.when(brand, 1.0).otherwise(F.round(nearest["d"] / nearest["n"], 4)),
     }
     kinds = {k: "double" if k.endswith(("ratio", "score", "entropy")) else "int" for k in out}
     df = df.withColumns({k: F.when(u["ok"], v).otherwise(0).cast(kinds[k]) for k, v in out.items()} | {"struct_ok": u["ok"]})
+    df = df.drop("_near")
     return df if keep_parts else df.drop("u")
 
 
