@@ -7,18 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but these six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
+from wardline.sources.shared import cut, shared_dir
 
+__all__ = ["WORD", "as_int", "cut", "documents", "embeddings", "hash52", "saved", "shared_dir", "word_count", "worker_cache"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        sc.setCheckpointDir(f"/tmp/wardline-checkpoints-{uuid.uuid4().hex}")
-        found = sc.getCheckpointDir()
-    return found
+#: Words are runs of anything but these six ASCII white-space characters.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -28,10 +22,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder; Spark removes its files when the frame is no longer used."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+_caches: dict = {}
+
+
+def worker_cache(name, make):
+    """What a Python worker keeps from task to task: one thing at a time, so that stages don't add up their memory."""
+    if name not in _caches:
+        _caches.clear()
+        _caches[name] = make()
+    return _caches[name]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

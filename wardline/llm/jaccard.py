@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import as_int, cut, documents, saved
+from wardline.llm.common import as_int, cut, documents, saved, worker_cache
 from wardline.llm.components import connected_components
 
 WORDS = 5
@@ -32,7 +32,8 @@ BUCKET = 1_500_000  # shingles a bucket
 FREQUENT = 16  # a shingle in more classes than this comes last in the order
 MOST_FREQUENT = 1_000_000  # bound of the table of frequent shingles; beyond it the rarest of them keep their place
 LARGEST_LIGHT = 12
-CHUNK = 2_000_000  # shingles that a task holds
+CHUNK = 1_000_000  # shingles that a task holds
+MOST_WORDS = 500_000  # hashes of words that a Python worker keeps
 U = np.uint64
 
 
@@ -42,6 +43,10 @@ class WordHashes(dict):
         return h
 
 
+def word_hashes() -> WordHashes:
+    return worker_cache("words", WordHashes)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
@@ -53,7 +58,7 @@ def shingles(text: str | None, known: WordHashes, words: int = WORDS) -> np.ndar
     parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not parts:
         return np.zeros(0, np.uint64)
-    if len(known) > 1_000_000:
+    if len(known) > MOST_WORDS:
         known.clear()
     w = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
     k = min(words, len(w))
@@ -121,7 +126,7 @@ def shingle_key(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def chunks(batches, words: int):
     """Classes of a task's texts, each once a chunk: (numbers, sets)."""
-    known, ids, sets, seen, n = WordHashes(), [], [], set(), 0
+    known, ids, sets, seen, n = word_hashes(), [], [], set(), 0
     for batch in batches:
         for text in batch["text"]:
             s = shingles(text.as_py(), known, words)
@@ -148,7 +153,7 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, class of every row."""
 
     def run(batches):
-        known = WordHashes()
+        known = word_hashes()
         for batch in batches:
             sets = [shingles(t, known, words) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class"])
@@ -341,7 +346,7 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
     both = pairs.select("a", "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
-        known, last, kept = WordHashes(), None, None
+        known, last, kept = word_hashes(), None, None
         for batch in batches:
             links = []
             for a, b, ta, tb in zip(*(batch[c].to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):

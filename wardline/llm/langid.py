@@ -7,6 +7,7 @@ the n-grams of the longest length of which one at least is known, from longest t
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, documents, hash52
+from wardline.llm.common import cut, documents, hash52, worker_cache
 
 #: Bounds of the model, which are also the bounds of what the driver gathers and sends out.
 FIT_DOCUMENTS = 20_000
@@ -64,7 +65,7 @@ def fit_language_model(docs: DataFrame, sample: int = FIT_DOCUMENTS, vocabulary:
         index[kind].update((r["item"], len(rows) + i) for i, r in enumerate(top))
         n = np.array([[r["by"].get(x, 0) for x in langs] for r in top], float).reshape(len(top), len(langs))
         rows.extend(np.log((n + 0.5) / (np.array([totals.get((kind, x), 0) for x in langs]) + 0.5 * (len(top) + 1))))
-    return {"langs": langs, "words": index[0], "grams": index[1], "scores": np.array(rows).reshape(len(rows), len(langs))}
+    return {"fit": uuid.uuid4().hex, "langs": langs, "words": index[0], "grams": index[1], "scores": np.array(rows).reshape(len(rows), len(langs))}
 
 
 def tallies(words: Counter):
@@ -89,7 +90,7 @@ def word_scores(word: str, model: dict) -> np.ndarray | None:
 
 
 class Scores(dict):
-    """Raw token -> row of its summed scores and number of words; a token is worked out once per task."""
+    """Raw token -> row of its summed scores and number of words; a token is worked out once in a Python worker."""
 
     def __init__(self, model: dict, most: int = 300_000):
         self.model, self.most = model, most
@@ -137,10 +138,10 @@ def identify_language(docs: DataFrame, model: dict) -> DataFrame:
 
     und with score 0 for null, empty or letterless texts. Ties go to the first language in order of name.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, fit = docs.sparkSession.sparkContext.broadcast(model), model["fit"]
 
     def run(batches):
-        scores = Scores(sent.value)
+        scores = worker_cache(("scores", fit), lambda: Scores(sent.value))
         for batch in batches:
             found = [predict(t, scores) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -150,10 +151,10 @@ def identify_language(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep_known_language(docs: DataFrame, model: dict, least: float = LEAST_SCORE) -> DataFrame:
     """docs, with all their columns, without texts that have no language or none with confidence."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, fit = docs.sparkSession.sparkContext.broadcast(model), model["fit"]
 
     def run(batches):
-        scores = Scores(sent.value)
+        scores = worker_cache(("scores", fit), lambda: Scores(sent.value))
         for batch in batches:
             found = [predict(t, scores) for t in batch["text"].to_pylist()]
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))

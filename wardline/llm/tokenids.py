@@ -11,21 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardline.llm.common import documents, saved
+from wardline.llm.common import documents, saved, worker_cache
 from wardline.llm.tokens import Container, Encoder, write_container
 
 END = 2
 CONTAINER_IDS = 2_000_000
 ROWS = 256  # texts encoded at a time
 
-_encoders: dict = {}
-
-
 def encoder(path: str | None) -> Encoder:
     """One encoder in each Python worker; it is kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return worker_cache(("encoder", path), lambda: Encoder(path))
 
 
 def containers(docs: DataFrame, end: int = END, most_ids: int = CONTAINER_IDS, tokenizer: str | None = None) -> DataFrame:
