@@ -46,6 +46,11 @@ def named(prefix: str) -> dict[str, str]:
     return {"probabilityCol": f"{prefix}_probability", "rawPredictionCol": f"{prefix}_raw", "predictionCol": f"{prefix}_prediction"}
 
 
+def renamed(estimator, prefix: str):
+    """The estimator with outputs under its own prefix."""
+    return estimator.setProbabilityCol(f"{prefix}_probability").setRawPredictionCol(f"{prefix}_raw").setPredictionCol(f"{prefix}_prediction")
+
+
 class Component:
     """Boosted trees and a forest that vote, calibrated by a logistic curve on validation rows."""
 
@@ -74,8 +79,8 @@ def fit_component(train: DataFrame, validation: DataFrame, columns: list[str], l
     prepared = scaler(train, columns)
     rows = balanced(prepared.transform(train), label).select(label, "features", "class_weight").cache()
     trees = [
-        GBTClassifier(labelCol=label, featuresCol="features", seed=seed, **named("boosted"), **(BOOSTED | (boosted or {}))).fit(rows),
-        RandomForestClassifier(labelCol=label, featuresCol="features", weightCol="class_weight", seed=seed, **named("forest"), **(FOREST | (forest or {}))).fit(rows),
+        renamed(GBTClassifier(labelCol=label, seed=seed, **(BOOSTED | (boosted or {}))), "boosted").fit(rows),
+        renamed(RandomForestClassifier(labelCol=label, weightCol="class_weight", seed=seed, **(FOREST | (forest or {}))), "forest").fit(rows),
     ]
     rows.unpersist()
     component = Component(prepared, trees, None, vote)

@@ -118,14 +118,18 @@ URL_CHANGES: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def new_element(tag: str, attrs: dict[str, str], text: str | None = None, hidden: bool = False, parent: str = "body", raw: bool = False) -> Column:
-    pairs = [F.lit(x) for kv in attrs.items() for x in kv]
-    made = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    return F.struct(F.lit(0).alias("seq"), F.lit(tag).alias("tag"), made.cast("map<string,string>").alias("attrs"), F.lit(text).cast("string").alias("text"), F.lit(parent).alias("parent"), F.lit(hidden).alias("hidden"), F.lit(raw).alias("raw"), F.lit(-1).alias("form"))
+def new_element(tag: str, attrs: dict[str, str], text: str | None = None, hidden: bool = False, parent: str = "body", raw: bool = False) -> Callable[[], Column]:
+    """Makes the element when a plan is built."""
 
+    def make() -> Column:
+        pairs = F.create_map(*(F.lit(x) for kv in attrs.items() for x in kv)).cast("map<string,string>")
+        return F.struct(F.lit(0).alias("seq"), F.lit(tag).alias("tag"), pairs.alias("attrs"), F.lit(text).cast("string").alias("text"), F.lit(parent).alias("parent"), F.lit(hidden).alias("hidden"), F.lit(raw).alias("raw"), F.lit(-1).alias("form"))
 
-def with_element(*elements: Column, first: bool = False):
-    return lambda own: F.concat(F.array(*elements), own) if first else F.concat(own, F.array(*elements))
+    return make
+
+
+def with_element(make: Callable[[], Column], first: bool = False):
+    return lambda own: F.concat(F.array(make()), own) if first else F.concat(own, F.array(make()))
 
 
 def each(change: Callable[[Column], dict[str, Column]]):
