@@ -22,6 +22,7 @@ MAGIC = b"WEF1"
 HEADER = struct.Struct("<4sBBxxIQQII")  # magic, bytes per id, low bits, documents, ids, high bits, bytes of low bits, samples
 SAMPLE = 64
 #: A blank inside white space, where a cut would part what the tokenizer takes as one piece.
+WORDS = re.compile(r"( ?[^\W\d_]+)([.,;:!?|]?)(?:(\n)([^\W\d_]+)([.,;:!?|]?))?")
 INNER_BLANK = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -33,7 +34,7 @@ class Encoder:
     pieces are encoded once. A text that holds any other blank is encoded in one go.
     """
 
-    def __init__(self, path: str | None = None, most: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str | None = None, most: int = 1_500_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,6 +46,25 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, new: list[str]) -> None:
+        """Adds pieces. Words, a mark behind them and a line break between them are always pieces of their own to the tokenizer."""
+        known, plain, made = self.known, set(), []
+        for p in new:
+            if p[-1:].isalpha() and "\n" not in p:
+                plain.add(p)
+                continue
+            m = WORDS.fullmatch(p)
+            parts = [x for x in m.groups() if x] if m else [p]
+            if len(parts) > 1 and parts[0].lstrip(" ").isalpha() and (m[4] is None or m[4].isalpha()):
+                made.append((p, parts))
+                plain.update(x for x in parts if x not in known)
+            else:
+                plain.add(p)
+        fresh = list(plain)
+        known.update(zip(fresh, self.ids(fresh), strict=True))
+        for p, parts in made:
+            known[p] = b"".join([known[x] for x in parts])
+
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and the end id, as bytes in this encoder's width."""
         tail = array(self.code, [end]).tobytes()
@@ -56,7 +76,7 @@ class Encoder:
                 del self.known[p]
         known = self.known
         new = [p for p in set(chain.from_iterable(pieces)) if p not in known]
-        known.update(zip(new, self.ids(new), strict=True))
+        self.learn(new)
         out = [(whole[i] if i in whole else b"".join(map(known.__getitem__, own))) + tail for i, own in enumerate(pieces)]
         for p in new:
             if len(p) > self.longest:
