@@ -115,13 +115,19 @@ def unsqueeze(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (h >> U(40)) % U(buckets)
+def turned(h: np.ndarray) -> np.ndarray:
+    """h with its halves exchanged. Prefixes follow h, so buckets are ranges of this."""
+    return h << U(32) | h >> U(32)
+
+
+def bucket_of(r: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each turned hash, rising with it."""
+    return (r >> U(32)) * U(buckets) >> U(32)
 
 
 def shingle_key(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and 24 bits of the rest: what frequencies are counted by."""
-    return bucket_of(h, buckets) << U(24) | h & U(0xFFFFFF)
+    """Bucket and 24 more bits: what frequencies are counted by."""
+    return bucket_of(turned(h), buckets) << U(24) | h >> U(40)
 
 
 def chunks(batches, words: int):
@@ -142,11 +148,10 @@ def chunks(batches, words: int):
         yield ids, sets
 
 
-def by_bucket(key: np.ndarray, bucket: np.ndarray):
-    """The order that sorts by bucket and key, and (bucket, slice) of each bucket in it."""
-    order = np.lexsort((key, bucket))
-    own, first = np.unique(bucket[order], return_index=True)
-    return order, [(int(b), slice(i, j)) for b, i, j in zip(own, first, [*first[1:], len(order)], strict=True)]
+def runs(bucket: np.ndarray):
+    """(bucket, slice) of each bucket in sorted buckets."""
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
+    return [(int(bucket[i]), slice(int(i), int(j))) for i, j in zip(first, [*first[1:], len(bucket)], strict=True)]
 
 
 def classes(docs: DataFrame, words: int) -> DataFrame:
@@ -166,10 +171,8 @@ def frequencies(docs: DataFrame, words: int, buckets: int) -> DataFrame:
 
     def count(batches):
         for _, sets in chunks(batches, words):
-            h = np.concatenate(sets)
-            low, bucket = h & U(0xFFFFFF), bucket_of(h, buckets)
-            order, parts = by_bucket(low, bucket)
-            low = low[order].astype(np.uint32)
+            key = np.sort(shingle_key(np.concatenate(sets), buckets))
+            low, parts = (key & U(0xFFFFFF)).astype(np.uint32), runs(key >> U(24))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), pa.array([squeeze(np.diff(low[s], prepend=np.uint32(0))) for _, s in parts], pa.binary())], ["bucket", "data"])
 
     def total(table: pa.Table) -> pa.Table:
@@ -187,6 +190,8 @@ def signatures(docs: DataFrame, words: int, buckets: int, frequent, boundary: in
 
     def run(batches):
         keys, dfs = frequent.value
+        likely = np.zeros(1 << 24, bool)
+        likely[keys & U(0xFFFFFF)] = True
         for ids, sets in chunks(batches, words):
             table = np.zeros((len(ids), 3), np.int64)  # class, size, rare shingles in its prefix
             rare, often, light = ([], []), ([], []), ([], [])
@@ -205,24 +210,30 @@ def signatures(docs: DataFrame, words: int, buckets: int, frequent, boundary: in
                     continue
                 p = prefix_length(n, percent)
                 key = shingle_key(s, buckets)
-                at = np.searchsorted(keys, key)
-                at[at == len(keys)] = 0
-                hot = keys[at] == key if len(keys) else np.zeros(n, bool)
+                hot = likely[key & U(0xFFFFFF)]
+                if hot.any():
+                    at = np.searchsorted(keys, key[hot])
+                    at[at == len(keys)] = 0
+                    known_ = keys[at] == key[hot]
+                    hot[hot] = known_
+                    at = at[known_]
                 first = s[~hot][:p]
                 table[k, 2] = len(first)
                 rare[0].append(first)
                 rare[1].append(np.full(len(first), k, np.uint32))
-                if len(first) < p:
-                    rest = s[hot][np.lexsort((s[hot], dfs[at[hot]]))][: p - len(first)]
+                # A set links by frequent shingles alone only if they are enough; other links show in the lists of rare ones.
+                if len(first) < p and 100 * int(hot.sum()) >= percent * n:
+                    rest = s[hot][np.lexsort((s[hot], dfs[at]))][: p - len(first)]
                     often[0].append(rest)
                     often[1].append(np.full(len(rest), k, np.uint32))
             rows = []
             for kind, (hs, ks) in enumerate((rare, light)):
                 if hs:
-                    h, of = np.concatenate(hs), np.concatenate(ks)
-                    order, parts = by_bucket(h, bucket_of(h, buckets))
-                    for b, part in parts:
-                        rows.append((b * 2 + kind, pack(table, h[order][part], of[order][part], kind)))
+                    r, of = turned(np.concatenate(hs)), np.concatenate(ks)
+                    order = np.argsort(r)
+                    r, of = r[order], of[order]
+                    for b, part in runs(bucket_of(r, buckets)):
+                        rows.append((b * 2 + kind, pack(table, r[part], of[part], kind)))
             if often[0]:
                 rows.append((-1, pack(table, np.concatenate(often[0]), np.concatenate(often[1]), 0)))
             for i in range(0, len(rows), 64):
@@ -274,10 +285,10 @@ def listed_pairs(parts: DataFrame, percent: int) -> DataFrame:
         table, h, of = unpack([x.as_py() for x in group["data"]], kind)
         side = of & 1 if kind else np.zeros_like(of)
         of = one_number(table, of >> kind)
-        order = np.lexsort((of, side, h))
+        order = np.lexsort((of, h))
         h, of, side = h[order], of[order], side[order]
         keep = np.ones(len(h), bool)
-        keep[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1]) | (side[1:] != side[:-1])
+        keep[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
         h, of, side = h[keep], of[keep], side[keep]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         length = np.diff(np.append(first, len(h)))
@@ -339,6 +350,12 @@ def possible(percent: int):
     return sizes & (F.col("shared") + F.col("unseen") + rest >= needed)
 
 
+def enough_frequent(n_a, rare_a, n_b, rare_b, percent: int):
+    """Whether two sets of frequent lists that share no rare shingle may link: all their rare shingles are in their prefixes."""
+    needed = F.ceil(percent * (n_a + n_b) / (100 + percent))
+    return (F.least(n_a - rare_a, n_b - rare_b) >= needed) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs a, b of classes that link, by their whole sets."""
     need = reps.join(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "class", "left_semi")
@@ -390,9 +407,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     maybe = listed.where("least >= 0").withColumn("unseen", unseen).where(possible(percent)).select("a", "b")
 
     rows = cut(frequent_rows(parts.where("bucket = -1")).distinct())
-    heads = rows.groupBy("h").agg(F.min(F.struct("rare", "class", "n")).alias("first"), F.min(F.struct("class", "n")).alias("second"))
-    central = rows.join(heads, "h").select("class", "n", F.explode(F.array(F.struct(F.col("first.class").alias("class"), F.col("first.n").alias("n")), F.col("second"))).alias("head"))
-    fits = 100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n")
+    heads = rows.groupBy("h").agg(F.min(F.struct("rare", "class", "n")).alias("first"), F.min(F.struct("class", "n", "rare")).alias("second"))
+    head = lambda c: F.struct(*(F.col(f"{c}.{x}").alias(x) for x in ("class", "n", "rare")))
+    central = rows.join(heads, "h").select("class", "n", "rare", F.explode(F.array(head("first"), head("second"))).alias("head"))
+    fits = enough_frequent(F.col("n"), F.col("rare"), F.col("head.n"), F.col("head.rare"), percent)
     central = central.where(fits & (F.col("class") != F.col("head.class"))).select(F.least("class", "head.class").alias("a"), F.greatest("class", "head.class").alias("b"))
     links = cut(verified(maybe.union(central).distinct(), docs, reps, words, percent).union(sure).distinct())
 
@@ -404,12 +422,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     left = cut(placed.join(mains, "h"))
     if left.limit(1).count():
         u, y = left.where("component <> main").alias("u"), left.alias("y")
-        crossing = u.join(y, (F.col("u.h") == F.col("y.h")) & (F.col("u.component") != F.col("y.component")) & (100 * F.least("u.n", "y.n") >= percent * F.greatest("u.n", "y.n")))
+        crossing = u.join(y, (F.col("u.h") == F.col("y.h")) & (F.col("u.component") != F.col("y.component")) & enough_frequent(F.col("u.n"), F.col("u.rare"), F.col("y.n"), F.col("y.rare"), percent))
         a_first = F.col("u.class") < F.col("y.class")
         side = lambda c, flip: F.when(a_first, F.col(f"u.{c}")).otherwise(F.col(f"y.{c}")) if not flip else F.when(a_first, F.col(f"y.{c}")).otherwise(F.col(f"u.{c}"))
         crossing = crossing.select("u.h", *(side(c, flip).alias(x + s) for s, flip in (("a", False), ("b", True)) for c, x in (("class", ""), ("n", "n_"), ("rare", "rare_"))))
         counted = crossing.groupBy("a", "b").agg(F.count_distinct("h").alias("shared"), *(F.max(c).alias(c) for c in ("n_a", "n_b", "rare_a", "rare_b")))
-        more = cut(counted.withColumn("unseen", F.least("rare_a", "rare_b")).where(possible(percent)).select("a", "b"))
+        more = cut(counted.withColumn("unseen", F.lit(0)).where(possible(percent)).select("a", "b"))
         links = links.union(verified(more, docs, reps, words, percent))
         found = cut(connected_components(edges(links)))
     placed = sets.join(node, "class", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
