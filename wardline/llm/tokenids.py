@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardline.llm.common import documents, saved, worker_cache
+from wardline.llm.common import documents, saved, without_cycle_search, worker_cache
 from wardline.llm.tokens import Container, Encoder, write_container
 
 END = 2
@@ -43,7 +43,9 @@ def containers(docs: DataFrame, end: int = END, most_ids: int = CONTAINER_IDS, t
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(i, ROWS)
-                for name, ids in zip(batch["doc_id"].to_pylist(), enc.encode([t or "" for t in batch["text"].to_pylist()], end), strict=True):
+                with without_cycle_search():
+                    encoded = enc.encode([t or "" for t in batch["text"].to_pylist()], end)
+                for name, ids in zip(batch["doc_id"].to_pylist(), encoded, strict=True):
                     names.append(name)
                     held.append(ids)
                     n += len(ids) // enc.width

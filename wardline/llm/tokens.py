@@ -22,7 +22,7 @@ MAGIC = b"WEF1"
 HEADER = struct.Struct("<4sBBxxIQQII")  # magic, bytes per id, low bits, documents, ids, high bits, bytes of low bits, samples
 SAMPLE = 64
 #: A blank inside white space, where a cut would part what the tokenizer takes as one piece.
-WORDS = re.compile(r"( ?[^\W\d_]+)([.,;:!?|]?)(?:(\n)([^\W\d_]+)([.,;:!?|]?))?")
+WORDS = re.compile(r"([^\W\d_]+)([.,;:!?|]?)(?:(\n)([^\W\d_]+)([.,;:!?|]?))?")
 INNER_BLANK = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -46,51 +46,56 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, new: list[str]) -> None:
-        """Adds pieces. Words, a mark behind them and a line break between them are always pieces of their own to the tokenizer."""
+    def learn(self, new: set[str]) -> None:
+        """Adds pieces, kept without the blank before them. Words, a mark behind them and a line break between them are always pieces of their own to the tokenizer."""
         known, plain, made = self.known, set(), []
         for p in new:
-            if p[-1:].isalpha() and "\n" not in p:
+            if p.isalpha():
                 plain.add(p)
                 continue
             m = WORDS.fullmatch(p)
             parts = [x for x in m.groups() if x] if m else [p]
-            if len(parts) > 1 and parts[0].lstrip(" ").isalpha() and (m[4] is None or m[4].isalpha()):
+            if len(parts) > 1 and parts[0].isalpha() and (m[4] is None or m[4].isalpha()):
                 made.append((p, parts))
-                plain.update(x for x in parts if x not in known)
+                if parts[0] not in known:
+                    plain.add(parts[0])
             else:
                 plain.add(p)
         fresh = list(plain)
-        known.update(zip(fresh, self.ids(fresh), strict=True))
+        known.update(zip(fresh, self.ids([" " + p for p in fresh]), strict=True))
+        inner = list({x for _, parts in made for x in parts[1:]})
+        behind = dict(zip(inner, self.ids(inner), strict=True))
         for p, parts in made:
-            known[p] = b"".join([known[x] for x in parts])
+            known[p] = b"".join([known[parts[0]], *(behind[x] for x in parts[1:])])
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """The ids of each text and the end id, as bytes in this encoder's width."""
         tail = array(self.code, [end]).tobytes()
-        odd = [i for i, t in enumerate(texts) if INNER_BLANK.search(t)]
-        whole = dict(zip(odd, self.ids([texts[i] for i in odd]), strict=True))
-        pieces = [[] if i in whole else cut_before_blanks(t) for i, t in enumerate(texts)]
+        odd = {i for i, t in enumerate(texts) if INNER_BLANK.search(t)}
+        plain = [i for i in range(len(texts)) if i not in odd]
+        cut = [texts[i].split(" ") for i in plain]
+        alone = dict(zip([*odd, *plain], self.ids([*(texts[i] for i in odd), *(c[0] for c in cut)]), strict=True))  # a text's first piece has no blank before it
         if len(self.known) > self.most:  # what was met first is met most
             for p in list(islice(self.known, self.most // 2, None)):
                 del self.known[p]
-        known = self.known
-        new = [p for p in set(chain.from_iterable(pieces)) if p not in known]
+        flat = list(chain.from_iterable(c[1:] for c in cut))
+        found = list(map(self.known.get, flat))
+        missing = [k for k, v in enumerate(found) if v is None]
+        new = {flat[k] for k in missing}
         self.learn(new)
-        out = [(whole[i] if i in whole else b"".join(map(known.__getitem__, own))) + tail for i, own in enumerate(pieces)]
+        for k in missing:
+            found[k] = self.known[flat[k]]
+        at, pieces = 0, {}
+        for i, c in zip(plain, cut, strict=True):
+            pieces[i] = found[at : at + len(c) - 1]
+            at += len(c) - 1
+        out = [b"".join([alone[i], *pieces.get(i, ()), tail]) for i in range(len(texts))]
         for p in new:
             if len(p) > self.longest:
-                del known[p]
+                del self.known[p]
         return out
 
 
-def cut_before_blanks(text: str) -> list[str]:
-    if "\0" not in text:
-        return text.replace(" ", "\0 ").split("\0")
-    first, *rest = text.split(" ")
-    return [first, *(" " + x for x in rest)]
-
-
 def pack_low(values: np.ndarray, bits: int) -> bytes:
     if not bits:
         return b""
