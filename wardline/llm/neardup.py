@@ -36,7 +36,7 @@ class Graph:
     """A hierarchical navigable small-world graph over rows of unit vectors."""
 
     def __init__(self, x: np.ndarray, layers: list[np.ndarray] | None = None, entry: int = 0):
-        self.x, self.layers, self.entry = x, layers if layers is not None else [], entry
+        self.x, self.layers, self.entry, self.both = x, layers if layers is not None else [], entry, None
 
     @classmethod
     def build(cls, x: np.ndarray, seed: int = 5) -> Graph:
@@ -137,14 +137,27 @@ class Graph:
         inside[found] = tried[found] = True
         edge = np.array(found)
         while len(edge):
-            near = np.unique(self.layers[0][edge])
-            near = near[near >= 0]
+            near = self.around(edge)
             near = near[~tried[near]]
             tried[near] = True
+            near = np.flatnonzero(np.bincount(near, minlength=1)) if len(near) else near
             edge = near[self.x[near] @ q >= threshold]
             inside[edge] = True
         return np.flatnonzero(inside)
 
+    def around(self, nodes: np.ndarray) -> np.ndarray:
+        """All that the nodes link to or are linked from at the lowest layer, with repeats."""
+        if self.both is None:
+            links = self.layers[0]
+            of, to = np.repeat(np.arange(len(links)), links.shape[1]), links.ravel()
+            of, to = of[to >= 0], to[to >= 0]
+            a, b = np.concatenate([of, to]), np.concatenate([to, of])
+            order = np.argsort(a, kind="stable")
+            self.both = np.searchsorted(a[order], np.arange(len(links) + 1)), b[order]
+        first, to = self.both
+        n = first[nodes + 1] - first[nodes]
+        return to[np.repeat(first[nodes] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
 
 def search_pair(q: np.ndarray, graph: Graph, same: bool, threshold: float = THRESHOLD, ef: int = EF, audit: int = AUDIT, recall: float = RECALL) -> list[np.ndarray]:
     """For each row of q the graph's rows that link with it; the beam widens until the audit passes."""
