@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardline.operators.cleaning import union_all
+from wardline.operators.cleaning import union_all, with_places
 
 
 def replicate(df: DataFrame, n: int, name: str = "copy") -> DataFrame:
@@ -35,12 +35,12 @@ def with_hard_negatives(train: DataFrame, negatives: DataFrame) -> DataFrame:
 
 def round_robin(df: DataFrame, key: str, names: list[str], column: str = "assigned") -> DataFrame:
     """Names dealt in turn by sorted key."""
-    at = (F.row_number().over(W.orderBy(key)) - 1) % len(names)
-    return df.withColumn(column, F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int")))
+    at = (F.col("_place") - 1) % len(names)
+    return with_places(df, key, name="_place").withColumn(column, F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))).drop("_place")
 
 
 def round_robin_by_hash(df: DataFrame, key: str, names: list[str], column: str = "assigned") -> DataFrame:
-    """The same without a global order: names dealt by a hash of the key, for tables too large to sort."""
+    """The same without any order: names dealt by a hash of the key."""
     at = F.pmod(F.xxhash64(key), F.lit(len(names)))
     return df.withColumn(column, F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int")))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.functions.urls import normalised
+from wardline.sources.shared import cut
 
 
 def with_url(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -82,6 +83,23 @@ def select_hard_negatives(df: DataFrame, keywords, n: int, key: str = "sample_id
     return exact_sample(df.where(hit), n, key, seed).withColumn("label", F.lit(0)).withColumn("hard_negative_type", F.lit(kind)).withColumn("filter_criteria", F.lit("|".join(keywords)))
 
 
+def with_places(df: DataFrame, order_col: str, by: str | None = None, name: str = "place") -> DataFrame:
+    """df with places from 1 in order, within `by` if given; no task holds more than a range of rows.
+
+    Rows are dealt to ranges of the order, the ranges counted, and places numbered inside each from where
+    the earlier ranges end. Rows that tie come in any order.
+    """
+    keys = [by] if by else []
+    ranged = cut(df.repartitionByRange(*keys, order_col).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*(F.col(k).alias("_by") for k in keys), F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = F.col("_part") == F.col("_at")
+    joined = ranged.join(starts, same & F.col(by).eqNullSafe(F.col("_by")) if by else same)
+    place = F.col("_start") + F.row_number().over(W.partitionBy(*keys, "_part").orderBy(order_col))
+    return joined.withColumn(name, place).select(*df.columns, name)
+
+
 def quota(df: DataFrame, key: str, limits: int | dict, order_col: str) -> DataFrame:
     """The first rows of each key in order, as many as its limit; keys without a limit have none.
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.functions import fixed
+from wardline.operators.cleaning import with_places
 
 URL_CSV = "url string, label string, source string, _corrupt_record string"
 SAMPLE = "sample_id string, url string, label int, html string, screenshot_available boolean"
@@ -68,8 +68,8 @@ def synthetic_ids(df: DataFrame, order_col: str, label: str = "label", names=Non
     """sample_id <CLASS>_<six digits> by class, numbered from 0 in order."""
     names = names or {0: "LEGIT", 1: "PHISH"}
     prefix = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    place = F.row_number().over(W.partitionBy(label).orderBy(order_col)) - 1
-    return df.withColumn("sample_id", F.format_string("%s_%06d", F.coalesce(F.try_element_at(prefix, F.col(label)), F.lit("UNKNOWN")), place))
+    name = F.coalesce(F.try_element_at(prefix, F.col(label)), F.lit("UNKNOWN"))
+    return with_places(df, order_col, label, "_place").withColumn("sample_id", F.format_string("%s_%06d", name, F.col("_place") - 1)).drop("_place")
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
