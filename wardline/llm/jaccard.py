@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.llm.common import as_int, cut, documents, saved, worker_cache
@@ -32,6 +33,7 @@ BUCKET = 1_500_000  # shingles a bucket
 FREQUENT = 16  # a shingle in more classes than this comes last in the order
 MOST_FREQUENT = 1_000_000  # bound of the table of frequent shingles; beyond it the rarest of them keep their place
 LARGEST_LIGHT = 12
+CENTRAL = 16  # members of a list's main component that its other members are tested against first
 CHUNK = 1_000_000  # shingles that a task holds
 MOST_WORDS = 500_000  # hashes of words that a Python worker keeps
 U = np.uint64
@@ -406,7 +408,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     unseen = F.least(prefix("n_a") - F.col("rare_a"), prefix("n_b") - F.col("rare_b"))
     maybe = listed.where("least >= 0").withColumn("unseen", unseen).where(possible(percent)).select("a", "b")
 
-    rows = cut(frequent_rows(parts.where("bucket = -1")).distinct())
+    own = W.partitionBy("class")
+    rows = frequent_rows(parts.where("bucket = -1")).distinct()
+    rows = cut(rows.withColumn("rank", F.row_number().over(own.orderBy("h"))).withColumn("lists", F.count(F.lit(1)).over(own)))
     heads = rows.groupBy("h").agg(F.min(F.struct("rare", "class", "n")).alias("first"), F.min(F.struct("class", "n", "rare")).alias("second"))
     head = lambda c: F.struct(*(F.col(f"{c}.{x}").alias(x) for x in ("class", "n", "rare")))
     central = rows.join(heads, "h").select("class", "n", "rare", F.explode(F.array(head("first"), head("second"))).alias("head"))
@@ -416,18 +420,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     node = reps.select("class", "rep")
     edges = lambda pairs: pairs.join(node.withColumnsRenamed({"class": "a", "rep": "ra"}), "a").join(node.withColumnsRenamed({"class": "b", "rep": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+
+    def unresolved(found: DataFrame) -> DataFrame:
+        """Rows of the lists with members of more than one component; main is the one with most members."""
+        placed = rows.join(node, "class").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", "class", "n", "rare", "rank", "lists", F.coalesce("component", "rep").alias("component"))
+        members = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("members"))
+        mains = members.groupBy("h").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("h", "main")
+        return cut(placed.join(mains, "h"))
+
     found = cut(connected_components(edges(links)))
-    placed = rows.join(node, "class").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", "class", "n", "rare", F.coalesce("component", "rep").alias("component"))
-    mains = placed.groupBy("h").agg(F.min(F.struct("rare", "class", "component"))["component"].alias("main"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h", "main")
-    left = cut(placed.join(mains, "h"))
+    left = unresolved(found)
+    if left.limit(1).count():
+        # Most of these link with one of the main component's most central members.
+        place = F.row_number().over(W.partitionBy("h").orderBy("rare", "class"))
+        inner = left.where("component = main").withColumn("place", place).where(F.col("place") <= CENTRAL).alias("y")
+        near = left.where("component <> main").alias("u").join(inner, (F.col("u.h") == F.col("y.h")) & enough_frequent(F.col("u.n"), F.col("u.rare"), F.col("y.n"), F.col("y.rare"), percent))
+        near = near.select(F.least("u.class", "y.class").alias("a"), F.greatest("u.class", "y.class").alias("b")).distinct()
+        links = cut(links.union(verified(near, docs, reps, words, percent)).distinct())
+        found = cut(connected_components(edges(links)))
+        left = unresolved(found)
     if left.limit(1).count():
         u, y = left.where("component <> main").alias("u"), left.alias("y")
-        crossing = u.join(y, (F.col("u.h") == F.col("y.h")) & (F.col("u.component") != F.col("y.component")) & enough_frequent(F.col("u.n"), F.col("u.rare"), F.col("y.n"), F.col("y.rare"), percent))
-        a_first = F.col("u.class") < F.col("y.class")
-        side = lambda c, flip: F.when(a_first, F.col(f"u.{c}")).otherwise(F.col(f"y.{c}")) if not flip else F.when(a_first, F.col(f"y.{c}")).otherwise(F.col(f"u.{c}"))
-        crossing = crossing.select("u.h", *(side(c, flip).alias(x + s) for s, flip in (("a", False), ("b", True)) for c, x in (("class", ""), ("n", "n_"), ("rare", "rare_"))))
-        counted = crossing.groupBy("a", "b").agg(F.count_distinct("h").alias("shared"), *(F.max(c).alias(c) for c in ("n_a", "n_b", "rare_a", "rare_b")))
-        more = cut(counted.withColumn("unseen", F.lit(0)).where(possible(percent)).select("a", "b"))
+        # Of the lists that a pair shares, the first comes early in both: at least `common` of them must be shared.
+        both = lambda c: (F.col(f"u.{c}"), F.col(f"y.{c}"))
+        rest = F.greatest(*(F.ceil(n * percent / 100) - 1 for n in both("n")))
+        common = F.greatest(F.lit(1), F.ceil(percent * (F.col("u.n") + F.col("y.n")) / (100 + percent)) - rest)
+        early = (F.col("u.rank") + common <= F.col("u.lists") + 1) & (F.col("y.rank") + common <= F.col("y.lists") + 1)
+        apart = (F.col("u.h") == F.col("y.h")) & (F.col("u.component") != F.col("y.component"))
+        crossing = u.join(y, apart & early & enough_frequent(F.col("u.n"), F.col("u.rare"), F.col("y.n"), F.col("y.rare"), percent))
+        more = cut(crossing.select(F.least(*both("class")).alias("a"), F.greatest(*both("class")).alias("b")).distinct())
         links = links.union(verified(more, docs, reps, words, percent))
         found = cut(connected_components(edges(links)))
     placed = sets.join(node, "class", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
@@ -440,8 +461,6 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
 
     Rows without words or without doc_id all stay. Of repeated rows of one doc_id one stays.
     """
-    from pyspark.sql import Window as W
-
     kept = near_duplicates(docs, words, percent).where("doc_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
     first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last()))
