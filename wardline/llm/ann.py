@@ -3,8 +3,8 @@
 A vector's code is the signs of its direction after a random rotation, one bit a dimension, with two
 correction scalars: its length, and how far the code's own direction agrees with it. From these the
 inner product with a query is estimated, with an error that stays below a bound except with small
-probability. In each block the k-th best lower bound sets the bar; only vectors whose upper bound
-reaches it are scored exactly, in double precision on the original vectors.
+probability. In each block the best guesses, scored exactly, set the bar; only vectors whose upper bound
+reaches it are scored exactly too, in double precision on the original vectors.
 """
 
 from __future__ import annotations
@@ -67,10 +67,17 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarra
         guess = turned[at : at + 128] @ signs.T * (length / agree).astype(np.float32)
         error = np.linalg.norm(q[at : at + 128], axis=1)[:, None] * spread + 1e-5
         own = q_ids[at : at + 128, None] == ids
-        low = np.where(own, -np.inf, guess - error)
-        bar = np.partition(low, -k, axis=1)[:, -k] if k < len(x) else np.full(len(low), -np.inf)
-        for i, near in enumerate((guess + error >= bar[:, None]) & ~own):
-            chosen = np.flatnonzero(near)
+        guess[own] = -np.inf
+        for i, (near, within) in enumerate(zip(guess, error, strict=True)):
+            # The k-th best exact score among the best guesses is the bar that upper bounds must reach.
+            m = min(4 * k, len(x))
+            first = np.argpartition(-near, m - 1)[:m]
+            exact = np.where(np.isneginf(near[first]), -np.inf, x[first] @ q[at + i])
+            bar = np.partition(exact, -k)[-k] if k <= m else -np.inf
+            chosen = np.flatnonzero((near + within >= bar - 1e-9) & ~np.isneginf(near))
+            score = x[chosen] @ q[at + i]
+            if len(chosen) > k:
+                chosen = chosen[score >= np.partition(score, -k)[-k] - 1e-9]
             score = np.zeros(len(chosen))
             for j in range(d):  # one order of summing, whatever the block
                 score += x[chosen, j] * q[at + i, j]
@@ -91,7 +98,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, block: int =
     asked = cut(blocks(shape(queries), query_block, "asked").select("dim", "asked", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
     n_blocks = held.select("dim", "block").withColumnRenamed("dim", "d")
     pairs = asked.select("dim", "asked").join(n_blocks, F.col("dim") == F.col("d")).select("dim", "asked", "block")
-    work = pairs.join(held.drop("n_blocks"), ["dim", "block"]).join(asked, ["dim", "asked"])
+    work = pairs.join(held.drop("n_blocks"), ["dim", "block"]).join(asked, ["dim", "asked"]).repartition(F.hash("dim", "block", "asked", F.md5("ids")))
 
     def run(batches):
         for batch in batches:
