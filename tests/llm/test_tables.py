@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.llm import ann, components, jaccard, langid, mixing, neardup, packing, sharding, tokenids
+from wardline.llm.common import saved
 from wardline.llm.tokens import Container, Encoder, write_container
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, shard string, h double"
@@ -124,6 +125,45 @@ def test_packing(spark):
     assert packing.pack_documents(empty_docs(spark)).count() == 0
 
 
+def test_packing_retrieves_over_all_shards(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(4_000)]
+    texts = []
+    for _ in range(60):
+        own = rng.sample(words, 80)
+        texts += [" ".join(rng.choices(own, k=200)) for _ in range(2)]
+    docs = docs_of(spark, texts).repartition(8)  # texts 2n and 2n + 1 are of one topic and lie anywhere
+    got = packing.pack_documents(docs, window=1024, shard_bytes=20_000).toPandas()
+    check_packed(got, 120, 1024)
+    at = got.groupby("doc_id").sequence_id.agg(set)
+    touching = sum(any(abs(x - y) <= 1 for x in at[2 * i] for y in at[2 * i + 1]) for i in range(60))
+    assert touching >= 45  # a window takes several of a seed's nearest, so some texts go to windows of others
+
+
+def test_nearest_over_all_parts_is_brute_force(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 60))) for _ in range(90)]
+    shards = saved(tokenids.containers(docs_of(spark, texts).repartition(6), end=1, most_ids=300), "test-shards")
+    rows = shards.collect()
+    boxes = [(packing.named(r["part"], r["seq"]), Container(bytes(r["data"]))) for r in rows]
+    n_ids = sum(b.total for _, b in boxes)
+    df = np.zeros(1 << 16)
+    for _, b in boxes:
+        np.add.at(df, packing.term_counts(b)[1], 1)
+    weights, names = [], []
+    for base, b in boxes:
+        d, t, w = packing.term_weights(b, df, 90, n_ids / 90)
+        weights += [dict(zip(t[d == i].tolist(), w[d == i].tolist(), strict=True)) for i in range(b.n)]
+        names += [base + i for i in range(b.n)]
+    sent = spark.sparkContext.broadcast(df)
+    got = packing.nearest(shards, sent, 90, n_ids, n_ids / 90, index_ids=n_ids // 4).toPandas().sort_values(["id", "place"]).groupby("id").score.agg(list)
+    assert len(boxes) > 6
+    for i, name in enumerate(names):
+        asked = sorted(weights[i], key=lambda t: (-weights[i][t], t))[: packing.TERMS]
+        want = sorted((sum(w.get(t, 0) for t in asked) for j, w in enumerate(weights) if j != i), reverse=True)[: packing.NEAREST]
+        assert np.allclose(got[name], want, atol=1e-3)
+
+
 def test_neighbours_are_the_best_by_bm25():
     rng = np.random.default_rng(5)
     ids = [rng.integers(0, 60, rng.integers(1, 30)).astype("<u2").tobytes() for _ in range(40)]
