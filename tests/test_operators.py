@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.operators import cleaning, evaluation, models, splits, summaries
+from wardline.operators import cleaning, evaluation, models, robustness, scoring, splits, summaries
+from wardline.plans import robustness_queries
 from wardline.sources import readers
 
 
@@ -99,3 +100,13 @@ def test_component_learns(spark):
     df = spark.range(400).select((F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 2 + F.rand(1) * 0.5).alias("x"), F.rand(2).alias("y"))
     fit = models.fit_component(df, df, ["x", "y"], boosted={"maxIter": 3, "maxDepth": 2}, forest={"numTrees": 3, "maxDepth": 3})
     assert evaluation.metrics(fit.transform(df), score="probability").first()["accuracy"] > 0.95
+
+
+def test_worst_cases_are_of_all_pages_and_changes(spark, sf_dir):
+    df = robustness_queries.pages_of(spark, sf_dir)
+    got = {r["page_id"]: r for r in robustness_queries.worst_cases(spark, sf_dir).collect()}
+    assert set(got) == {r["page_id"] for r in df.select("page_id").collect()}
+    single = scoring.scan_urls(robustness.perturb_urls(df.select("page_id", "url"))).groupBy("page_id").agg(F.min("phishing_probability").alias("p")).collect()
+    alive = [r for r in single if got[r["page_id"]]["original_probability"] >= 0.2]
+    assert alive and all(got[r["page_id"]]["final_probability"] + 0.005 * got[r["page_id"]]["steps"] <= r["p"] + 0.005 + 1e-9 for r in alive)
+    assert max(r["steps"] for r in got.values()) <= 3 and all(r["final_probability"] <= r["original_probability"] for r in got.values())

@@ -74,7 +74,7 @@ def feature_blindness(spark, sf_dir):
 
 def worst_cases(spark, sf_dir):
     score = lambda df: scoring.scan_urls(df).withColumn("probability", F.col("phishing_probability"))
-    return robustness.worst_case_sweep(pages_of(spark, sf_dir).where("page_id % 5 = 0"), score, ("url_display_parameter", "url_fragment", "url_plainer_words"), "page_id", depth=2, target=0.2)
+    return robustness.worst_case_sweep(pages_of(spark, sf_dir), score, key="page_id", target=0.2)
 
 
 def search_records(spark, sf_dir):
