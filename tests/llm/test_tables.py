@@ -315,3 +315,24 @@ def test_embedding_edges(spark):
     df = spark.createDataFrame([(1, [1.0] * 8, 1, 0, "")] * 2 + [(2, [2.0] * 8, 1, 0, "")] + odd_vectors(), VECTORS)
     got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in neardup.near_duplicate_vectors(df).collect())
     assert got[:3] == [("1", 2, "1", True), ("1", 2, "1", True), ("100", 0, "100", True)] and ("2", 2, "1", False) in got and ("None", 0, "None", True) in got and len(got) == 12
+
+
+@pytest.mark.parametrize("family", [0, 1500])
+def test_audit_sees_lone_pairs_beside_a_hot_family_and_alone(family):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32))
+    x[:family] = x[0] + 1e-3 * rng.normal(size=(family, 32))
+    lone = range(max(family, 2000), 3000, 2) if family else [2001]
+    for i in lone:
+        x[i + 1 if i + 1 < 3000 else i - 1] = x[i] + 1e-3
+    x /= np.linalg.norm(x, axis=1)[:, None]
+
+    class Narrow(neardup.Graph):
+        """Finds pairs outside the family with a wide beam only."""
+
+        def within(self, q, threshold, ef, start=None):
+            near = np.flatnonzero(self.x @ q >= threshold)
+            return near if ef >= 128 else near[(near < family) | (near == start)]
+
+    found = neardup.search_pair(x, Narrow(x), True, 0.98)
+    assert [js.tolist() for js in found] == [np.flatnonzero(x @ v >= 0.98).tolist() for v in x]

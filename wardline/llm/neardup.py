@@ -3,8 +3,9 @@
 Equal vectors of a label are one node. The nodes of a label are dealt to shards, each with its own
 hierarchical graph; every node is searched for in every shard of its label. A search runs a best-first
 beam and then follows the graph from what links until nothing new links, so families of any size are
-found whole. In each pair of shards a sample of nodes is compared with all others: while recall is below
-the goal the beam is doubled and the pair searched again. Links are verified by cosine in double
+found whole. In each pair of shards nodes are compared with all others, in random order, until enough of
+them have a link or none are left: while the mean recall of those that do is below the goal the beam is
+doubled and the pair searched again. What was compared needs no search. Links are verified by cosine in double
 precision; each pair of shards reports counts of links and a spanning forest, whose union gives the
 components.
 """
@@ -28,7 +29,8 @@ SHARD = 8_192
 M = 12
 EF_BUILD = 40
 EF = 32
-AUDIT = 48
+AUDIT = 48  # nodes with a link
+BLOCK = 256
 RECALL = 0.995
 
 
@@ -161,16 +163,23 @@ class Graph:
 
 def search_pair(q: np.ndarray, graph: Graph, same: bool, threshold: float = THRESHOLD, ef: int = EF, audit: int = AUDIT, recall: float = RECALL) -> list[np.ndarray]:
     """For each row of q the graph's rows that link with it; the beam widens until the audit passes."""
-    sample = np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)
-    truth = [np.flatnonzero(graph.x @ q[i] >= threshold) for i in sample]
-    wanted = sum(map(len, truth)) - same * len(sample)
-    while True:
-        found = {i: graph.within(q[i], threshold, ef, i if same else None) for i in sample}
-        got = sum(len(np.intersect1d(found[i], t)) for i, t in zip(sample, truth, strict=True)) - same * len(sample)
-        if got >= recall * wanted or ef >= len(graph.x):
+    order = np.random.default_rng(len(q)).permutation(len(q))
+    truth, linked = {}, []
+    for at in range(0, len(q), BLOCK):
+        if len(linked) >= audit:
+            break
+        rows = order[at : at + BLOCK].tolist()
+        for i, near in zip(rows, q[rows] @ graph.x.T >= threshold, strict=True):
+            truth[i] = np.flatnonzero(near)
+            if len(truth[i]) > same:
+                linked.append(i)
+    linked = linked[:audit]
+    while len(truth) < len(q) and ef < len(graph.x):
+        found = [graph.within(q[i], threshold, ef, i if same else None) for i in linked]
+        if np.mean([(len(np.intersect1d(f, truth[i])) - same) / (len(truth[i]) - same) for i, f in zip(linked, found, strict=True)]) >= recall:
             break
         ef *= 2
-    return [found[i] if i in found else graph.within(q[i], threshold, ef, i if same else None) for i in range(len(q))]
+    return [truth[i] if i in truth else graph.within(q[i], threshold, ef, i if same else None) for i in range(len(q))]
 
 
 def forest(n: int, links) -> np.ndarray:
