@@ -4,10 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.llm import ann, components, jaccard, langid, mixing, neardup, packing, sharding, tokenids
+from wardline.llm import ann, components, jaccard, langid, mixing, neardup, packing, sharding, tokenids, wordhash
 from wardline.llm.common import saved
 from wardline.llm.tokens import Container, Encoder, write_container
 
@@ -232,13 +233,15 @@ def near_copies(seed, families, copies, low, high, edits):
     return out
 
 
+@pytest.mark.parametrize("often", [3, 12])
 @pytest.mark.parametrize("case", ["small", "medium", "family", "passages"])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, case):
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, case, often):
     texts = {
         "small": lambda: near_copies(1, 60, 6, 1, 14, 2), "medium": lambda: near_copies(2, 25, 8, 40, 90, 3), "family": lambda: near_copies(3, 2, 90, 60, 80, 4) + near_copies(7, 1, 70, 30, 30, 2),
         "passages": lambda: [" ".join(["shared passage of many plain words that all of them repeat again"] * 1 + [f"x{i}_{k}" for k in range(i % 9)]) for i in range(80)],
     }[case]()
-    monkeypatch.setattr(jaccard, "FREQUENT", 6)
+    for name, value in {"OFTEN": often, "CENTRAL": 1, "BUCKET": 900, "CHUNK": 400}.items():
+        monkeypatch.setattr(jaccard, name, value)
     want_n, want = brute_jaccard(texts)
     got = jaccard.near_duplicates(docs_of(spark, texts).repartition(3)).orderBy("doc_id").toPandas()
     assert got.n_shingles.tolist() == want_n and got.component_id.tolist() == want
@@ -250,6 +253,31 @@ def test_jaccard_edges(spark):
     assert jaccard.near_duplicates(empty_docs(spark)).count() == 0
     kept = jaccard.keep_one_of_each(odd_docs(spark))
     assert kept.columns == odd_docs(spark).columns and kept.count() == 8
+    assert jaccard.keep_one_of_each(empty_docs(spark)).count() == 0
+
+
+def test_one_of_each_is_told_by_text_whatever_the_columns(spark):
+    a, b, other = "one two three four five six seven eight nine ten", "one two three four five  six seven eight nine ten", "quite another text of some words"
+    rows = [(7, a, "p"), (7, b, "q"), (7, other, "r"), (8, a, "s"), (9, other, "t"), (7, b, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id string").select("*", *(F.lit(1).alias(c) for c in ("class", "row", "component", "kept_class", "n", "s", "a", "b")))
+    kept = jaccard.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    # Two components have 7 as their smallest doc_id; of both, the one with the smaller class number stays.
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert got in ([(7, b)], [(7, other)])
+    want = sorted((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect())
+    assert want == [(7, 7)] * 4 + [(8, 7), (9, 7)]
+
+
+def test_word_hashes_cut_where_words_end():
+    column = pa.array([None, "", " ", "Ab c", "\tx\u00a0y\r\nÉ", "q" * 400_000 + " ab", "C"])
+    h, at = wordhash.word_hashes(column)
+    words = [(t or "").encode().lower().split() for t in column.to_pylist()]
+    flat = [w for x in words for w in x]
+    assert np.diff(at).tolist() == [len(x) for x in words]
+    assert len({(w, int(x)) for w, x in zip(flat, h, strict=True)}) == len(set(flat)) == len(set(h.tolist()))
+    assert wordhash.word_hashes(column.slice(3, 2))[0].tolist() == h[:4].tolist()
+    assert [len(x) for x in wordhash.slices(column, 10)] == [4, 1, 1, 1] or sum(len(x) for x in wordhash.slices(column, 10)) == 7
 
 
 def test_boundary_follows_cost():

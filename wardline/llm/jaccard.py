@@ -3,12 +3,13 @@
 Documents with equal shingle sets are one class; only classes are compared. Pairs whose smaller set has
 at most `boundary` shingles are found by enumerating subsets: two sets of n and m elements link exactly
 if they share ceil(p (n + m) / (100 + p)) of them, so both list their subsets of that size under the key
-(n, m, subset). Larger sets scan inverted lists of their rarest shingles: two linked sets must share one
-of the first n - ceil(p n / 100) + 1 in any common order. The order puts frequent shingles last, so the
-lists scanned are short. The boundary is where the sum of both costs, from the size histogram and the
-mean list length, is least. Lists of frequent shingles remain for texts that hold little else (large
-families of near copies): there, each member is tested against the list's most central members, and
-then every member that is not yet in the first one's component against all others that it could link.
+(n, m, subset). Larger sets are put into inverted lists. A list of one class links nothing, so a set of n
+whose shingles in longer lists number less than p n / 100 is done with; the others keep those shingles,
+from the shortest list to the longest. Of two that link the first n - ceil(p n / 100) + 1 places share a
+list (places before them are the shingles of no other set). In each list every member is first tested
+against the most central ones, which joins families of near copies without comparing all their pairs;
+then members that are still in different components are tested where bounds allow a link. The boundary is
+where the sum of both costs, from the size histogram and the mean list length, is least.
 """
 
 from __future__ import annotations
@@ -24,55 +25,62 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardline.llm.common import as_int, cut, documents, saved, worker_cache
+from wardline.llm.common import WORD, as_int, cut, documents, saved
 from wardline.llm.components import connected_components
+from wardline.llm.wordhash import U, mixed, slices, word_hashes
 
 WORDS = 5
 PERCENT = 75
 BUCKET = 1_500_000  # shingles a bucket
-FREQUENT = 16  # a shingle in more classes than this comes last in the order
-MOST_FREQUENT = 1_000_000  # bound of the table of frequent shingles; beyond it the rarest of them keep their place
 LARGEST_LIGHT = 12
-CENTRAL = 16  # members of a list's main component that its other members are tested against first
+CENTRAL = 16  # members of a list that all others are tested against before any pair of others
 CHUNK = 1_000_000  # shingles that a task holds
-MOST_WORDS = 500_000  # hashes of words that a Python worker keeps
-U = np.uint64
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def word_hashes() -> WordHashes:
-    return worker_cache("words", WordHashes)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
-    return h ^ (h >> U(31))
-
-
-def shingles(text: str | None, known: WordHashes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the text's word n-grams; of a shorter text, of all its words together."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not parts:
-        return np.zeros(0, np.uint64)
-    if len(known) > MOST_WORDS:
-        known.clear()
-    w = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
-    k = min(words, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = h * U(0x9E3779B97F4A7C15) + w[i : len(w) - k + 1 + i]
-    return np.unique(mixed(h))
-
-
-def class_of(s: np.ndarray) -> int:
+TEXT = 4 << 20  # bytes hashed at a time; a longer text is hashed alone
+#: Lists that a sample of classes shows to be long skip the shuffle by shingle: their place in the order is their
+#: count in the sample. The sample sets where work is done, not what is found; it bounds what the driver gathers.
+SAMPLE = 8_000_000  # shingles
+OFTEN = 12  # sampled classes that make a list long: at most SAMPLE / OFTEN lists
+LONG = 1 << 31  # what is added to their places
+
+
+def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text's word n-grams (of a shorter text, of all its words together), and where each row's begin."""
+    w, at = word_hashes(column)
+    n = np.diff(at)
+    at_sets = np.append(0, np.cumsum(np.where(n >= words, n - words + 1, n > 0)))
+    out = np.empty(at_sets[-1], np.uint64)
+    if not len(out):
+        return out, at_sets
+    short = np.flatnonzero((n > 0) & (n < words))
+    whole = np.ones(len(out), bool)
+    whole[at_sets[short]] = False
+    windows = max(len(w) - words + 1, 0)
+    h = np.full(windows, words, np.uint64)
+    for i in range(words):
+        h = h * U(0x9E3779B97F4A7C15) + w[i : windows + i]
+    inside = np.ones(len(w), bool)  # a window from here ends in its own row
+    for i in range(1, words):
+        inside[(at[1:] - i)[n >= i]] = False
+    out[whole] = h[inside[:windows]]
+    for r in short.tolist():
+        x = int(n[r])
+        for v in w[at[r] : at[r + 1]].tolist():
+            x = (x * 0x9E3779B97F4A7C15 + v) & 0xFFFFFFFFFFFFFFFF
+        out[at_sets[r]] = x
+    out = mixed(out)
+    ends = at_sets.tolist()
+    for a, b in zip(ends, ends[1:], strict=False):
+        out[a:b].sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    keep[at_sets[:-1][at_sets[:-1] < at_sets[1:]]] = True
+    return out[keep], np.append(0, np.cumsum(keep))[at_sets]
+
+
+def class_numbers(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One number for equal sets."""
-    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 3))))
+    raw, ends = memoryview(sets).cast("B"), (at * 8).tolist()
+    return np.array([xxhash.xxh64_intdigest(raw[a:b], 3) for a, b in zip(ends, ends[1:], strict=False)], np.uint64).view(np.int64)
 
 
 def least_shared(n: int, m: int, percent: int) -> int:
@@ -103,7 +111,9 @@ def choose_boundary(sizes: dict[int, int], list_length: float, percent: int, lar
 
 
 def squeeze(*columns: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join([np.array([len(columns), *(len(c) * c.itemsize for c in columns)], "<u8").tobytes(), *(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)]), 1)
+    """Columns of numbers as one value; the numbers' first bytes lie together, then their second ones, and so on."""
+    lengths = np.array([len(columns), *(len(c) * c.itemsize for c in columns)], "<u8").tobytes()
+    return zstandard.compress(b"".join([lengths, *(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)]), 1)
 
 
 def unsqueeze(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -117,356 +127,359 @@ def unsqueeze(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def turned(h: np.ndarray) -> np.ndarray:
-    """h with its halves exchanged. Prefixes follow h, so buckets are ranges of this."""
-    return h << U(32) | h >> U(32)
-
-
-def bucket_of(r: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of each turned hash, rising with it."""
-    return (r >> U(32)) * U(buckets) >> U(32)
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each number, rising with it."""
+    return (h.view(np.uint64) >> U(32)) * U(buckets) >> U(32)
 
 
-def shingle_key(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and 24 more bits: what frequencies are counted by."""
-    return bucket_of(turned(h), buckets) << U(24) | h >> U(40)
+def runs(bucket: np.ndarray):
+    """(bucket, slice) of each bucket in sorted buckets."""
+    if not len(bucket):
+        return []
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return [(int(bucket[i]), slice(int(i), int(j))) for i, j in zip(first, [*first[1:], len(bucket)], strict=True)]
 
 
 def chunks(batches, words: int):
-    """Classes of a task's texts, each once a chunk: (numbers, sets)."""
-    known, ids, sets, seen, n = word_hashes(), [], [], set(), 0
+    """Classes of a task's texts, each once a chunk: numbers, sizes, and their sets one after another."""
+    ids, sizes, sets, seen, n = [], [], [], set(), 0
     for batch in batches:
-        for text in batch["text"]:
-            s = shingles(text.as_py(), known, words)
-            if len(s) and (c := class_of(s)) not in seen:
-                seen.add(c)
-                ids.append(c)
-                sets.append(s)
-                n += len(s)
-                if n >= CHUNK:
-                    yield ids, sets
-                    ids, sets, seen, n = [], [], set(), 0
-    if ids:
-        yield ids, sets
-
-
-def runs(bucket: np.ndarray):
-    """(bucket, slice) of each bucket in sorted buckets."""
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-    return [(int(bucket[i]), slice(int(i), int(j))) for i, j in zip(first, [*first[1:], len(bucket)], strict=True)]
+        for part in slices(batch["text"], TEXT):
+            flat, at = shingle_sets(part, words)
+            size, own = np.diff(at), class_numbers(flat, at)
+            new = np.zeros(len(own), bool)
+            for k, c in enumerate(own.tolist()):
+                if size[k] and c not in seen:
+                    seen.add(c)
+                    new[k] = True
+            ids.append(own[new])
+            sizes.append(size[new])
+            sets.append(flat[np.repeat(new, size)])
+            n += len(sets[-1])
+            if n >= CHUNK:
+                yield np.concatenate(ids), np.concatenate(sizes), np.concatenate(sets)
+                ids, sizes, sets, seen, n = [], [], [], set(), 0
+    if n:
+        yield np.concatenate(ids), np.concatenate(sizes), np.concatenate(sets)
 
 
 def classes(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, class of every row."""
 
     def run(batches):
-        known = word_hashes()
         for batch in batches:
-            sets = [shingles(t, known, words) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "class"])
+            done = 0
+            for part in slices(batch["text"], TEXT):
+                flat, at = shingle_sets(part, words)
+                names = batch["doc_id"].slice(done, len(part))
+                done += len(part)
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.diff(at)), pa.array(class_numbers(flat, at))], ["doc_id", "n_shingles", "class"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class long")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long")
+def long_lists(docs: DataFrame, words: int, total: int) -> DataFrame:
+    """h, n of the shingles in at least OFTEN classes of a sample; and with h null sums of n and of n (n - 1) of the others."""
+    share = min(1.0, SAMPLE / max(total, 1))
+    buckets = max(1, -(-min(total, SAMPLE) // BUCKET))
 
+    def draw(batches):
+        for ids, sizes, sets in chunks(batches, words):
+            drawn = mixed(ids.view(np.uint64)) < U(min(int(share * 2.0**64), 2**64 - 1))
+            h = np.sort(sets[np.repeat(drawn, sizes)])
+            parts = runs(bucket_of(h, buckets))
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), pa.array([squeeze(np.diff(h[s], prepend=U(0))) for _, s in parts], pa.binary())], ["bucket", "data"])
 
-def frequencies(docs: DataFrame, words: int, buckets: int) -> DataFrame:
-    """key, df of frequent shingles; and with key null a row per bucket of sums of df and of its square."""
+    def count(group: pa.Table) -> pa.Table:
+        h, n = np.unique(np.concatenate([np.cumsum(unsqueeze(x.as_py(), "<u8")[0], dtype=np.uint64) for x in group["data"]]), return_counts=True)
+        often = n >= OFTEN
+        rest = n[~often].astype(np.int64)
+        return pa.table({"h": pa.array([*h[often].view(np.int64).tolist(), None], pa.int64()), "n": pa.array([*n[often].tolist(), int(rest.sum())], pa.int64()), "pairs": pa.array([*[0] * int(often.sum()), int((rest * (rest - 1)).sum())], pa.int64())})
 
-    def count(batches):
-        for _, sets in chunks(batches, words):
-            key = np.sort(shingle_key(np.concatenate(sets), buckets))
-            low, parts = (key & U(0xFFFFFF)).astype(np.uint32), runs(key >> U(24))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), pa.array([squeeze(np.diff(low[s], prepend=np.uint32(0))) for _, s in parts], pa.binary())], ["bucket", "data"])
+    return docs.select("text").mapInArrow(draw, "bucket long, data binary").groupBy("bucket").applyInArrow(count, "h long, n long, pairs long")
 
-    def total(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        low, df = np.unique(np.concatenate([np.cumsum(unsqueeze(x.as_py(), "<u4")[0], dtype=np.uint32) for x in table["data"]]), return_counts=True)
-        often = df > FREQUENT
-        keys = (np.int64(bucket) << 24) + low[often].astype(np.int64)
-        return pa.table({"key": pa.array([*keys.tolist(), None], pa.int64()), "df": pa.array([*df[often].tolist(), int(df.sum())], pa.int64()), "squares": pa.array([*[0] * len(keys), int((df.astype(np.int64) ** 2).sum())], pa.int64())})
 
-    return docs.select("text").mapInArrow(count, "bucket long, data binary").groupBy("bucket").applyInArrow(total, "key long, df long, squares long")
+class Lists:
+    """What postings() sends to a bucket: classes with their sizes, and which shingle is in which of them."""
 
+    KINDS = ("<i8", "<u4", "<u8", "<u4", "<u4")
 
-def signatures(docs: DataFrame, words: int, buckets: int, frequent, boundary: int, percent: int) -> DataFrame:
-    """bucket, data: what each class puts into the lists of a bucket; bucket -1 has the frequent shingles."""
+    @classmethod
+    def pack(cls, ids: np.ndarray, sizes: np.ndarray, h: np.ndarray, of: np.ndarray, order: np.ndarray) -> bytes:
+        """h must rise."""
+        used, place = np.unique(of, return_inverse=True)
+        return squeeze(ids[used], sizes[used].astype(np.uint32), np.diff(h, prepend=U(0)), place.astype(np.uint32), order.astype(np.uint32))
+
+    @classmethod
+    def read(cls, parts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Distinct classes, their sizes; shingle, place of its class, and its list's place in the order."""
+        found, base = [], 0
+        for data in parts:
+            c, n, h, of, order = unsqueeze(data, *cls.KINDS)
+            found.append((c, n.astype(np.int64), np.cumsum(h, dtype=np.uint64), of.astype(np.int64) + base, order))
+            base += len(c)
+        c, n, h, of, order = (np.concatenate(x) for x in zip(*found, strict=True))
+        c, first, back = np.unique(c, return_index=True, return_inverse=True)
+        return c, n[first], h, back[of], order
+
+
+def postings(docs: DataFrame, words: int, buckets: int, groups: int, long_ones, boundary: int) -> DataFrame:
+    """bucket, data: the shingles of classes above the boundary by ranges of shingles; those of long lists, from bucket `buckets` on, by ranges of classes."""
 
     def run(batches):
-        keys, dfs = frequent.value
+        keys, places = long_ones.value
         likely = np.zeros(1 << 24, bool)
-        likely[keys & U(0xFFFFFF)] = True
-        for ids, sets in chunks(batches, words):
-            table = np.zeros((len(ids), 3), np.int64)  # class, size, rare shingles in its prefix
-            rare, often, light = ([], []), ([], []), ([], [])
-            for k, (c, s) in enumerate(zip(ids, sets, strict=True)):
-                n = len(s)
-                table[k] = c, n, 0
-                for m, size in subset_sizes(n, boundary, percent):
-                    tag = U(min(n, m) << 32 | max(n, m) << 8 | (1 if n <= m else 0))
-                    subsets = np.array(list(combinations(s.tolist(), size)), np.uint64)
-                    h = np.full(len(subsets), tag & U(0xFFFFFFFFFFFFFF00), np.uint64)
-                    for col in subsets.T:
-                        h = mixed(h * U(0x9E3779B97F4A7C15) + col)
-                    light[0].append(h)
-                    light[1].append(np.full(len(h), k << 1 | int(n == m), np.uint32))
-                if n <= boundary:
-                    continue
-                p = prefix_length(n, percent)
-                key = shingle_key(s, buckets)
-                hot = likely[key & U(0xFFFFFF)]
-                if hot.any():
-                    at = np.searchsorted(keys, key[hot])
-                    at[at == len(keys)] = 0
-                    known_ = keys[at] == key[hot]
-                    hot[hot] = known_
-                    at = at[known_]
-                first = s[~hot][:p]
-                table[k, 2] = len(first)
-                rare[0].append(first)
-                rare[1].append(np.full(len(first), k, np.uint32))
-                # A set links by frequent shingles alone only if they are enough; other links show in the lists of rare ones.
-                if len(first) < p and 100 * int(hot.sum()) >= percent * n:
-                    rest = s[hot][np.lexsort((s[hot], dfs[at]))][: p - len(first)]
-                    often[0].append(rest)
-                    often[1].append(np.full(len(rest), k, np.uint32))
+        likely[keys >> U(40)] = True
+        for ids, sizes, sets in chunks(batches, words):
+            of = np.repeat(np.arange(len(ids), dtype=np.int64), sizes)
+            heavy = (sizes > boundary)[of]
+            h, of = sets[heavy], of[heavy]
+            hot = likely[h >> U(40)]
+            at = np.searchsorted(keys, h[hot])
+            at[at == len(keys)] = 0
+            known = keys[at] == h[hot] if len(keys) else np.zeros(len(at), bool)
+            hot[hot] = known
             rows = []
-            for kind, (hs, ks) in enumerate((rare, light)):
-                if hs:
-                    r, of = turned(np.concatenate(hs)), np.concatenate(ks)
-                    order = np.argsort(r)
-                    r, of = r[order], of[order]
-                    for b, part in runs(bucket_of(r, buckets)):
-                        rows.append((b * 2 + kind, pack(table, r[part], of[part], kind)))
-            if often[0]:
-                rows.append((-1, pack(table, np.concatenate(often[0]), np.concatenate(often[1]), 0)))
+            order = np.argsort(h[~hot])
+            x, k = h[~hot][order], of[~hot][order]
+            for b, part in runs(bucket_of(x, buckets)):
+                rows.append((b, Lists.pack(ids, sizes, x[part], k[part], np.zeros(part.stop - part.start))))
+            x, k, place = h[hot], of[hot], places[at[known]] if len(keys) else at
+            group = bucket_of(ids, groups)[k]
+            order = np.lexsort((x, group))
+            x, k, place, group = x[order], k[order], place[order], group[order]
+            for b, part in runs(group):
+                rows.append((buckets + b, Lists.pack(ids, sizes, x[part], k[part], LONG + place[part])))
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 64]], pa.int64()), pa.array([r[1] for r in rows[i : i + 64]], pa.binary())], ["bucket", "data"])
 
     return docs.select("text").mapInArrow(run, "bucket long, data binary")
 
 
-def pack(table: np.ndarray, h: np.ndarray, of: np.ndarray, kind: int) -> bytes:
-    used, place = np.unique(of >> kind, return_inverse=True)
-    own = table[used]
-    place = place.astype(np.uint32) << kind | of & kind
-    return squeeze(own[:, 0].copy(), own[:, 1].astype(np.uint32), own[:, 2].astype(np.uint32), np.diff(h, prepend=U(0)), place.astype(np.uint32))
-
-
-def unpack(parts: list[bytes], kind: int):
-    """(class, size, rare) tables joined, hashes and places in them."""
-    tables, hs, ofs, base = [], [], [], 0
-    for data in parts:
-        c, n, r, h, of = unsqueeze(data, "<i8", "<u4", "<u4", "<u8", "<u4")
-        tables.append(np.stack([c, n.astype(np.int64), r.astype(np.int64)], 1))
-        hs.append(np.cumsum(h, dtype=np.uint64))
-        ofs.append((of.astype(np.int64) >> kind) + base << kind | of.astype(np.int64) & kind)
-        base += len(c)
-    return np.concatenate(tables), np.concatenate(hs), np.concatenate(ofs)
-
-
-def one_number(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Places of equal classes become one."""
-    _, first, back = np.unique(table[:, 0], return_index=True, return_inverse=True)
-    return first[back][at]
-
-
-PAIRS = "a long, b long, shared long, n_a long, n_b long, rare_a long, rare_b long"
-
-
-def pair_rows(table, a, b, shared) -> pa.Table:
-    flip = table[a, 0] > table[b, 0]
-    a, b = np.where(flip, b, a), np.where(flip, a, b)
-    cols = [table[a, 0], table[b, 0], shared, table[a, 1], table[b, 1], table[a, 2], table[b, 2]]
-    return pa.table([pa.array(np.asarray(c, np.int64)) for c in cols], [x.split()[0] for x in PAIRS.split(", ")])
-
-
-def listed_pairs(parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs from the lists of each bucket; shared counts the lists that have both, or is -1 where they surely link."""
+def shared_only(parts: DataFrame, buckets: int, groups: int) -> DataFrame:
+    """group, data: the postings of lists of two classes or more, by ranges of classes; a list's place is its length."""
 
     def run(group: pa.Table) -> pa.Table:
-        kind = group["bucket"][0].as_py() % 2
-        table, h, of = unpack([x.as_py() for x in group["data"]], kind)
-        side = of & 1 if kind else np.zeros_like(of)
-        of = one_number(table, of >> kind)
+        bucket, data = group["bucket"][0].as_py(), [x.as_py() for x in group["data"]]
+        if bucket >= buckets:
+            return pa.table({"group": pa.array([bucket - buckets] * len(data), pa.int64()), "data": pa.array(data, pa.binary())})
+        ids, sizes, h, of, _ = Lists.read(data)
+        order = np.argsort(h)
+        h, of = h[order], of[order]
+        same = h[1:] == h[:-1]
+        more = np.append(False, same) | np.append(same, False)
+        h, of = h[more], of[more]
         order = np.lexsort((of, h))
-        h, of, side = h[order], of[order], side[order]
-        keep = np.ones(len(h), bool)
-        keep[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-        h, of, side = h[keep], of[keep], side[keep]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        length = np.diff(np.append(first, len(h)))
-        if kind:  # all members of one size link with all of the other size: two stars join them
-            a, b = stars(table, of, side, first, length)
-            return pair_rows(table, a, b, np.full(len(a), -1))
-        many = length > 1
-        first, length = first[many], length[many]
-        found = []
-        for gap in range(1, int(length.max(initial=1))):
-            at = np.concatenate([np.arange(f, f + n - gap) for f, n in zip(first[length > gap], length[length > gap], strict=True)]) if (length > gap).any() else np.zeros(0, np.int64)
-            a, b = of[at], of[at + gap]
-            na, nb = table[a, 1], table[b, 1]
-            near = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-            found.append((np.minimum(a, b)[near] << 32) | np.maximum(a, b)[near])
-            if sum(map(len, found)) > 4_000_000:
-                found = [np.concatenate(found)]
-        pairs, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return pair_rows(table, pairs >> 32, pairs & 0xFFFFFFFF, n)
-
-    return parts.groupBy("bucket").applyInArrow(run, PAIRS)
-
-
-def stars(table, of, equal, first, length):
-    """Edges that join the members of subset lists; in a list for two different sizes each links with the other size only."""
-    a, b = [], []
-    for f, n in zip(first[length > 1], length[length > 1], strict=True):
-        own = of[f : f + n]
-        size = table[own, 1]
-        low, high = own[size == size.min()], own[size == size.max()]
-        if size.min() == size.max():
-            if not equal[f]:
-                continue
-            a.append(np.full(n - 1, own[0])), b.append(own[1:])
-        else:
-            a += [np.full(len(high), low[0]), np.full(len(low) - 1, high[0])]
-            b += [high, low[1:]]
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def frequent_rows(parts: DataFrame) -> DataFrame:
-    """h, class, n, rare: the frequent shingles in classes' prefixes."""
+        h, of = h[order], of[order]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+        h, of = h[first], of[first]
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        length = np.diff(np.append(at, len(h)))
+        length = np.repeat(length, length)
+        h, of, length = h[length > 1], of[length > 1], length[length > 1]
+        to = bucket_of(ids, groups)[of]
+        order = np.argsort(to, kind="stable")
+        h, of, length, to = h[order], of[order], length[order], to[order]
+        rows = [(b, Lists.pack(ids, sizes, h[p], of[p], np.minimum(length[p], LONG - 1))) for b, p in runs(to)]
+        return pa.table({"group": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
+
+    return parts.groupBy("bucket").applyInArrow(run, "group long, data binary")
+
+
+def linkable(shared: DataFrame, percent: int) -> DataFrame:
+    """class, n, s, held, prefix of classes with s >= percent n / 100 shingles in longer lists: held has these, prefix those of its places that may hold the first of a link."""
 
-    def run(batches):
-        for batch in batches:
-            for data in batch["data"]:
-                table, h, of = unpack([data.as_py()], 0)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(pa.array(np.ascontiguousarray(table[of, i])) for i in range(3))], ["h", "class", "n", "rare"])
-
-    return parts.select("data").mapInArrow(run, "h long, class long, n long, rare long")
+    def run(group: pa.Table) -> pa.Table:
+        ids, sizes, h, of, order = Lists.read([x.as_py() for x in group["data"]])
+        sort = np.lexsort((h, of))
+        h, of, order = h[sort], of[sort], order[sort]
+        first = np.ones(len(h), bool)
+        first[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+        h, of, order = h[first], of[first], order[first]
+        at = np.searchsorted(of, np.arange(len(ids) + 1))
+        s = np.diff(at)
+        rows = np.flatnonzero(100 * s >= percent * sizes)
+        held, prefix = [], []
+        for r in rows.tolist():
+            own, place, n = h[at[r] : at[r + 1]], order[at[r] : at[r + 1]], int(sizes[r])
+            held.append(squeeze(np.diff(own, prepend=U(0))))
+            prefix.append(own[np.lexsort((own, place))][: prefix_length(n, percent) - (n - len(own))].view(np.int64))
+        return pa.table({"class": ids[rows], "n": sizes[rows], "s": s[rows], "held": pa.array(held, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
+
+    return shared.groupBy("group").applyInArrow(run, "class long, n long, s long, held binary, prefix array<long>")
+
+
+def light_links(docs: DataFrame, words: int, boundary: int, percent: int) -> DataFrame:
+    """a, b: links that join all classes which link by a subset that both list."""
 
+    def run(batches):
+        for ids, sizes, sets in chunks(batches, words):
+            at = np.append(0, np.cumsum(sizes))
+            found = []
+            for k in np.flatnonzero(sizes <= 100 * boundary // percent).tolist():
+                n = int(sizes[k])
+                for m, size in subset_sizes(n, boundary, percent):
+                    subsets = np.array(list(combinations(sets[at[k] : at[k + 1]].tolist(), size)), np.uint64)
+                    h = np.full(len(subsets), min(n, m) << 32 | max(n, m), np.uint64)
+                    for col in subsets.T:
+                        h = mixed(h * U(0x9E3779B97F4A7C15) + col)
+                    found.append((h, np.full(len(h), n <= m), np.full(len(h), ids[k])))
+            if found:
+                h, small, of = (np.concatenate(x) for x in zip(*found, strict=True))
+                for i in range(0, len(h), 65_536):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 65_536].view(np.int64)), pa.array(small[i : i + 65_536]), pa.array(of[i : i + 65_536])], ["subset", "small", "class"])
 
-def possible(percent: int):
-    """Whether a pair may link: sizes, and shared prefix shingles plus all that may lie behind the prefixes."""
-    p = lambda n: F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
-    rest = F.greatest(F.col("n_a") - p("n_a"), F.col("n_b") - p("n_b"))
-    needed = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return sizes & (F.col("shared") + F.col("unseen") + rest >= needed)
+    listed = docs.select("text").mapInArrow(run, "subset long, small boolean, class long")
+    # The smaller sets of a list link with one another and with all larger ones, so one of them stands for all.
+    heads = listed.where("small").groupBy("subset").agg(F.min("class").alias("head"))
+    return listed.join(heads, "subset").where("class <> head").select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")).distinct()
 
 
-def enough_frequent(n_a, rare_a, n_b, rare_b, percent: int):
-    """Whether two sets of frequent lists that share no rare shingle may link: all their rare shingles are in their prefixes."""
-    needed = F.ceil(percent * (n_a + n_b) / (100 + percent))
-    return (F.least(n_a - rare_a, n_b - rare_b) >= needed) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
+def enough(a: str, b: str, percent: int):
+    """Whether two sets may link by their sizes and by how many shingles each has in longer lists."""
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (F.least(f"{a}.s", f"{b}.s") * (100 + percent) >= percent * (n_a + n_b)) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs a, b of classes that link, by their whole sets."""
-    need = reps.join(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "class", "left_semi")
-    texts = docs.select("doc_id", "text").join(need.select(F.col("rep").alias("doc_id"), "class"), "doc_id").select("class", "text")
-    both = pairs.select("a", "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b of classes that link, by the shingles that each has in longer lists: all that they can share."""
+    side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("held").alias(f"held_{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
 
     def run(batches):
-        known, last, kept = word_hashes(), None, None
+        last, kept = None, None
         for batch in batches:
             links = []
-            for a, b, ta, tb in zip(*(batch[c].to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if last != (b, tb):
-                    last, kept = (b, tb), shingles(tb, known, words)
-                s = shingles(ta, known, words)
-                n = len(np.intersect1d(s, kept, assume_unique=True))
-                links.append(100 * n >= percent * (len(s) + len(kept) - n) and class_of(s) == a and class_of(kept) == b)
+            for b, n_a, n_b, held_a, held_b in zip(*(batch[c].to_pylist() for c in ("b", "n_a", "n_b", "held_a", "held_b")), strict=True):
+                if last != b:
+                    last, kept = b, np.cumsum(unsqueeze(held_b, "<u8")[0], dtype=np.uint64)
+                shared = len(np.intersect1d(np.cumsum(unsqueeze(held_a, "<u8")[0], dtype=np.uint64), kept, assume_unique=True))
+                links.append(100 * shared >= percent * (n_a + n_b - shared))
             hit = batch.filter(pa.array(links, pa.bool_()))
             yield pa.RecordBatch.from_arrays([hit["a"], hit["b"]], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def ordered_pair(a: str, b: str):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def class_components(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, component of every class with links; sets has doc_id, n_shingles, class of every row."""
+    spark = docs.sparkSession
+    named = docs.where("doc_id IS NOT NULL")
+    distinct = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.max("n_shingles").alias("n"))
+    sizes = distinct.groupBy(F.least("n", F.lit(100 * LARGEST_LIGHT // percent + 1)).alias("n")).agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t")).collect()
+    total = sum(r["t"] for r in sizes)
+    buckets = max(1, -(-total // BUCKET))
+    groups = -(-buckets // 4)
+    sampled = cut(long_lists(named, words, total))
+    rest = sampled.where("h IS NULL").agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
+    share = min(1.0, SAMPLE / max(total, 1))
+    boundary = choose_boundary({r["n"]: r["c"] for r in sizes}, as_int(rest, "pairs") / share / max(as_int(rest, "n"), 1), percent)
+    lists = sampled.where("h IS NOT NULL").select("h", "n").toPandas().sort_values(["n", "h"])  # at most SAMPLE / OFTEN
+    keys = lists["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    long_ones = spark.sparkContext.broadcast((keys[order], order.astype(np.int64)))
+
+    shared = shared_only(postings(named, words, buckets, groups, long_ones, boundary), buckets, groups)
+    held = saved(linkable(shared, percent), "shared-shingles")
+    rows = cut(held.select("class", "n", "s", F.size("prefix").alias("lists"), F.posexplode("prefix").alias("rank", "h")))
+    sure = light_links(named, words, boundary, percent) if boundary else spark.createDataFrame([], "a long, b long")
+
+    # Every class against the two heads that it meets in most lists: those with least shingles of their own, then of smallest number.
+    head = F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "class", "n", "s")).alias("y")
+    met = rows.join(rows.groupBy("h").agg(head), "h").alias("u").where(F.col("u.class") != F.col("u.y.class")).select("class", "n", "s", "y")
+    met = met.groupBy("class", "n", "s", "y").agg(F.count(F.lit(1)).alias("times")).select(F.struct("class", "n", "s").alias("u"), "y", "times").where(enough("u", "y", percent))
+    best = F.row_number().over(W.partitionBy("u.class").orderBy(F.desc("times"), "y.class"))
+    first = met.withColumn("place", best).where("place <= 2").select(*ordered_pair("u.class", "y.class")).distinct()
+    tested = cut(first)
+    links = cut(verified(tested, held, percent).union(sure).distinct())
+
+    def apart(found: DataFrame) -> DataFrame:
+        """Rows of the lists with members of more than one component."""
+        placed = rows.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        mixed_ = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+        return cut(placed.join(mixed_, "h"))
+
+    def crossing(u: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs in different components whose first shared list this may be: of the lists that a linked pair shares, the first comes early in both."""
+        rest_ = F.greatest(*(F.ceil(F.col(f"{x}.n") * percent / 100) - 1 for x in "uy"))
+        common = F.greatest(F.lit(1), F.ceil(percent * (F.col("u.n") + F.col("y.n")) / (100 + percent)) - rest_)
+        early = (F.col("u.rank") + common <= F.col("u.lists")) & (F.col("y.rank") + common <= F.col("y.lists"))
+        found = u.alias("u").join(y.alias("y"), (F.col("u.h") == F.col("y.h")) & (F.col("u.component") != F.col("y.component")) & early & enough("u", "y", percent))
+        return found.select(*ordered_pair("u.class", "y.class")).distinct().join(tested, ["a", "b"], "left_anti")
+
+    found, left = cut(connected_components(links)), None
+    for central in (CENTRAL, None):
+        left = left or apart(found)
+        if left.isEmpty():
+            break
+        inner = left
+        if central:
+            place = F.row_number().over(W.partitionBy("h").orderBy(F.col("n") - F.col("s"), "class"))
+            inner = left.withColumn("place", place).where(F.col("place") <= central)
+        pairs = cut(crossing(left, inner))
+        tested = tested.union(pairs)
+        more = cut(verified(pairs, held, percent))
+        if not more.isEmpty():
+            links = links.union(more)
+            found, left = cut(connected_components(links)), None
+    return found
+
+
+def with_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, class, component_id of every row."""
+    sets = saved(classes(docs, words), "shingle-classes")
+    found = class_components(docs, sets, words, percent)
+    reps = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    reps = reps.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    least = reps.groupBy("component").agg(F.min("rep").alias("least"))
+    node = reps.join(least, "component").select("class", "least")
+    placed = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").join(node, "class").select("doc_id", "n_shingles", "class", F.col("least").alias("component_id"))
+    alone = sets.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", "class", F.col("doc_id").alias("component_id"))
+    return placed.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
     component_id is the smallest doc_id reachable by links. Texts that are null or have no word have no
     shingles and stay alone. Rows whose doc_id is null keep their row, link with nothing and have a null
-    component. Rows with the same doc_id are one document in the graph. Empty tables give no rows; other
-    columns are ignored.
+    component. Rows that repeat a doc_id are texts of their own. Empty tables give no rows; other columns,
+    whatever their names, are ignored.
     """
-    spark = docs.sparkSession
-    sets = saved(classes(docs, words), "shingle-classes")
-    reps = cut(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
-    whole = reps.agg(F.sum("n").alias("n")).first()
-    buckets = max(1, -(-as_int(whole, "n") // BUCKET))
-    sizes = {r["n"]: r["count"] for r in reps.where(F.col("n") <= 100 * LARGEST_LIGHT // percent + 1).groupBy("n").count().collect()}
-    known = cut(frequencies(docs, words, buckets))
-    scale = known.where("key IS NULL").agg(F.sum("df").alias("n"), F.sum("squares").alias("q")).first()
-    often = known.where("key IS NOT NULL").orderBy(F.desc("df"), "key").limit(MOST_FREQUENT).select("key", "df").toPandas().sort_values("key")
-    frequent = spark.sparkContext.broadcast((often["key"].to_numpy(np.uint64), often["df"].to_numpy(np.int64)))
-    boundary = choose_boundary(sizes, as_int(scale, "q") / max(as_int(scale, "n"), 1), percent)
-    parts = saved(signatures(docs, words, buckets, frequent, boundary, percent), "signatures")
-
-    listed = listed_pairs(parts.where("bucket >= 0"), percent).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("shared").alias("least"), *(F.max(c).alias(c) for c in ("n_a", "n_b", "rare_a", "rare_b")))
-    listed = cut(listed)
-    sure = listed.where("least < 0").select("a", "b")
-    prefix = lambda n: F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
-    unseen = F.least(prefix("n_a") - F.col("rare_a"), prefix("n_b") - F.col("rare_b"))
-    maybe = listed.where("least >= 0").withColumn("unseen", unseen).where(possible(percent)).select("a", "b")
-
-    own = W.partitionBy("class")
-    rows = frequent_rows(parts.where("bucket = -1")).distinct()
-    rows = cut(rows.withColumn("rank", F.row_number().over(own.orderBy("h"))).withColumn("lists", F.count(F.lit(1)).over(own)))
-    heads = rows.groupBy("h").agg(F.min(F.struct("rare", "class", "n")).alias("first"), F.min(F.struct("class", "n", "rare")).alias("second"))
-    head = lambda c: F.struct(*(F.col(f"{c}.{x}").alias(x) for x in ("class", "n", "rare")))
-    central = rows.join(heads, "h").select("class", "n", "rare", F.explode(F.array(head("first"), head("second"))).alias("head"))
-    fits = enough_frequent(F.col("n"), F.col("rare"), F.col("head.n"), F.col("head.rare"), percent)
-    central = central.where(fits & (F.col("class") != F.col("head.class"))).select(F.least("class", "head.class").alias("a"), F.greatest("class", "head.class").alias("b"))
-    links = cut(verified(maybe.union(central).distinct(), docs, reps, words, percent).union(sure).distinct())
-
-    node = reps.select("class", "rep")
-    edges = lambda pairs: pairs.join(node.withColumnsRenamed({"class": "a", "rep": "ra"}), "a").join(node.withColumnsRenamed({"class": "b", "rep": "rb"}), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-
-    def unresolved(found: DataFrame) -> DataFrame:
-        """Rows of the lists with members of more than one component; main is the one with most members."""
-        placed = rows.join(node, "class").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h", "class", "n", "rare", "rank", "lists", F.coalesce("component", "rep").alias("component"))
-        members = placed.groupBy("h", "component").agg(F.count(F.lit(1)).alias("members"))
-        mains = members.groupBy("h").agg(F.max_by("component", F.struct("members", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("h", "main")
-        return cut(placed.join(mains, "h"))
-
-    found = cut(connected_components(edges(links)))
-    left = unresolved(found)
-    if left.limit(1).count():
-        # Most of these link with one of the main component's most central members.
-        place = F.row_number().over(W.partitionBy("h").orderBy("rare", "class"))
-        inner = left.where("component = main").withColumn("place", place).where(F.col("place") <= CENTRAL).alias("y")
-        near = left.where("component <> main").alias("u").join(inner, (F.col("u.h") == F.col("y.h")) & enough_frequent(F.col("u.n"), F.col("u.rare"), F.col("y.n"), F.col("y.rare"), percent))
-        near = near.select(F.least("u.class", "y.class").alias("a"), F.greatest("u.class", "y.class").alias("b")).distinct()
-        links = cut(links.union(verified(near, docs, reps, words, percent)).distinct())
-        found = cut(connected_components(edges(links)))
-        left = unresolved(found)
-    if left.limit(1).count():
-        u, y = left.where("component <> main").alias("u"), left.alias("y")
-        # Of the lists that a pair shares, the first comes early in both: at least `common` of them must be shared.
-        both = lambda c: (F.col(f"u.{c}"), F.col(f"y.{c}"))
-        rest = F.greatest(*(F.ceil(n * percent / 100) - 1 for n in both("n")))
-        common = F.greatest(F.lit(1), F.ceil(percent * (F.col("u.n") + F.col("y.n")) / (100 + percent)) - rest)
-        early = (F.col("u.rank") + common <= F.col("u.lists") + 1) & (F.col("y.rank") + common <= F.col("y.lists") + 1)
-        apart = (F.col("u.h") == F.col("y.h")) & (F.col("u.component") != F.col("y.component"))
-        crossing = u.join(y, apart & early & enough_frequent(F.col("u.n"), F.col("u.rare"), F.col("y.n"), F.col("y.rare"), percent))
-        more = cut(crossing.select(F.least(*both("class")).alias("a"), F.greatest(*both("class")).alias("b")).distinct())
-        links = links.union(verified(more, docs, reps, words, percent))
-        found = cut(connected_components(edges(links)))
-    placed = sets.join(node, "class", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return placed.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+    return with_components(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs, with all their columns: of each component only the row of its smallest doc_id.
+    """docs, with all their columns, whatever their names: of each component only a row of its smallest doc_id.
 
-    Rows without words or without doc_id all stay. Of repeated rows of one doc_id one stays.
+    Rows without words or without doc_id all stay. Where several rows of a component have its smallest
+    doc_id, the one with the smallest class number stays, of these the longest text, and of these the row
+    whose JSON has the smallest hash; equal rows are one. Empty tables give no rows.
     """
-    kept = near_duplicates(docs, words, percent).where("doc_id IS NOT NULL AND doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last()))
-    columns = docs.columns
-    named = named.select(F.struct(*columns).alias("row"), first.alias("place")).where("place = 1").select("row.*")
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    wordless = F.coalesce(~F.col("text").rlike(WORD), F.lit(True)) | F.col("doc_id").isNull()
+    rows = docs.where(~wordless).select("doc_id", "text", F.struct(*columns).alias("row"))
+    kept = with_components(docs, words, percent).where("n_shingles > 0 AND doc_id = component_id")
+    kept = kept.groupBy("doc_id").agg(F.min("class").alias("kept_class")).withColumnRenamed("doc_id", "kept_id")
+
+    def run(batches):
+        for batch in batches:
+            done = 0
+            for part in slices(batch["text"], TEXT):
+                own = batch.slice(done, len(part))
+                done += len(part)
+                yield pa.RecordBatch.from_arrays([own["doc_id"], own["row"], pa.array(class_numbers(*shingle_sets(part, words)))], ["doc_id", "row", "class"])
+
+    schema = rows.select("doc_id", "row").schema.add("class", "long")
+    named = rows.mapInArrow(run, schema).join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("class") == F.col("kept_class")), "left_semi")
+    order = F.struct(-F.length("row.text"), F.sha2(F.to_json("row"), 256))
+    one = named.groupBy("doc_id", "class").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return one.unionByName(docs.where(wordless))
 
 
 def op3_jaccard_join(spark, sf_dir):
