@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardline.llm import pii, secrets, spans
 
@@ -124,10 +125,56 @@ def test_ledger_scans_each_blob_once(spark, monkeypatch):
     assert [r["doc_id"] for r in secrets.drop_texts_with_secrets(docs).orderBy("doc_id").collect()] == [4, 5, 6, 6]
 
 
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_only_unseen_pairs_are_scanned_once_each(spark, monkeypatch, few):
+    monkeypatch.setattr(secrets, "BROADCAST", few)
+    first = spark.createDataFrame([(1, "token = abcdefgh12", "", 0), (2, "old", "", 0), (2, "old", "", 0)], SCHEMA)
+    _, ledger = secrets.scan_versions(first)
+    then = first.unionByName(spark.createDataFrame([(None, "new", "", 0), (None, "new", "", 0), (3, "new", "", 0), (4, None, "", 0), (4, "", "", 0)], SCHEMA))
+    texts = lambda known, rules: sorted(r["text"] for r in secrets.unseen_texts(then, known, rules, "text").collect())
+    assert texts(ledger, secrets.RULES) == ["", "new"]
+    assert texts(ledger, "other rules") == texts(None, secrets.RULES) == ["", "new", "old", "token = abcdefgh12"]
+    found, grown = secrets.scan_versions(then, ledger)
+    assert grown.count() == grown.select("blob_id").distinct().count() == 4
+    assert sorted((str(r["path"]), len(r["findings"])) for r in found.collect()) == [("1", 1), ("2", 0), ("2", 0), ("3", 0), ("4", 0), ("4", 0), ("None", 0), ("None", 0)]
+
+
+def test_a_ledger_table_keeps_what_it_held(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token = abcdefgh12", "", 0), (2, "fine", "", 0)], SCHEMA)
+    table = f"file://{tmp_path}/ledger"
+    counts = lambda found: sorted((r["path"], len(r["findings"])) for r in found.collect())
+    for _ in range(2):
+        found, grown = secrets.scan_versions(docs, table=table)
+        assert counts(found) == [(1, 1), (2, 0)] and grown.count() == 2 and spark.read.parquet(table).count() == 2
+    _, other = secrets.scan_versions(docs)
+    found, grown = secrets.scan_versions(docs, other, table=f"file://{tmp_path}/fresh")
+    assert counts(found) == [(1, 1), (2, 0)] and grown.count() == 2 and spark.read.parquet(f"file://{tmp_path}/fresh").count() == 0
+    assert secrets.drop_texts_with_secrets(docs, table=table).count() == 1
+
+
+def test_dropping_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefgh12", "", 0), (2, "fine", "", 0), (2, "fine", "", 0), (3, None, None, None)], SCHEMA)
+    docs = docs.select("*", *(F.lit("c").alias(c) for c in ("blob_id", "tainted_blob", "b", "path", "Blob_ID_", "rule_version", "findings_")))
+    kept = secrets.drop_texts_with_secrets(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 2, 3]
+    assert secrets.drop_texts_with_secrets(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["personal", "secret"])
+def test_tables_equal_plain_patterns(spark, name, weights):
+    """Every text of the small documents table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    if name == "personal":
+        found, plain, kinds = pii.find_personal_data(docs, weights), plain_pii, spans.PII
+    else:
+        found, plain, kinds = secrets.scan_versions(docs)[0].withColumnRenamed("path", "doc_id"), plain_secrets, spans.SECRETS
+    for r in found.collect():
+        assert [(x["start"], x["end"], x["kind"]) for x in r["findings"] if x["kind"] in kinds] == plain(texts[r["doc_id"]])
+
+
 def test_digest_columns(spark, weights):
     t = "a@b.co and 1.2.3.4"
     df = pii.find_personal_data(spark.createDataFrame([(1, t, "", 0)], SCHEMA), weights)
-    from pyspark.sql import functions as F
-
     got = df.select(*secrets.span_digest(F.col("findings"), pii.KINDS, spans.PII)).first()
     assert got["spans"] == "email:0:6,ip:11:18" and got["base_sha256"] == hashlib.sha256(got["spans"].encode()).hexdigest() and got["n_email"] == 1

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.sources.shared import cut, shared_dir
 
-__all__ = ["WORD", "as_int", "cut", "documents", "embeddings", "hash52", "saved", "shared_dir", "without_cycle_search", "word_count", "worker_cache"]
+__all__ = ["WORD", "as_int", "cut", "documents", "embeddings", "free_name", "hash52", "saved", "shared_dir", "without_cycle_search", "word_count", "worker_cache"]
 
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -65,6 +65,14 @@ def hash52(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("long")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def as_int(row, name: str) -> int:
     """A count or sum of a one-row frame, 0 for an empty table."""
     return int(row[name] or 0)

@@ -27,7 +27,7 @@ TYPES = ("email", "phone", "card", "national_id", "iban")
 KINDS = (*S.PII, "email_spelled", "phone_local", "card_spaced", "national_id", "iban")
 NAMES = dict(zip(TYPES, ("email_spelled", "phone_local", "card_spaced", "national_id", "iban"), strict=True))
 LONGEST = 14
-REACH = 5  # tokens on either side of a trigger
+REACH = 60  # characters on either side of a trigger
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s\w]|_")
 TRIGGER = re.compile(r"[0-9]{2,}|@|[(\[ ](?:at|AT)[)\] ][^\n]{1,40}?[(\[ ](?:dot|DOT)[)\] ]")
 ENDINGS = {"com", "org", "net", "edu", "gov", "de", "fr", "es", "uk", "io", "info"}
@@ -168,11 +168,12 @@ def added_spans(text: str, base: list[tuple[int, int, str]], weights: dict) -> l
     out, k = [], 0
     while k < len(hits):
         low, high = hits[k]
-        while k + 1 < len(hits) and hits[k + 1][0] - high <= 60:
+        while k + 1 < len(hits) and hits[k + 1][0] - high <= REACH:
             k += 1
             high = hits[k][1]
         k += 1
-        # Windows that touch are decoded as one, so the segmentation is that of the whole text.
+        # Triggers at most REACH apart are decoded as one window. Windows of others may share words without
+        # digits or address marks only; a segment holds one of these and LONGEST tokens at most.
         low, high = widen(text, low, -1), widen(text, high, 1)
         tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text, low, high)]
         out += decode(tokens, base, weights)
@@ -180,8 +181,8 @@ def added_spans(text: str, base: list[tuple[int, int, str]], weights: dict) -> l
 
 
 def widen(text: str, at: int, step: int) -> int:
-    """The place REACH words away, at most 60 characters, never inside a word."""
-    end = max(0, at - 60) if step < 0 else min(len(text), at + 60)
+    """The place REACH characters away, or a little more, never inside a word."""
+    end = max(0, at - REACH) if step < 0 else min(len(text), at + REACH)
     while 0 < end < len(text) and text[end - 1].isalnum() and text[end].isalnum() and end != at:
         end -= step
     return end
@@ -233,4 +234,4 @@ def find_personal_data(docs: DataFrame, weights: dict | None = None) -> DataFram
 
 def op1_personal_data(spark, sf_dir):
     found = find_personal_data(documents(spark, sf_dir))
-    return found.select("doc_id", *span_digest(F.col("findings"), KINDS, S.PII))
+    return found.select("doc_id", *span_digest(F.col("findings"), KINDS, S.PII), F.size("findings").cast("long").alias("n_spans"))
