@@ -43,14 +43,12 @@ OFTEN = 12  # sampled classes that make a list long: at most SAMPLE / OFTEN list
 LONG = 1 << 31  # what is added to their places
 
 
-def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of each text's word n-grams (of a shorter text, of all its words together), and where each row's begin."""
+def shingles_in_order(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's word n-grams (of a shorter text, of all its words together), and where each row's begin."""
     w, at = word_hashes(column)
     n = np.diff(at)
     at_sets = np.append(0, np.cumsum(np.where(n >= words, n - words + 1, n > 0)))
     out = np.empty(at_sets[-1], np.uint64)
-    if not len(out):
-        return out, at_sets
     short = np.flatnonzero((n > 0) & (n < words))
     whole = np.ones(len(out), bool)
     whole[at_sets[short]] = False
@@ -67,7 +65,14 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.n
         for v in w[at[r] : at[r + 1]].tolist():
             x = (x * 0x9E3779B97F4A7C15 + v) & 0xFFFFFFFFFFFFFFFF
         out[at_sets[r]] = x
-    out = mixed(out)
+    return mixed(out), at_sets
+
+
+def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text's word n-grams, and where each row's begin."""
+    out, at_sets = shingles_in_order(column, words)
+    if not len(out):
+        return out, at_sets
     ends = at_sets.tolist()
     for a, b in zip(ends, ends[1:], strict=False):
         out[a:b].sort()
