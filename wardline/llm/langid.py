@@ -12,13 +12,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import cut, documents, hash52, worker_cache
+from wardline.llm.wordhash import U, bytes_of, hash_words, slices
 
 #: Bounds of the model, which are also the bounds of what the driver gathers and sends out.
 FIT_DOCUMENTS = 20_000
+TEXT = 2 << 20  # bytes scored at a time
 VOCABULARY = 60_000
 NGRAMS = 40_000
 ORDERS = (4, 3, 2, 1)
@@ -33,11 +36,12 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def fit_language_model(docs: DataFrame, sample: int = FIT_DOCUMENTS, vocabulary: int = VOCABULARY, ngrams: int = NGRAMS) -> dict:
+def fit_language_model(docs: DataFrame, sample: int = FIT_DOCUMENTS, vocabulary: int | None = VOCABULARY, ngrams: int | None = NGRAMS) -> dict:
     """Word and n-gram log frequencies by language from about `sample` labelled rows (all, if there are fewer).
 
     Rows are drawn by a hash of doc_id, so reruns and any partitioning draw the same. Of the words and
-    n-grams the most frequent are kept. Texts or languages that are null don't count.
+    n-grams the most frequent are kept, or all where the bound is None. Texts or languages that are null don't
+    count; from an empty table nothing is learned, and every text is und.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = labelled.count()
@@ -47,8 +51,8 @@ def fit_language_model(docs: DataFrame, sample: int = FIT_DOCUMENTS, vocabulary:
     def count(batches):
         words: dict[str, Counter] = {}
         for batch in batches:
-            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            for text, lang in zip(pc.utf8_lower(batch["text"]).to_pylist(), batch["lang"].to_pylist(), strict=True):
+                words.setdefault(lang, Counter()).update(LETTERS.findall(text))
         rows = [(lang, kind, k, v) for lang, own in words.items() for kind, k, v in tallies(own)]
         for i in range(0, len(rows), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 50_000], strict=True)], ["lang", "kind", "item", "n"])
@@ -61,11 +65,13 @@ def fit_language_model(docs: DataFrame, sample: int = FIT_DOCUMENTS, vocabulary:
     per_item = counts.groupBy("kind", "item").agg(F.sum("n").alias("all_n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
     index, rows = ({}, {}), []
     for kind, most in ((0, vocabulary), (1, ngrams)):
-        top = per_item.where(F.col("kind") == kind).orderBy(F.desc("all_n"), "item").limit(most).select("item", "by").collect()
+        top = per_item.where(F.col("kind") == kind).orderBy(F.desc("all_n"), "item")
+        top = (top if most is None else top.limit(most)).select("item", "by").collect()
         index[kind].update((r["item"], len(rows) + i) for i, r in enumerate(top))
         n = np.array([[r["by"].get(x, 0) for x in langs] for r in top], float).reshape(len(top), len(langs))
         rows.extend(np.log((n + 0.5) / (np.array([totals.get((kind, x), 0) for x in langs]) + 0.5 * (len(top) + 1))))
-    return {"fit": uuid.uuid4().hex, "langs": langs, "words": index[0], "grams": index[1], "scores": np.array(rows).reshape(len(rows), len(langs))}
+    usual = max(range(len(langs)), key=lambda i: totals.get((0, langs[i]), 0), default=-1)
+    return {"fit": uuid.uuid4().hex, "langs": langs, "usual": usual, "words": index[0], "grams": index[1], "scores": np.array(rows).reshape(len(rows), len(langs))}
 
 
 def tallies(words: Counter):
@@ -89,75 +95,107 @@ def word_scores(word: str, model: dict) -> np.ndarray | None:
     return None
 
 
-class Scores(dict):
-    """Raw token -> row of its summed scores and number of words; a token is worked out once in a Python worker."""
+class Scores:
+    """Summed scores of whole texts; a token is worked out once in a Python worker, and found again by its hash."""
 
-    def __init__(self, model: dict, most: int = 300_000):
+    SLOTS = 1 << 19
+
+    def __init__(self, model: dict, most: int = 400_000):
         self.model, self.most = model, most
-        self.rows = np.zeros((4096, len(model["langs"]) + 1))
-        self.used = 1  # row 0: no letter
-
-    def __missing__(self, token: str) -> int:
-        i, parts = 0, LETTERS.findall(token)
-        if parts:
-            i, self.used = self.used, self.used + 1
-            if i == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[i] = 0
-            for w in parts:
+        self.width = len(model["langs"]) + 2  # scores by language, words with a score, words
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows, self.used, self.place = np.zeros((4096, self.width)), 1, {}
+        self.slots, self.in_slot = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int64)
+
+    def learn(self, tokens: list[bytes]) -> np.ndarray:
+        while self.used + len(tokens) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        for i, token in enumerate(tokens, self.used):
+            for w in LETTERS.findall(token.decode("utf-8", "surrogatepass")):
+                self.rows[i, -1] += 1
                 if (s := word_scores(w, self.model)) is not None:
-                    self.rows[i, :-1] += s
-                    self.rows[i, -1] += 1
-        self[token] = i
-        return i
-
-
-def predict(text: str | None, scores: Scores) -> tuple[str, float]:
-    """Best language and its share of belief; und and 0.0 without letters, or where nothing was learned."""
-    langs = scores.model["langs"]
-    if not text or not langs:
-        return UNKNOWN, 0.0
-    tokens = text.lower().split()
-    if len(scores) > scores.most:
-        scores.clear()
-        scores.used = 1
-    ids = np.fromiter(map(scores.__getitem__, tokens), np.int64, len(tokens))
-    if not ids.any():
-        return UNKNOWN, 0.0
-    total = scores.rows[ids].sum(0)
-    if not total[-1]:
-        return langs[0], 1 / len(langs)
-    mean = total[:-1] / total[-1] * min(total[-1], 10.0)  # belief grows with up to ten words
-    share = np.exp(mean - mean.max())
-    best = int(share.argmax())
-    return langs[best], float(share[best] / share.sum())
+                    self.rows[i, :-2] += s
+                    self.rows[i, -2] += 1
+        self.used += len(tokens)
+        return np.arange(self.used - len(tokens), self.used)
+
+    def totals(self, texts: pa.Array) -> np.ndarray:
+        """One row for each text: the sums of its tokens' rows."""
+        if self.used > self.most:
+            self.forget()
+        raw, at = bytes_of(pc.utf8_lower(texts))
+        h, ends, begins = hash_words(raw, at)
+        slot = (h & U(self.SLOTS - 1)).astype(np.int64)
+        row = np.where(self.slots[slot] == h, self.in_slot[slot], 0)
+        missing = np.flatnonzero(row == 0)
+        if len(missing):
+            different, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            number = np.array([self.place.get(x, 0) for x in different.tolist()], np.int64)
+            new = np.flatnonzero(number == 0)
+            where = missing[one[new]]
+            stops = np.append(begins[1:], len(raw))[where]
+            stops = np.minimum(stops, at[np.searchsorted(at, begins[where], "right")])
+            number[new] = self.learn([raw[a:b].tobytes() for a, b in zip(begins[where].tolist(), stops.tolist(), strict=True)])
+            self.place.update(zip(different[new].tolist(), number[new].tolist(), strict=True))
+            slot = (different & U(self.SLOTS - 1)).astype(np.int64)
+            self.slots[slot], self.in_slot[slot] = different, number
+            row[missing] = number[back]
+        out = np.zeros((len(texts), self.width))
+        full = np.flatnonzero(ends[:-1] < ends[1:])
+        if len(full):
+            out[full] = np.add.reduceat(self.rows[row], ends[:-1][full], axis=0)
+        return out
+
+    def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the number of its best language and that one's share of belief; -1 and 0 without letters, or where nothing was learned; the language of most words and 0 where no word and none of its n-grams is known."""
+        total = np.concatenate([np.zeros((0, self.width)), *(self.totals(part) for part in slices(column, TEXT))])
+        langs = len(self.model["langs"])
+        if not langs:
+            return np.full(len(total), -1), np.zeros(len(total))
+        known = total[:, -2]
+        mean = total[:, :langs] / np.maximum(known, 1)[:, None] * np.minimum(known, 10.0)[:, None]  # belief grows with up to ten words
+        share = np.exp(mean - mean.max(axis=1, keepdims=True))
+        best = share.argmax(axis=1)
+        score = share[np.arange(len(best)), best] / share.sum(axis=1)
+        best, score = np.where(known > 0, best, self.model["usual"]), np.where(known > 0, score, 0.0)
+        letters = total[:, -1] > 0
+        return np.where(letters, best, -1), np.where(letters, score, 0.0)
 
 
 def identify_language(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score for every row of docs, from the whole text alone.
 
-    und with score 0 for null, empty or letterless texts. Ties go to the first language in order of name.
+    und with score 0 for null, empty or letterless texts; a text of which nothing is known gets the
+    language of most learned words with score 0. Ties go to the first language in order of name. Repeated
+    rows are answered each; empty tables give no rows; other columns, whatever their names, are ignored.
     """
     sent, fit = docs.sparkSession.sparkContext.broadcast(model), model["fit"]
 
     def run(batches):
         scores = worker_cache(("scores", fit), lambda: Scores(sent.value))
+        names = np.array([*sent.value["langs"], UNKNOWN], object)
         for batch in batches:
-            found = [predict(t, scores) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            best, score = scores.predict(batch["text"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
 def keep_known_language(docs: DataFrame, model: dict, least: float = LEAST_SCORE) -> DataFrame:
-    """docs, with all their columns, without texts that have no language or none with confidence."""
+    """docs, with all their columns, whatever their names, without texts that have no language or none with confidence.
+
+    Null, empty and letterless texts go, and texts of which nothing is known. Repeated rows are judged
+    each; empty tables give no rows.
+    """
     sent, fit = docs.sparkSession.sparkContext.broadcast(model), model["fit"]
 
     def run(batches):
         scores = worker_cache(("scores", fit), lambda: Scores(sent.value))
         for batch in batches:
-            found = [predict(t, scores) for t in batch["text"].to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            best, score = scores.predict(batch["text"])
+            yield batch.filter(pa.array((best >= 0) & (score >= least)))
 
     return docs.mapInArrow(run, docs.schema)
 
