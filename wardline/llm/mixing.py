@@ -8,6 +8,9 @@ before the cut are taken once more than words after it.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,16 +45,16 @@ def source_targets(keyed: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return levels.select("source", "source_rank", "n_rows", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, rows_per_range: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = SEED, rows_per_range: int = 5_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (and the columns of carry as the struct row).
 
     taken: words of the document that the mix takes, repeats counted. Their sum in each source is the
     whole part of its target. Null or empty text has size 0 and is taken 0 times; null sources are one
-    source, the last; repeated rows are documents of their own; an empty table gives no rows. Other
-    columns of docs, whatever their names, are ignored.
+    source, the last; repeated rows are documents of their own (which of two equal rows comes first can't
+    be told); an empty table gives no rows. Other columns of docs, whatever their names, are ignored.
     """
     keyed = docs.select(
-        F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), hash52(F.lit(seed), F.col("doc_id")).alias("mix_key"),
+        F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), hash52(F.lit(seed), F.col("doc_id"), F.col("text")).alias("mix_key"), F.spark_partition_id().alias("mix_origin"),
         *([F.struct(*(F.col(c) for c in carry)).alias("row")] if carry else []),
     )
     if not carry:
@@ -59,12 +62,17 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
     targets = cut(source_targets(keyed.select("source", "size"), weights, share, cap))
     n_ranges = F.ceil(F.col("n_rows") / rows_per_range)
     placed = keyed.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).withColumn("mix_range", F.floor(F.col("mix_key") * n_ranges / float(1 << 52)))
-    slim = placed.select("source_rank", "mix_range", "size")
-    sums = slim.groupBy("source_rank", "mix_range").agg(F.sum("size").alias("range_size"))
-    earlier = W.partitionBy("source_rank").orderBy("mix_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(F.col("source_rank").alias("r"), F.col("mix_range").alias("g"), F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("range_start"))
-    inside = W.partitionBy("source_rank", "mix_range").orderBy("mix_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = placed.join(starts, (F.col("source_rank") == F.col("r")) & (F.col("mix_range") == F.col("g")))
+    # Rows repeated more often than a range may hold stand at its end, parted by where they came from.
+    hot = placed.groupBy("source_rank", "mix_key").count().where(F.col("count") > rows_per_range).select(F.col("source_rank").alias("hot_rank"), F.col("mix_key").alias("hot_key"))
+    placed = placed.join(hot, (F.col("source_rank") == F.col("hot_rank")) & (F.col("mix_key") == F.col("hot_key")), "left")
+    placed = placed.withColumn("hot_key", F.coalesce("hot_key", F.lit(-1))).withColumn("mix_origin", F.when(F.col("hot_key") < 0, 0).otherwise(F.col("mix_origin")))
+    parts = ("mix_range", "hot_key", "mix_origin")
+    sums = placed.select("source_rank", *parts, "size").groupBy("source_rank", *parts).agg(F.sum("size").alias("range_size"))
+    earlier = W.partitionBy("source_rank").orderBy(*parts).rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("range_start"), *(F.col(c).alias(f"at_{c}") for c in ("source_rank", *parts)))
+    inside = W.partitionBy("source_rank", *parts).orderBy("mix_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    same = [F.col(c) == F.col(f"at_{c}") for c in ("source_rank", *parts)]
+    placed = placed.join(starts, functools.reduce(operator.and_, same))
     start = F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("CAST(floor(target) AS BIGINT) div source_size")).otherwise(0)
@@ -76,7 +84,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int
 def take_words(docs: DataFrame, **rules) -> DataFrame:
     """The mixed corpus, with the columns of docs: whole copies, and at each source's cut the words before it.
 
-    A document taken for one and a half times its words comes twice, the second time up to the cut.
+    A document taken for one and a half times its words comes twice, the second time up to the cut. Null,
+    empty and wordless texts have no words to take and don't come; repeated rows are documents of their
+    own; columns keep their names, whatever they are; empty tables give no rows.
     """
     mixed = mix_sources(docs, carry=tuple(docs.columns), **rules)
     whole = F.expr("CASE WHEN size > 0 THEN CAST(taken div size AS INT) ELSE 0 END")
@@ -98,7 +108,7 @@ def op8_mix_sources(spark, sf_dir):
 SQL = rf"""
 WITH keyed AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         substr(md5(concat_ws(':', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 13) AS k FROM documents),
+         substr(md5(concat_ws(':', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))), 1, 13) AS k FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM keyed GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS source_rank FROM per),
 weighed AS (SELECT *, CASE source_rank % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, (source_size * 2)::DOUBLE AS ceiling FROM ranked),
