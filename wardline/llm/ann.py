@@ -21,6 +21,8 @@ BLOCK = 16_384
 QUERY_BLOCK = 4_096
 WIDTH = 3.2  # of the error bound, in its standard deviations
 SEED = 29
+CHUNK = 16  # query blocks that pass one after another by a block
+MOST_TASKS = 20_000
 
 
 def usable(v: Column) -> Column:
@@ -91,22 +93,32 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, block: int =
 
     Both take vec_id and embedding; other columns are ignored. Vectors that usable() refuses and rows
     with a null id take no part; vectors are compared with those of their own dimension. Rows repeated
-    under one id are one candidate each; a query leaves out every row of its own id.
+    under one id are one candidate each; a query leaves out every row of its own id. A query with fewer than
+    k candidates gets all; empty tables give no rows.
     """
     shape = lambda df: df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.size("embedding").alias("dim"), F.col("embedding").cast("array<double>").alias("vector"))
     held = saved(blocks(shape(candidates), block, "block"), "codes")
     asked = cut(blocks(shape(queries), query_block, "asked").select("dim", "asked", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
-    n_blocks = held.select("dim", "block").withColumnRenamed("dim", "d")
-    pairs = asked.select("dim", "asked").join(n_blocks, F.col("dim") == F.col("d")).select("dim", "asked", "block")
-    work = pairs.join(held.drop("n_blocks"), ["dim", "block"]).join(asked, ["dim", "asked"]).repartition(F.hash("dim", "block", "asked", F.md5("ids")))
+    # Each block goes to a task for every CHUNK of the query blocks; these follow one by one.
+    pairs = cut(asked.select("dim", "asked").join(held.select("dim", "block"), "dim").withColumn("chunk", F.floor(F.col("asked") / CHUNK).cast("int")))
+    of_task = pairs.select("dim", "block", "chunk").distinct()
+    none = {c: F.lit(None).cast("binary") for c in ("codes", "lengths", "agreement")}
+    blocks_ = held.drop("n_blocks").join(of_task, ["dim", "block"]).withColumn("asked", F.lit(-1))
+    queries_ = asked.withColumnsRenamed({"q_ids": "ids", "q_vectors": "vectors"}).join(pairs, ["dim", "asked"]).withColumns(none)
+    by = ("dim", "block", "chunk")
+    work = blocks_.unionByName(queries_).repartition(min(max(1, of_task.count()), MOST_TASKS), *by).sortWithinPartitions(*by, "asked")
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                raw = {c: np.frombuffer(batch[c][r].as_py(), t) for c, t in (("ids", "<i8"), ("vectors", "<f8"), ("codes", "u1"), ("lengths", "<f8"), ("agreement", "<f8"), ("q_ids", "<i8"), ("q_vectors", "<f8"))}
-                n = len(raw["ids"])
-                found = search_block(raw["q_vectors"].reshape(len(raw["q_ids"]), -1), raw["q_ids"], raw["vectors"].reshape(n, -1), raw["ids"], raw["codes"].reshape(n, -1), raw["lengths"], raw["agreement"], k, width)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+                read = lambda c, t: np.frombuffer(batch[c][r].as_py(), t)  # noqa: B023, E731
+                ids = read("ids", "<i8")
+                x = read("vectors", "<f8").reshape(len(ids), -1)
+                if batch["asked"][r].as_py() < 0:
+                    kept = x, ids, read("codes", "u1").reshape(len(ids), -1), read("lengths", "<f8"), read("agreement", "<f8")
+                    continue
+                found = search_block(x, ids, *kept, k, width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
     best = work.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -5,7 +5,8 @@ hierarchical graph; every node is searched for in every shard of its label. A se
 beam and then follows the graph from what links until nothing new links, so families of any size are
 found whole. In each pair of shards nodes are compared with all others, in random order, until enough of
 them have a link or none are left: while the mean recall of those that do is below the goal the beam is
-doubled and the pair searched again. What was compared needs no search. Links are verified by cosine in double
+doubled and the pair searched again, and where half the shard is not beam enough, all are compared. What
+was compared needs no search. Links are verified by cosine in double
 precision; each pair of shards reports counts of links and a spanning forest, whose union gives the
 components.
 """
@@ -32,6 +33,8 @@ EF = 32
 AUDIT = 48  # nodes with a link
 BLOCK = 256
 RECALL = 0.995
+CHUNK = 16  # shards whose vectors pass one after another by a graph
+MOST_TASKS = 20_000
 
 
 class Graph:
@@ -161,44 +164,70 @@ class Graph:
         return to[np.repeat(first[nodes] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
-def search_pair(q: np.ndarray, graph: Graph, same: bool, threshold: float = THRESHOLD, ef: int = EF, audit: int = AUDIT, recall: float = RECALL) -> list[np.ndarray]:
-    """For each row of q the graph's rows that link with it; the beam widens until the audit passes."""
+def search_pair(q: np.ndarray, graph: Graph, same: bool, threshold: float = THRESHOLD, ef: int = EF, audit: int = AUDIT, recall: float = RECALL) -> np.ndarray:
+    """Which rows of the graph link with which row of q, as a matrix; the beam widens until the audit passes.
+
+    Where it doesn't pass with a beam of half the graph, rows are compared with all others.
+    """
+    hit, done, linked = np.zeros((len(q), len(graph.x)), bool), np.zeros(len(q), bool), []
     order = np.random.default_rng(len(q)).permutation(len(q))
-    truth, linked = {}, []
+
+    def compare(rows: np.ndarray) -> None:
+        for at in range(0, len(rows), BLOCK):
+            part = rows[at : at + BLOCK]
+            hit[part] = q[part] @ graph.x.T >= threshold
+            done[part] = True
+
     for at in range(0, len(q), BLOCK):
         if len(linked) >= audit:
             break
-        rows = order[at : at + BLOCK].tolist()
-        for i, near in zip(rows, q[rows] @ graph.x.T >= threshold, strict=True):
-            truth[i] = np.flatnonzero(near)
-            if len(truth[i]) > same:
-                linked.append(i)
+        rows = order[at : at + BLOCK]
+        compare(rows)
+        linked += rows[hit[rows].sum(1) > same].tolist()
     linked = linked[:audit]
-    while len(truth) < len(q) and ef < len(graph.x):
-        found = [graph.within(q[i], threshold, ef, i if same else None) for i in linked]
-        if np.mean([(len(np.intersect1d(f, truth[i])) - same) / (len(truth[i]) - same) for i, f in zip(linked, found, strict=True)]) >= recall:
+    while not done.all():
+        if 2 * ef > len(graph.x):
+            compare(np.flatnonzero(~done))
+            break
+        shares = []
+        for i in linked:
+            found = graph.within(q[i], threshold, ef, i if same else None)
+            shares.append((int(hit[i, found].sum()) - same) / (int(hit[i].sum()) - same))
+        if np.mean(shares) >= recall:
+            for i in np.flatnonzero(~done).tolist():
+                hit[i, graph.within(q[i], threshold, ef, i if same else None)] = True
             break
         ef *= 2
-    return [truth[i] if i in truth else graph.within(q[i], threshold, ef, i if same else None) for i in range(len(q))]
+    return hit
 
 
-def forest(n: int, links) -> np.ndarray:
-    """The smallest place in each place's component."""
-    root = list(range(n))
+def verify(hit: np.ndarray, q: np.ndarray, x: np.ndarray, lq: np.ndarray, lx: np.ndarray, threshold: float) -> None:
+    """Keeps in hit the pairs whose cosine is at least the threshold, in double precision on the original vectors."""
+    for i in range(len(hit)):
+        js = np.flatnonzero(hit[i])
+        hit[i, js] = (x[js] @ q[i]) / (lx[js] * lq[i]) >= threshold
 
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
 
-    for i, others in links:
-        a = find(i)
-        for j in set(map(find, others)):
-            low, high = min(a, j), max(a, j)
-            root[high] = low
-            a = low
-    return np.array([find(i) for i in range(n)])
+def forest(hit: np.ndarray) -> np.ndarray:
+    """The smallest place in each place's component, rows first, then columns. Of one set with itself the diagonal must be set."""
+    n, m = hit.shape
+    root = np.arange(n + m)
+    left_rows, left_columns = np.ones(n, bool), np.ones(m, bool)
+    for i in range(n):
+        if not left_rows[i]:
+            continue
+        left_rows[i], edge = False, np.array([i])
+        while len(edge):
+            columns = np.flatnonzero(hit[edge].any(0) & left_columns)
+            left_columns[columns] = False
+            root[n + columns] = i
+            rows = np.zeros(n, bool)
+            for at in range(0, len(columns), BLOCK):
+                rows |= hit[:, columns[at : at + BLOCK]].any(1)
+            edge = np.flatnonzero(rows & left_rows)
+            left_rows[edge] = False
+            root[edge] = i
+    return root
 
 
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, ef: int = EF) -> DataFrame:
@@ -224,39 +253,45 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sha
         return pa.table({c: group[c][:1] for c in ("label", "dim", "shard")} | {k: pa.array([np.ascontiguousarray(v).tobytes()], pa.binary()) for k, v in cols.items()} | {"layers": pa.array([[a.tobytes() for a in g.layers]], pa.list_(pa.binary())), "entry": pa.array([g.entry], pa.int32())})
 
     graphs = saved(dealt.groupBy("label", "dim", "shard").applyInArrow(build, f"label {label}, dim int, shard int, nodes binary, copies binary, vectors binary, layers array<binary>, entry int"), "graphs")
-    asking = graphs.select("label", "dim", F.col("shard").alias("from_shard"), F.col("nodes").alias("q_nodes"), F.col("copies").alias("q_copies"), F.col("vectors").alias("q_vectors"))
-    pairs = asking.join(graphs, ["label", "dim"]).where("from_shard <= shard").drop("label")
+    # Each graph goes to a task for every CHUNK of the shards that ask it; their vectors follow one by one.
+    keys = graphs.select("label", "dim", "shard")
+    tasks = cut(keys.withColumnRenamed("shard", "from_shard").join(keys, ["label", "dim"]).where("from_shard <= shard").withColumn("chunk", F.floor(F.col("from_shard") / CHUNK).cast("int")))
+    of_task = tasks.select("label", "dim", "shard", "chunk").distinct()
+    asked = graphs.join(of_task, ["label", "dim", "shard"]).withColumn("from_shard", F.lit(-1))
+    asking = graphs.withColumnRenamed("shard", "from_shard").join(tasks, ["label", "dim", "from_shard"]).withColumns({"layers": F.lit(None).cast("array<binary>"), "entry": F.lit(None).cast("int")})
+    by = ("label", "dim", "shard", "chunk")
+    pairs = asked.unionByName(asking).repartition(min(max(1, of_task.count()), MOST_TASKS), *by).sortWithinPartitions(*by, "from_shard").drop("label")
 
     def search(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                read = lambda c, t: np.frombuffer(r[c], t)  # noqa: B023, E731
-                a, b, na, nb = read("q_nodes", "<i8"), read("nodes", "<i8"), read("q_copies", "<i8"), read("copies", "<i8")
-                qx, x = read("q_vectors", "<f8").reshape(len(a), -1), read("vectors", "<f8").reshape(len(b), -1)
-                lq, lx = np.linalg.norm(qx, axis=1), np.linalg.norm(x, axis=1)
-                graph = Graph(x / lx[:, None], [np.frombuffer(v, np.int32).reshape(len(b), -1) for v in r["layers"]], r["entry"])
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                ids, copies = np.frombuffer(r["nodes"], "<i8"), np.frombuffer(r["copies"], "<i8")
+                qx = np.frombuffer(r["vectors"], "<f8").reshape(len(ids), -1)
+                lq = np.linalg.norm(qx, axis=1)
+                if r["from_shard"] < 0:
+                    b, nb, x, lx = ids, copies, qx, lq
+                    graph = Graph(x / lx[:, None], [np.frombuffer(v, np.int32).reshape(len(b), -1) for v in r["layers"]], r["entry"])
+                    continue
                 same = r["from_shard"] == r["shard"]
-                found = search_pair(qx / lq[:, None], graph, same, threshold - 1e-9, ef)
-                found = [js[(x[js] @ qx[i]) / (lx[js] * lq[i]) >= threshold] for i, js in enumerate(found)]
+                hit = search_pair(qx / lq[:, None], graph, same, threshold - 1e-9, ef)
+                verify(hit, qx, x, lq, lx, threshold)
+                if same:  # a link that one end found and the other missed counts for both
+                    hit |= hit.T
+                    np.fill_diagonal(hit, False)
+                links = np.array([nb[row].sum() for row in hit], np.int64)
+                if same:
+                    np.fill_diagonal(hit, True)
+                root = forest(hit)
                 if same:
-                    # A link that one end found and the other missed counts for both.
-                    back = [[] for _ in a]
-                    for i, js in enumerate(found):
-                        for j in js.tolist():
-                            back[j].append(i)
-                    found = [np.setdiff1d(np.union1d(js, np.array(other, np.int64)), [i]).astype(np.int64) for i, (js, other) in enumerate(zip(found, back, strict=True))]
-                    ids, links = a, np.array([nb[js].sum() for js in found])
-                    root = forest(len(a), enumerate(map(np.ndarray.tolist, found)))
+                    root = root[: len(ids)]
                 else:
-                    ids, links = np.concatenate([a, b]), np.zeros(len(a) + len(b), np.int64)
-                    for i, js in enumerate(found):
-                        links[i] = nb[js].sum()
-                        links[len(a) + js] += na[i]
-                    root = forest(len(ids), ((i, (js + len(a)).tolist()) for i, js in enumerate(found)))
+                    ids = np.concatenate([ids, b])
+                    links = np.concatenate([links, np.array([copies[hit[:, j]].sum() for j in range(len(b))], np.int64)])
                 keep = links > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep].astype(np.int64)), pa.array(ids[root][keep])], ["node", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep]), pa.array(ids[root][keep])], ["node", "links", "root"])
 
-    found = cut(pairs.repartition(F.hash("dim", "from_shard", "shard", "nodes")).mapInArrow(search, "node long, links long, root long"))
+    found = cut(pairs.mapInArrow(search, "node long, links long, root long"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     info = nodes.join(counts, "node", "left").join(parts, "node", "left").select(F.col("label").alias("of"), F.col("vector").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"), F.xxhash64("vector").alias("h"))
