@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,12 +45,36 @@ def test_shards_are_even_gapless_and_hot_texts_split(spark):
     assert got.sort_values("doc_id").reset_index(drop=True).equals(again.sort_values("doc_id").reset_index(drop=True))
 
 
+def test_shards_are_those_of_one_sorted_list(spark):
+    rng = random.Random(9)
+    texts = [f"text {rng.randint(0, 60)} " * rng.randint(1, 30) for _ in range(400)] + ["hot"] * 300 + [None, ""]
+    docs = docs_of(spark, texts)
+    got = sharding.shard_by_bytes(docs, range_bytes=500).toPandas().set_index("doc_id")
+    keys = docs.select("doc_id", sharding.hash52(F.coalesce("text", F.lit(""))).alias("k"), sharding.hash52(F.col("doc_id")).alias("c")).toPandas()
+    rows = sorted((r.k, r.c, r.doc_id, len((texts[r.doc_id] or "").encode()) + 1) for r in keys.itertuples())
+    total, place, seen = sum(r[3] for r in rows), 0, {}
+    for _, _, doc, size in rows:
+        shard = min(7, place * 8 // total)
+        assert (got["shard"][doc], got["slot"][doc], got["size"][doc]) == (shard, seen.get(shard, 0), size)
+        seen[shard] = seen.get(shard, 0) + 1
+        place += size
+
+
 def test_sharding_edges(spark):
     got = sharding.shard_by_bytes(odd_docs(spark)).toPandas()
     assert len(got) == 9 and got[got.doc_id == 2]["size"].tolist() == [1] and got[got.doc_id == 3].text_crc32.tolist() == [0]
     assert sharding.shard_by_bytes(empty_docs(spark)).count() == 0
 
 
+def test_rows_repeated_without_end_are_parted(spark):
+    rows = [(1, "a b c d", "en", "s")] * 400 + [(i, "x " * (i % 9), "en", "s") for i in range(50)] + [(None, None, None, None)] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(7)
+    got = mixing.mix_sources(docs, rows_per_range=20).toPandas()
+    assert len(got) == 510 and (got.taken <= 2 * got["size"]).all()
+    for _, part in got.groupby("source", dropna=False):
+        assert part.taken.sum() == int(part.target.iloc[0])
+
+
 def test_mix_meets_targets(spark):
     texts = ["w " * (1 + i % 37) for i in range(900)]
     docs = docs_of(spark, texts, ("a", "a", "a", "a", "b", "c"))
@@ -147,7 +172,7 @@ def test_scores_are_bm25_over_the_whole_corpus(spark):
     docs, n_bytes = docs_of(spark, texts).repartition(6), sum(len(t.encode()) for t in texts)
     held = saved(packing.indexed_containers(docs, 1, 300, None, 3, n_bytes / 90, 2, 1.0), "test-index")
     names = {packing.named(r["part"], r["seq"]) + i: d for r in held.where("kind = 0").collect() for i, d in enumerate(r["doc_ids"])}
-    got = packing.nearest(packing.scored_pairs(held.where("kind = 1"), 90, 90), 6).toPandas().sort_values(["id", "place"])
+    got = packing.nearest(packing.scored_pairs(held.where("kind = 1"), 90, 90, 90), 6).toPandas().sort_values(["id", "place"])
     assert held.where("kind = 0").count() == 6 and held.where("kind = 1").select("bucket").distinct().count() == 3
     tf = []
     for t in texts:
@@ -170,7 +195,7 @@ def test_scores_are_bm25_over_the_whole_corpus(spark):
 def test_long_lists_leave_no_document_out(spark):
     texts = [f"one line that all of them have {i} {i * 7} {i * 11}" for i in range(100)]
     held = saved(packing.indexed_containers(docs_of(spark, texts), 1, 300, None, 1, 30.0, 2, 1.0), "test-index")
-    got = packing.nearest(packing.scored_pairs(held.where("kind = 1"), 100, 8)).toPandas()
+    got = packing.nearest(packing.scored_pairs(held.where("kind = 1"), 100, 8, 8)).toPandas()
     assert got.id.nunique() == 100 and got.groupby("id").near.nunique().min() >= 3
 
 
@@ -188,6 +213,32 @@ def test_language_by_words_then_grams(spark, sf_dir):
     assert {r["lang_pred"] for r in langid.identify_language(docs, nothing).collect()} == {"und"}
 
 
+def plain_prediction(text, model):
+    """The rule word by word."""
+    words = langid.LETTERS.findall(pc.utf8_lower(text or "").as_py())
+    if not words:
+        return "und", 0.0
+    found = [x for w in words if (x := langid.word_scores(w, model)) is not None]
+    if not found:
+        return model["langs"][model["usual"]], 0.0
+    mean = sum(found) / len(found) * min(len(found), 10)
+    share = np.exp(mean - mean.max())
+    return model["langs"][int(share.argmax())], float(share.max() / share.sum())
+
+
+def test_language_of_every_text_is_that_of_the_plain_rule(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit_language_model(docs, vocabulary=500, ngrams=None)
+    odd = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(["漢字 漢字", "ÉTÉ  été\x0bÜber", "12 34", "x", None, "", "İstanbul ſecret"])], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(odd)
+    texts = {r["doc_id"]: r["text"] for r in both.collect()}
+    for r in langid.identify_language(both, model).collect():
+        lang, score = plain_prediction(texts[r["doc_id"]], model)
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-9), texts[r["doc_id"]]
+    kept = {r["doc_id"] for r in langid.keep_known_language(both, model).collect()}
+    assert kept == {d for d, t in texts.items() if plain_prediction(t, model)[1] >= langid.LEAST_SCORE}
+
+
 def test_backoff_prefers_longer_grams():
     scores = np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.5, 0.5]]))
     model = {"words": {"haus": 0}, "grams": {"^mai": 1, "a": 2}, "scores": scores}
@@ -300,7 +351,9 @@ def odd_vectors():
 def test_vector_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((500, 16)).astype(np.float32)
-    got = ann.nearest(vectors_of(spark, x, [0] * 500), vectors_of(spark, x, [0] * 500).where("vec_id % 20 = 0"), block=128, query_block=16).toPandas()
+    got = ann.nearest(vectors_of(spark, x, [0] * 500), vectors_of(spark, x, [0] * 500).where("vec_id % 20 = 0"), block=128, query_block=16).toPandas()  # 4 blocks, 2 query blocks
+    again = ann.nearest(vectors_of(spark, x, [0] * 500), vectors_of(spark, x, [0] * 500).where("vec_id % 20 = 0"), block=64, query_block=1).toPandas()
+    assert again.sort_values(["query_id", "rank"]).reset_index(drop=True).equals(got.sort_values(["query_id", "rank"]).reset_index(drop=True))
     truth = x.astype(float) @ x.astype(float).T
     np.fill_diagonal(truth, -np.inf)
     hits = sum(len(set(np.argsort(-truth[q])[:20]) & set(part.vec_id)) for q, part in got.groupby("query_id"))
@@ -354,5 +407,20 @@ def test_audit_sees_lone_pairs_beside_a_hot_family_and_alone(family):
             near = np.flatnonzero(self.x @ q >= threshold)
             return near if ef >= 128 else near[(near < family) | (near == start)]
 
-    found = neardup.search_pair(x, Narrow(x), True, 0.98)
-    assert [js.tolist() for js in found] == [np.flatnonzero(x @ v >= 0.98).tolist() for v in x]
+    class Blind(neardup.Graph):
+        """Never finds a lone pair: no beam passes the audit."""
+
+        def within(self, q, threshold, ef, start=None):
+            return np.array([start])
+
+    for kind in (Narrow, Blind):
+        assert (neardup.search_pair(x, kind(x), True, 0.98) == (x @ x.T >= 0.98)).all()
+
+
+def test_forest_joins_rows_and_columns():
+    hit = np.zeros((4, 3), bool)
+    hit[1, 0] = hit[2, 0] = hit[2, 2] = True
+    assert neardup.forest(hit).tolist() == [0, 1, 1, 3, 1, 5, 1]
+    same = np.eye(4, dtype=bool)
+    same[1, 3] = same[3, 1] = True
+    assert neardup.forest(same)[:4].tolist() == [0, 1, 2, 1]

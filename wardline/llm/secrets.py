@@ -30,7 +30,7 @@ ADDED = {
 KINDS = (*S.SECRETS, *ADDED)
 FINDING = "array<struct<start:int,end:int,kind:string>>"
 LEDGER = f"blob_id string, rule_version string, findings {FINDING}"
-BROADCAST = 500_000  # ids of unseen blobs that are sent to the texts, 64 bytes each
+BROADCAST = 100_000  # ids of unseen blobs that are sent to the texts, 64 bytes each
 
 
 def find_secrets(text: str) -> list[tuple[int, int, str]]:

@@ -47,7 +47,7 @@ class Encoder:
 
     SLOTS = 1 << 21
 
-    def __init__(self, path: str | None = None, most: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str | None = None, most: int = 600_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
