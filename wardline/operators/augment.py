@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.operators.cleaning import union_all, with_places
+from wardline.operators.robustness import URL_CHANGES, perturb_urls
 
 
 def replicate(df: DataFrame, n: int, name: str = "copy") -> DataFrame:
@@ -18,12 +18,13 @@ def bootstrap_noise(df: DataFrame, columns: list[str], n_per_class: int, key: st
     """n rows per class drawn with replacement, with Gaussian noise on columns, never below 0.
 
     Draw d of a class takes the row whose place in key order is a hash of d: draws are spread over tasks
-    and the same in every run. Noise is sigma x the value's own size plus one.
+    and the same in every run. Noise is sigma x the value's own size plus one. Places come from ranges of
+    the key, so no task holds a class.
     """
-    placed = df.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(label))).withColumn("_place", F.row_number().over(W.partitionBy(label).orderBy(key)) - 1)
+    placed = with_places(df, key, label, "_place").withColumn("_place", F.col("_place") - 1)
     classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    draws = classes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_per_class)))).withColumn("_place", F.pmod(F.xxhash64(label, "draw", F.lit(seed)), F.col("_n")).cast("int"))
-    drawn = draws.select(label, "draw", "_place").join(placed.drop("_n"), [label, "_place"]).drop("_place")
+    draws = classes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_per_class)))).withColumn("_place", F.pmod(F.xxhash64(label, "draw", F.lit(seed)), F.col("_n")).cast("long"))
+    drawn = draws.select(label, "draw", "_place").join(placed, [label, "_place"]).drop("_place")
     unit = lambda c, k: F.pmod(F.xxhash64(F.col(label), F.col("draw"), F.lit(c), F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
     noise = {c: F.sqrt(-2 * F.ln(F.greatest(unit(c, 1), F.lit(1e-9)))) * F.cos(2 * 3.141592653589793 * unit(c, 2)) for c in columns}
     return drawn.withColumns({c: F.greatest(F.col(c) + sigma * (F.abs(F.col(c)) + 1) * n, F.lit(0.0)) for c, n in noise.items()})
@@ -45,6 +46,22 @@ def round_robin_by_hash(df: DataFrame, key: str, names: list[str], column: str =
     return df.withColumn(column, F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int")))
 
 
+def changed_copies(df: DataFrame, key: str, names: list[str], label: str = "label", url_col: str = "url") -> DataFrame:
+    """Training rows: each positive row once per change of its address that applies, changed, with a key of its own and its source's key."""
+    return perturb_urls(perturbed_source(df.where(F.col(label) == 1), key), names, url_col).withColumn(key, F.concat_ws("__", F.col(key).cast("string"), "perturbation"))
+
+
+def one_changed_copy(df: DataFrame, key: str, names: list[str], label: str = "label", url_col: str = "url") -> DataFrame:
+    """Training rows: each positive row once, changes of its address dealt in turn by sorted key; rows to which theirs doesn't apply are left out."""
+    rows = round_robin(perturbed_source(df.where(F.col(label) == 1), key), key, names, "perturbation")
+    address = F.coalesce(*(F.when(F.col("perturbation") == n, URL_CHANGES[n](F.col(url_col))) for n in names))
+    return rows.withColumn(url_col, address).where(F.col(url_col).isNotNull()).withColumn(key, F.concat_ws("__", F.col(key).cast("string"), "perturbation"))
+
+
+def perturbed_source(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("source_id", F.col(key))
+
+
 def perturbed_copies(df: DataFrame, key: str, names: list[str], label: str = "label") -> DataFrame:
     """Each positive row once per perturbation, with a key of its own and its source's key."""
     rows = df.where(F.col(label) == 1).withColumn("perturbation", F.explode(F.array(*map(F.lit, names))))

@@ -100,6 +100,25 @@ def with_places(df: DataFrame, order_col: str, by: str | None = None, name: str
     return joined.withColumn(name, place).select(*df.columns, name)
 
 
+def running_sums(df: DataFrame, order: Column, columns: list[str], by=()) -> DataFrame:
+    """df with the columns' sums up to each row in order (<column>_upto) and over all (<column>_all), within `by`.
+
+    Rows are dealt to ranges of the order and summed inside each from where the earlier ranges end, so no
+    task holds a whole group. The order must not tie inside a group.
+    """
+    ranged = cut(df.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(*by, "_part").agg(*(F.sum(c).alias(c) for c in columns))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = parts.select(
+        *(F.col(k).alias(f"_by_{k}") for k in by), F.col("_part").alias("_at"),
+        *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_start_{c}") for c in columns), *(F.sum(c).over(W.partitionBy(*by)).alias(f"{c}_all") for c in columns),
+    )
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by), F.col("_part") == F.col("_at"))
+    inside = W.partitionBy(*by, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    upto = {f"{c}_upto": F.col(f"_start_{c}") + F.sum(c).over(inside) for c in columns}
+    return ranged.join(starts, same).withColumns(upto).select(*df.columns, *upto, *(f"{c}_all" for c in columns))
+
+
 def quota(df: DataFrame, key: str, limits: int | dict, order_col: str) -> DataFrame:
     """The first rows of each key in order, as many as its limit; keys without a limit have none.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardline.operators.cleaning import running_sums
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 4)
@@ -36,14 +37,9 @@ def score_histogram(df: DataFrame, label: str = "label", score: str = "score", b
 
 
 def curve(df: DataFrame, label: str = "label", score: str = "score", by=()) -> DataFrame:
-    """One row per distinct score, highest first, with running counts.
-
-    Scores that are not yet binned should be rounded first: the window runs over distinct scores.
-    """
-    down = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    all_ = W.partitionBy(*by)
-    h = score_histogram(df, label, score, by)
-    return h.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(all_), "all_neg": F.sum("neg").over(all_)})
+    """One row per distinct score with the counts at and above it; summed over ranges of scores."""
+    out = running_sums(score_histogram(df, label, score, by), F.desc("score"), ["pos", "neg"], by)
+    return out.withColumnsRenamed({"pos_upto": "tp", "neg_upto": "fp", "pos_all": "all_pos", "neg_all": "all_neg"})
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by=()) -> DataFrame:
@@ -55,9 +51,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by=()) ->
 
 def pr_areas(df: DataFrame, label: str = "label", score: str = "score", by=()) -> DataFrame:
     """pr_auc by trapezoids from the point (recall 0, precision 1), and average precision by steps."""
-    order = W.partitionBy(*by).orderBy(F.desc("score"))
-    points = curve(df, label, score, by).where("all_pos > 0").select(*by, "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("p"), (F.col("tp") / F.col("all_pos")).alias("r"))
-    steps = points.withColumns({"p0": F.lag("p", 1, 1.0).over(order), "r0": F.lag("r", 1, 0.0).over(order)})
+    points = curve(df, label, score, by).where("all_pos > 0").withColumns({"tp0": F.col("tp") - F.col("pos"), "fp0": F.col("fp") - F.col("neg")})
+    precision = lambda t, f: F.coalesce(F.try_divide(F.col(t), F.col(t) + F.col(f)), F.lit(1.0))
+    steps = points.select(*by, precision("tp", "fp").alias("p"), precision("tp0", "fp0").alias("p0"), (F.col("tp") / F.col("all_pos")).alias("r"), (F.col("tp0") / F.col("all_pos")).alias("r0"))
     gain = F.col("r") - F.col("r0")
     return steps.groupBy(*by).agg(F.round(F.sum(gain * (F.col("p") + F.col("p0")) / 2), 6).alias("pr_auc"), F.round(F.sum(gain * F.col("p")), 6).alias("average_precision"))
 

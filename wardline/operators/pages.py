@@ -50,9 +50,10 @@ def visible_text(most: int = MOST_TEXT) -> Column:
 
 
 def phrase_count(text: Column, phrases) -> Column:
-    """Occurrences of all phrases as whole words; one inside another counts for both."""
-    patterns = (F.lit(WORD_SIDE[0] + "".join(f"\\{c}" if c in "-'." else c for c in p.lower()) + WORD_SIDE[1]) for p in phrases)
-    return reduce(lambda a, b: a + b, (F.regexp_count(text, p) for p in patterns), F.lit(0))
+    """Occurrences of all phrases as whole words; one inside another counts for both. Only phrases that the text holds at all are looked for by pattern."""
+    pattern = lambda p: F.lit(WORD_SIDE[0] + "".join(f"\\{c}" if c in "-'." else c for c in p) + WORD_SIDE[1])
+    counts = (F.when(F.contains(text, F.lit(p)), F.regexp_count(text, pattern(p))).otherwise(0) for p in (x.lower() for x in phrases))
+    return reduce(lambda a, b: a + b, counts, F.lit(0))
 
 
 def resolved_host(link: Column, page: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import fixed
 from wardline.functions.urls import PARTS
-from wardline.operators.evaluation import from_counts
+from wardline.operators.evaluation import confusion, from_counts, roc_auc
 from wardline.sources.shared import cut
 
 # Kinds of features that a change of some percent must keep in bounds.
@@ -46,13 +47,17 @@ def perturb_features(df: DataFrame, columns: list[str], shares=(-0.05, 0.05), ke
 
 
 def feature_fragility(df: DataFrame, columns: list[str], score: Callable[[DataFrame], Column], threshold: float, label: str = "label", shares=(-0.05, 0.05)) -> DataFrame:
-    """Per feature and share: metrics after the change and how much F1 and accuracy fell against no change."""
-    yes = lambda d: score(d) >= threshold
-    count = lambda d, by: d.withColumn("_yes", yes(d)).groupBy(*by).agg(F.count_if(~F.col("_yes") & (F.col(label) == 0)).alias("tn"), F.count_if(F.col("_yes") & (F.col(label) == 0)).alias("fp"), F.count_if(~F.col("_yes") & (F.col(label) == 1)).alias("fn"), F.count_if(F.col("_yes") & (F.col(label) == 1)).alias("tp"))
+    """Per feature and share: metrics after the change and how much F1, accuracy and area under the ROC curve fell against no change."""
+    by = ["changed_feature", "changed_by"]
     plain = df.withColumns({c: F.col(c).cast("double") for c in columns})
-    base = from_counts(count(plain, [])).select(F.col("f1").alias("f1_before"), F.col("accuracy").alias("accuracy_before"))
-    after = from_counts(count(perturb_features(df, columns, shares), ["changed_feature", "changed_by"]))
-    return after.crossJoin(F.broadcast(base)).withColumn("f1_drop", F.round(F.col("f1_before") - F.col("f1"), 4)).withColumn("accuracy_drop", F.round(F.col("accuracy_before") - F.col("accuracy"), 4))
+    plain = plain.select(label, score(plain).alias("score"))
+    moved = perturb_features(df, columns, shares)
+    moved = moved.select(*by, label, score(moved).alias("score"))
+    base = from_counts(confusion(plain, F.col("score") >= threshold, label)).select(F.col("f1").alias("f1_before"), F.col("accuracy").alias("accuracy_before"))
+    base = base.crossJoin(roc_auc(plain, label).withColumnRenamed("roc_auc", "roc_auc_before"))  # one row with one row
+    after = from_counts(confusion(moved, F.col("score") >= threshold, label, by)).join(roc_auc(moved, label, by=by), by)
+    out = after.crossJoin(F.broadcast(base))
+    return out.withColumns({f"{c}_drop": F.round(F.col(f"{c}_before") - F.col(c), 6 if c == "roc_auc" else 4) for c in ("f1", "accuracy", "roc_auc")})
 
 
 def fragility_ranking(fragility: DataFrame) -> DataFrame:
@@ -200,14 +205,24 @@ def perturb_urls(df: DataFrame, names=tuple(URL_CHANGES), url_col: str = "url")
 
 
 def perturb_pages(elements: DataFrame, names=tuple(PAGE_CHANGES)) -> DataFrame:
-    """Each page once per change that applies. The elements are edited in the row; nothing is rendered or kept."""
-    size = F.aggregate("elements", F.lit(0).cast("long"), lambda n, e: n + F.coalesce(F.length(e["text"]), F.lit(0)))
-    named = elements.withColumn("_size", size).withColumn("perturbation", F.explode(F.array(*map(F.lit, names))))
+    """Each page once per change that applies. The elements are edited in the row; nothing is rendered or kept.
+
+    steps, url_changed and length_change tell how far the page moved, valid whether it kept a body and a
+    tenth of its length. Lengths are those of all texts.
+    """
+    length = lambda es: F.aggregate(es, F.lit(0).cast("long"), lambda n, e: n + F.coalesce(F.length(e["text"]), F.lit(0)))
+    body = lambda es: F.exists(es, lambda e: e["tag"] == "body")
+    named = elements.withColumn("_size", length(F.col("elements"))).withColumn("_body", body(F.col("elements"))).withColumn("perturbation", F.explode(F.array(*map(F.lit, names))))
     limit = F.coalesce(*(F.when(F.col("perturbation") == k, F.lit(v)) for k, v in LARGEST.items()), F.lit(LARGEST_PAGE))
     changed = F.col("elements")
     for n in names:
         changed = F.when(F.col("perturbation") == n, PAGE_CHANGES[n](F.col("elements"))).otherwise(changed)
-    return named.where(F.col("_size") <= limit).withColumn("elements", changed).drop("_size")
+    out = named.where(F.col("_size") <= limit).withColumn("elements", changed)
+    after = length(F.col("elements"))
+    return out.withColumns({
+        "steps": F.lit(1), "url_changed": F.lit(False), "length_change": after - F.col("_size"),
+        "valid": (~F.col("_body") | body(F.col("elements"))) & (after >= 0.1 * F.col("_size")),
+    }).drop("_size", "_body")
 
 
 def paired_outcomes(clean: DataFrame, changed: DataFrame, key: str, phishing_min: int = fixed.PHISHING_MIN) -> DataFrame:
@@ -224,6 +239,12 @@ def outcome_summary(outcomes: DataFrame, by=("perturbation",)) -> DataFrame:
     return out.withColumn("evasion_rate", F.round(F.coalesce(F.try_divide(F.col("evasions").cast("double"), F.col("clean_detected")), F.lit(0.0)), 4)).withColumn("recall_derived_f1", F.round(2 * F.col("recall_after") / (1 + F.col("recall_after")), 4))
 
 
+def model_comparison(outcomes: dict[str, DataFrame], by=("perturbation",)) -> DataFrame:
+    """The outcome summary of each named model, before and after changes, one row per perturbation and model."""
+    parts = [outcome_summary(o, by).select(F.lit(name).alias("model"), "*") for name, o in outcomes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def feature_blindness(clean: DataFrame, changed: DataFrame, key: str, features=tuple(fixed.URL_FEATURES)) -> DataFrame:
     """Per perturbation: how many feature values differ between changed and clean rows."""
     old = clean.select(key, *(F.col(c).alias(f"_{c}") for c in features))

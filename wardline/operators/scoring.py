@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed
-from wardline.functions.urls import evidence_list, normalised, rule_url_score, score_of, typo_flag, url_evidence, url_features, url_parts, url_reasons
+from wardline.functions.urls import evidence_list, netloc, normalised, rule_url_score, score_of, typo_flag, url_evidence, url_features, url_parts, url_reasons
 from wardline.operators.pages import analysed_pages, page_evidence, page_reasons
 
 NOTE = {
@@ -98,6 +98,43 @@ def scan_urls(df: DataFrame, url_col: str = "url", safe_max=fixed.SAFE_MAX, phis
     return out.withColumn("risk_score", F.col("structural_score")).withColumn("verdict", verdict(F.col("risk_score"), safe_max, phishing_min))
 
 
+# What a form's target is reported as.
+FORM_ELSEWHERE = "Credential Harvesting: Form submits to '%s'"
+FORM_RAW_IP = "Form action targets raw IP address"
+
+
+def form_target_flags(elements: DataFrame, url_col: str = "url", name: str = "suspicious_forms", flags: str = "form_flags") -> DataFrame:
+    """elements with the flags of every form's action as written, in order, and whether there is any: sent to another host than the page's, or to a raw IP address."""
+    own = netloc(normalised(F.coalesce(F.col(url_col), F.lit(""))))
+    actions = F.filter(F.transform(F.filter("elements", lambda e: e["tag"] == "form"), lambda e: F.coalesce(F.try_element_at(e["attrs"], F.lit("action")), F.lit(""))), lambda a: a != "")
+
+    def of_action(a: Column) -> Column:
+        host = netloc(a)
+        elsewhere = F.when((host != "") & (host != own), F.array(F.format_string(FORM_ELSEWHERE, host)))
+        raw_ip = F.when(a.rlike(r"^https?://[0-9]{1,3}(\.[0-9]{1,3}){3}"), F.array(F.lit(FORM_RAW_IP)))
+        none = F.array().cast("array<string>")
+        return F.concat(F.coalesce(elsewhere, none), F.coalesce(raw_ip, none))
+
+    out = elements.withColumn(flags, F.coalesce(F.flatten(F.transform(actions, of_action)), F.array().cast("array<string>")))
+    return out.withColumn(name, F.size(flags) > 0)
+
+
+def alignment(score: Column, page_probability: Column) -> Column:
+    """1 where both the URL's score (above 50) and the page's probability (above one half) are suspicious."""
+    return F.coalesce((score > 50) & (page_probability > 0.5), F.lit(False)).cast("int")
+
+
+def scan_with_model(pages: DataFrame, model, url_col: str = "url", html_col: str = "html", coefficients=None, probability: str = "model_probability", safe_max=fixed.SAFE_MAX, phishing_min=fixed.PHISHING_MIN) -> DataFrame:
+    """The scan of a table of pages whose page score is a model's: model(features) adds `probability` to URL and page features.
+
+    With coefficients both probabilities are fused by the learned curve, else by shares of the scores.
+    """
+    df = analysed_pages(pages.withColumn(url_col, normalised(F.coalesce(F.col(url_col), F.lit("")))), url_col, html_col)
+    df = model(rule_url_score(url_features(df, url_col))).withColumn("semantic_score", score_of(F.col(probability))).withColumn("page_probability", F.col(probability))
+    fused = fuse(df, "learned" if coefficients else "rule", coefficients=coefficients)
+    return fused.withColumn("verdict", verdict(F.col("risk_score"), safe_max, phishing_min))
+
+
 def threat_score(df: DataFrame, url_col: str = "url", model_probability: str | None = None, form_flags: str | None = None) -> DataFrame:
     """Basic score: near-brand domain 40, plain http 20, suspicious form 40; with a model 0.7 of it, cut to whole points."""
     out = url_parts(df, url_col)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardline.operators.cleaning import with_places
+
 SPLITS = ("train", "validation", "test")
 
 
@@ -51,15 +53,19 @@ def stratified_holdout(df: DataFrame, key: str, label: str = "label", share: flo
 
 
 def fixed_count_split(df: DataFrame, counts: dict[int, dict[str, int]], order_col: str, label: str = "label") -> DataFrame:
-    """Splits of given sizes per class, by order; rows beyond the sizes have none."""
-    place = F.row_number().over(W.partitionBy(label).orderBy(order_col))
+    """Splits of given sizes per class, by order; rows beyond the sizes have none. Places come from ranges of the order, so no task holds a class."""
     out = F.lit(None).cast("string")
     for cls, sizes in counts.items():
         at = 0
         for name, n in sizes.items():
             out = F.when((F.col(label) == cls) & (F.col("_place") > at) & (F.col("_place") <= at + n), name).otherwise(out)
             at += n
-    return df.withColumn("_place", place).withColumn("split", out).drop("_place")
+    return with_places(df, order_col, label, "_place").withColumn("split", out).drop("_place")
+
+
+def assigned(df: DataFrame, name: str, split: str = "split") -> DataFrame:
+    """The rows that came with this split; names count without regard to case and blanks around them."""
+    return df.where(F.lower(F.trim(split)) == name.lower())
 
 
 def pool_split(df: DataFrame, key: str, ratios=(0.6, 0.2), names=("train", "validation", "evaluation"), seed: int = 42) -> DataFrame:

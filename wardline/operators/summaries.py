@@ -8,21 +8,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wardline.operators.cleaning import running_sums
+from wardline.sources.shared import cut
+
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 
 
+def real(v: Column) -> Column:
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], by=(), quantiles=QUANTILES) -> DataFrame:
+    """by, column_name and p<percent> of each quantile, interpolated: values are counted, the counts summed over ranges of values, and the wanted places looked up."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column_name"), real(F.col(c).cast("double")).alias("value")) for c in columns))
+    keys = [*by, "column_name"]
+    counts = df.select(*by, F.inline(cells)).where("value IS NOT NULL").groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = running_sums(counts, F.col("value"), ["n"], keys)
+    out = []
+    for q in quantiles:
+        at = (F.col("n_all") - 1) * q
+        here = lambda k: F.max(F.when((F.col("n_upto") > k) & (F.col("n_upto") - F.col("n") <= k), F.col("value")))
+        low, high, rest = here(F.floor(at)), here(F.ceil(at)), F.max(at - F.floor(at))
+        out.append((low + (high - low) * rest).alias(f"p{round(q * 100)}"))
+    return placed.groupBy(*keys).agg(*out)
+
+
 def profile(df: DataFrame, columns: list[str], by=(), exact: bool = True) -> DataFrame:
     """n, mean, std, min, max, quantiles, nulls, NaNs and infinities of each column, one row each.
 
-    exact=False takes approximate quantiles, whose state is bounded however many values there are.
+    exact=False takes approximate quantiles in the same pass over the rows, whose state is bounded.
     """
-    pick = (lambda c, q: F.percentile(c, q)) if exact else (lambda c, q: F.percentile_approx(c, q, 10_000).cast("double"))
     cells = []
+    names = [f"p{round(q * 100)}" for q in QUANTILES]
     for c in columns:
         v = F.col(c).cast("double")
-        real = F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
-        cells.append(F.struct(F.lit(c).alias("column_name"), F.count(real).alias("n"), F.round(F.avg(real), 6).alias("mean"), F.round(F.stddev_samp(real), 6).alias("std"), F.min(real).alias("least"), F.max(real).alias("largest"), *(F.round(pick(real, q), 6).alias(f"p{round(q * 100)}") for q in QUANTILES), F.count_if(v.isNull()).alias("nulls"), F.count_if(F.isnan(v)).alias("nans"), F.count_if(F.abs(v) == float("inf")).alias("infinities")))
-    return df.groupBy(*by).agg(F.array(*cells).alias("a")).select(*by, F.inline("a"))
+        r = real(v)
+        about = [] if exact else [F.round(F.percentile_approx(r, q, 10_000).cast("double"), 6).alias(p) for p, q in zip(names, QUANTILES, strict=True)]
+        cells.append(F.struct(
+            F.lit(c).alias("column_name"), F.count(r).alias("n"), F.round(F.avg(r), 6).alias("mean"), F.round(F.stddev_samp(r), 6).alias("std"), F.min(r).alias("least"), F.max(r).alias("largest"), *about,
+            F.count_if(v.isNull()).alias("nulls"), F.count_if(F.isnan(v)).alias("nans"), F.count_if(F.abs(v) == float("inf")).alias("infinities"),
+        ))
+    out = df.groupBy(*by).agg(F.array(*cells).alias("a")).select(*by, F.inline("a"))
+    if not exact:
+        return out
+    found = exact_quantiles(df, columns, by)
+    renamed = found.select(*(F.col(k).alias(f"_{k}") for k in (*by, "column_name")), *(F.round(p, 6).alias(p) for p in names))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*by, "column_name")))
+    return out.join(renamed, same, "left").select(*by, "column_name", "n", "mean", "std", "least", "largest", *names, "nulls", "nans", "infinities")
 
 
 def shares(df: DataFrame, column: str, limit: float, by=()) -> DataFrame:
@@ -60,13 +92,11 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
     return df.agg(*(count(c).alias(f"distinct_{c}") for c in columns))
 
 
-def pattern_lists(df: DataFrame, key: str, patterns: dict[str, Column], most: int = 1_000) -> DataFrame:
-    """For each pattern how many rows show it, and the smallest keys of those (at most `most`, so that a list stays a row)."""
+def pattern_lists(df: DataFrame, key: str, patterns: dict[str, Column]) -> DataFrame:
+    """pattern, key, n: every row that shows a pattern, and beside it how many do."""
     named = df.select(key, F.explode(F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in patterns.items())), lambda x: x.isNotNull())).alias("pattern"))
-    w = W.partitionBy("pattern").orderBy(key)
-    counts = named.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    firsts = named.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).groupBy("pattern").agg(F.array_sort(F.collect_list(key)).alias("keys"))
-    return counts.join(firsts, "pattern")
+    counts = named.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))  # one row per pattern
+    return named.join(F.broadcast(counts), "pattern").select("pattern", key, "n")
 
 
 def outcome_stats(df: DataFrame, by: list[str]) -> DataFrame:
@@ -131,23 +161,39 @@ def history(df: DataFrame, key: str, time: str, tie: str, n: int = 20) -> DataFr
 def ttl_reuse(df: DataFrame, key: list[str], time: str, tie: str, ttl_seconds: float = 300.0) -> DataFrame:
     """df with `fresh`: false where a row comes less than ttl after the key's last fresh row. Hits don't extend it.
 
-    Rows of a key that come ttl or more after the row before start a run of their own, so the fold runs
-    over runs, not over whole keys.
+    tie must be unique within a key. Time is cut into stretches of ttl: each row's successor, the first one
+    ttl or more after it, lies in the next stretch of its key or is the first of a later one. A row that
+    comes ttl or more after the one before is fresh; from those all that successors lead to are found by
+    doubling the jumps, so no task folds a whole key.
     """
-    seconds = F.unix_micros(F.col(time).cast("timestamp"))
-    w = W.partitionBy(*key).orderBy(time, tie)
-    gap = F.coalesce(seconds - F.lag(seconds).over(w) >= int(ttl_seconds * 1e6), F.lit(True))
-    runs = df.withColumn("_run", F.sum(gap.cast("int")).over(w))
-    entry = F.struct(seconds.alias("t"), F.col(tie).alias("k"))
-    folded = runs.groupBy(*key, "_run").agg(F.array_sort(F.collect_list(entry)).alias("a"))
-    empty = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(df.dtypes)[tie]}>").alias("fresh"))
-
-    def step(acc, x):
-        new = acc["last"].isNull() | (x["t"] - acc["last"] >= int(ttl_seconds * 1e6))
-        return F.struct(F.when(new, x["t"]).otherwise(acc["last"]).alias("last"), F.when(new, F.concat(acc["fresh"], F.array(x["k"]))).otherwise(acc["fresh"]).alias("fresh"))
-
-    fresh = folded.select(F.explode(F.aggregate("a", empty, step)["fresh"]).alias("_f"))
-    return df.join(fresh, F.col(tie) == F.col("_f"), "left").withColumn("fresh", F.col("_f").isNotNull()).drop("_f")
+    ttl = int(ttl_seconds * 1e6)
+    t = F.unix_micros(F.col(time).cast("timestamp"))
+    rows = cut(df.select(F.struct(*key).alias("k"), F.col(tie).alias("tie"), t.alias("t")).withColumn("s", F.floor(F.col("t") / ttl)))
+    one = F.struct("t", "tie")
+    of_key = W.partitionBy("k").orderBy("s")
+    stretches = rows.groupBy("k", "s").agg(F.min(one).alias("low"), F.max(one).alias("high"))
+    stretches = stretches.select("k", "s", "low", F.lag("high").over(of_key).alias("before"), F.lead("low").over(of_key).alias("after"), F.lead("s").over(of_key).alias("next_s"))
+    stretches = cut(stretches)
+    start = F.col("before").isNull() | (F.col("low.t") - F.col("before.t") >= ttl)
+    marked = cut(stretches.where(start).select("k", F.col("low.tie").alias("tie")))
+    # Successors in the next stretch: rows from there and questions from the stretch before, latest first.
+    asks = rows.select("k", (F.col("s") + 1).alias("s"), (F.col("t") + ttl).alias("t"), F.lit(None).cast(dict(rows.dtypes)["tie"]).alias("tie"), F.col("tie").alias("asker"))
+    both = rows.select("k", "s", "t", "tie", F.lit(None).cast(dict(rows.dtypes)["tie"]).alias("asker")).unionByName(asks)
+    latest_first = W.partitionBy("k", "s").orderBy(F.desc("t"), F.desc_nulls_last("tie")).rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("to", F.last("tie", ignorenulls=True).over(latest_first)).where("asker IS NOT NULL").select("k", (F.col("s") - 1).alias("s"), F.col("asker").alias("tie"), "to")
+    # Without one there, it is the first row of the next stretch after that one.
+    later = stretches.select("k", "s", F.when(F.col("next_s") > F.col("s") + 1, F.col("after.tie")).alias("skip"))
+    beyond = stretches.select("k", (F.col("s") - 1).alias("s"), F.col("after.tie").alias("past"))
+    jumps = found.join(later, ["k", "s"]).join(beyond, ["k", "s"], "left").select("k", "tie", F.coalesce("to", "skip", "past").alias("to")).where("to IS NOT NULL")
+    jumps = cut(jumps)
+    while True:
+        new = cut(marked.join(jumps, ["k", "tie"]).select("k", F.col("to").alias("tie")).distinct().join(marked, ["k", "tie"], "left_anti"))
+        if new.isEmpty():
+            break
+        marked = cut(marked.unionByName(new))
+        jumps = cut(jumps.alias("a").join(jumps.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.to") == F.col("b.tie"))).select("a.k", "a.tie", "b.to"))
+    fresh = marked.select(F.col("k").alias("_k"), F.col("tie").alias("_f"))
+    return df.join(fresh, (F.struct(*key) == F.col("_k")) & (F.col(tie) == F.col("_f")), "left").withColumn("fresh", F.col("_f").isNotNull()).drop("_f", "_k")
 
 
 def debounced(df: DataFrame, key: list[str], time: str, gap: str = "800 milliseconds") -> DataFrame:

@@ -94,6 +94,10 @@ def holdout(spark, sf_dir):
     return splits.stratified_holdout(labelled(spark, sf_dir), "doc_id", "toxic").select("doc_id", "split")
 
 
+def assigned_split(spark, sf_dir):
+    return splits.assigned(documents(spark, sf_dir).select("doc_id", F.concat(F.lit(" "), F.initcap("lang")).alias("split")), "de").select("doc_id")
+
+
 def pool(spark, sf_dir):
     return splits.pool_split(labelled(spark, sf_dir).where("toxic = 1"), "doc_id").select("doc_id", "split")
 
@@ -326,8 +330,7 @@ def distincts(spark, sf_dir):
 
 
 def pattern_lists(spark, sf_dir):
-    out = summaries.pattern_lists(labelled(spark, sf_dir), "doc_id", {"toxic": F.col("toxic") == 1, "long": F.col("n_chars") > 5000, "low": F.col("score") < 0.1})
-    return out.select("pattern", "n", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"))
+    return summaries.pattern_lists(labelled(spark, sf_dir), "doc_id", {"toxic": F.col("toxic") == 1, "long": F.col("n_chars") > 5000, "low": F.col("score") < 0.1})
 
 
 def ranked_rows(spark, sf_dir):
@@ -444,7 +447,7 @@ def fusion_model(spark, sf_dir):
 
 def cross_validation(spark, sf_dir):
     df = labelled(spark, sf_dir).withColumn("label", F.col("toxic").cast("int"))
-    return models.cross_validated(df.select("doc_id", "label", *COLUMNS), COLUMNS, "doc_id", folds=3).select("doc_id", "fold", "probability")
+    return models.cross_validated(df.select("doc_id", "label", *COLUMNS), COLUMNS, "doc_id").select("doc_id", "fold", "probability")
 
 
 def sql_of_sweep() -> str:
@@ -465,6 +468,7 @@ QUERIES = {
     "split_labels": (split_labels, f"{SPLIT} SELECT split, string_agg(DISTINCT CAST(toxic AS VARCHAR), ',' ORDER BY CAST(toxic AS VARCHAR)) AS labels, count(*) FILTER (toxic IS NULL) AS null_labels, true AS valid FROM x GROUP BY split"),
     "stratified_holdout": (holdout, f"WITH {LABELLED}, {split_sql('doc_id', {'train': 0.8, 'test': 0.2}, 'majority', 'SELECT doc_id, toxic AS majority FROM l')} SELECT doc_id, split FROM s"),
     "pool_split": (pool, f"WITH {LABELLED}, {split_sql('doc_id', {'train': 0.6, 'validation': 0.2, 'evaluation': 0.2}, '1', 'SELECT doc_id FROM l WHERE toxic = 1', whole='floor')} SELECT doc_id, split FROM s"),
+    "assigned_split": (assigned_split, "SELECT doc_id FROM documents WHERE lang = 'de'"),
     "fixed_count_split": (fixed_counts, f"WITH {LABELLED}, o AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS r FROM l) SELECT doc_id, CASE WHEN r <= CASE toxic WHEN 0 THEN 40 ELSE 8 END THEN 'train' ELSE 'test' END AS split FROM o WHERE r <= CASE toxic WHEN 0 THEN 50 ELSE 12 END"),
     "group_labels": (group_labels, f"WITH {LABELLED} SELECT source || '/' || CAST(n_chars % 40 AS VARCHAR) AS dom, count(*) AS samples, CAST(sum(toxic) AS BIGINT) AS positives, CAST(sum(toxic) > count(*) / 2.0::DOUBLE AS INTEGER) AS majority FROM l GROUP BY 1"),
     "pairing_violations": (pairing, f"WITH {LABELLED}, a AS (SELECT doc_id, toxic FROM l WHERE doc_id % 9 > 0), b AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 1 - toxic ELSE toxic END AS t2, CASE WHEN doc_id % 13 = 0 THEN 2 ELSE 1 END AS n FROM l WHERE doc_id % 7 > 0), j AS (SELECT doc_id, CASE WHEN toxic IS NULL THEN 'missing_left' WHEN t2 IS NULL THEN 'missing_right' WHEN n > 1 THEN 'repeated' WHEN toxic <> t2 THEN 'label_differs' END AS problem FROM a FULL JOIN b USING (doc_id)) SELECT * FROM j WHERE problem IS NOT NULL"),
@@ -515,7 +519,7 @@ QUERIES = {
     "side_by_side": (populations, f"WITH {LABELLED} SELECT 'toxic' AS population, doc_id, score FROM l WHERE toxic = 1 UNION ALL SELECT 'english', doc_id, score FROM l WHERE lang = 'en'"),
     "value_counts": (counted_values, "SELECT quality, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY quality"),
     "distinct_counts": (distincts, "SELECT count(DISTINCT lang) AS distinct_lang, count(DISTINCT source) AS distinct_source, count(DISTINCT text) AS distinct_text FROM documents"),
-    "pattern_lists": (pattern_lists, f"WITH {LABELLED} " + " UNION ALL ".join(f"SELECT '{k}' AS pattern, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id)[1:1000], ',') AS keys FROM l WHERE {c}" for k, c in (("toxic", "toxic = 1"), ("long", "n_chars > 5000"), ("low", "score < 0.1")))),
+    "pattern_lists": (pattern_lists, f"WITH {LABELLED} " + " UNION ALL ".join(f"SELECT '{k}' AS pattern, doc_id, count(*) OVER () AS n FROM l WHERE {c}" for k, c in (("toxic", "toxic = 1"), ("long", "n_chars > 5000"), ("low", "score < 0.1")))),
     "ranked": (ranked_rows, f"WITH {LABELLED}, o AS (SELECT doc_id, source, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS place FROM l) SELECT * FROM o WHERE place <= 3"),
     "extremes": (extremes, f"WITH {LABELLED} (SELECT doc_id, n_chars, 'largest' AS \"end\" FROM l ORDER BY n_chars DESC, doc_id LIMIT 5) UNION ALL (SELECT doc_id, n_chars, 'smallest' FROM l ORDER BY n_chars, doc_id LIMIT 5)"),
     "largest": (largest, "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20"),

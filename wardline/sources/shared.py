@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where it names none."""
+    """The session's checkpoint folder; one of our own only where it names none and driver and executors are one process."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(f"/tmp/wardline-checkpoints-{uuid.uuid4().hex}")
         found = sc.getCheckpointDir()
     return found
