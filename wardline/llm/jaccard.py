@@ -31,11 +31,11 @@ from wardline.llm.wordhash import U, mixed, slices, word_hashes
 
 WORDS = 5
 PERCENT = 75
-BUCKET = 1_500_000  # shingles a bucket
+BUCKET = 1_000_000  # shingles a bucket
 LARGEST_LIGHT = 12
 CENTRAL = 16  # members of a list that all others are tested against before any pair of others
 CHUNK = 1_000_000  # shingles that a task holds
-TEXT = 4 << 20  # bytes hashed at a time; a longer text is hashed alone
+TEXT = 2 << 20  # bytes hashed at a time; a longer text is hashed alone
 #: Lists that a sample of classes shows to be long skip the shuffle by shingle: their place in the order is their
 #: count in the sample. The sample sets where work is done, not what is found; it bounds what the driver gathers.
 SAMPLE = 8_000_000  # shingles

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import cut, documents, hash52, worker_cache
-from wardline.llm.wordhash import U, bytes_of, hash_words, slices
+from wardline.llm.wordhash import Known, bytes_of, hash_words, slices
 
 #: Bounds of the model, which are also the bounds of what the driver gathers and sends out.
 FIT_DOCUMENTS = 20_000
@@ -98,16 +98,13 @@ def word_scores(word: str, model: dict) -> np.ndarray | None:
 class Scores:
     """Summed scores of whole texts; a token is worked out once in a Python worker, and found again by its hash."""
 
-    SLOTS = 1 << 19
-
-    def __init__(self, model: dict, most: int = 400_000):
+    def __init__(self, model: dict, most: int = 700_000):
         self.model, self.most = model, most
         self.width = len(model["langs"]) + 2  # scores by language, words with a score, words
         self.forget()
 
     def forget(self) -> None:
-        self.rows, self.used, self.place = np.zeros((4096, self.width)), 1, {}
-        self.slots, self.in_slot = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int64)
+        self.rows, self.used, self.known = np.zeros((4096, self.width)), 1, Known(1 << 20)
 
     def learn(self, tokens: list[bytes]) -> np.ndarray:
         while self.used + len(tokens) > len(self.rows):
@@ -127,20 +124,15 @@ class Scores:
             self.forget()
         raw, at = bytes_of(pc.utf8_lower(texts))
         h, ends, begins = hash_words(raw, at)
-        slot = (h & U(self.SLOTS - 1)).astype(np.int64)
-        row = np.where(self.slots[slot] == h, self.in_slot[slot], 0)
+        row = self.known.find(h)
         missing = np.flatnonzero(row == 0)
         if len(missing):
             different, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            number = np.array([self.place.get(x, 0) for x in different.tolist()], np.int64)
-            new = np.flatnonzero(number == 0)
-            where = missing[one[new]]
+            where = missing[one]
             stops = np.append(begins[1:], len(raw))[where]
             stops = np.minimum(stops, at[np.searchsorted(at, begins[where], "right")])
-            number[new] = self.learn([raw[a:b].tobytes() for a, b in zip(begins[where].tolist(), stops.tolist(), strict=True)])
-            self.place.update(zip(different[new].tolist(), number[new].tolist(), strict=True))
-            slot = (different & U(self.SLOTS - 1)).astype(np.int64)
-            self.slots[slot], self.in_slot[slot] = different, number
+            number = self.learn([raw[a:b].tobytes() for a, b in zip(begins[where].tolist(), stops.tolist(), strict=True)])
+            self.known.add(different, number)
             row[missing] = number[back]
         out = np.zeros((len(texts), self.width))
         full = np.flatnonzero(ends[:-1] < ends[1:])

@@ -6,7 +6,6 @@ and the search goes on behind it.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -74,7 +73,3 @@ def in_order(spans, kinds) -> list[tuple[int, int, str]]:
 
 def joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
-
-
-def digest(spans) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()

@@ -17,7 +17,7 @@ from wardline.llm.wordhash import slices
 
 END = 2
 CONTAINER_IDS = 2_000_000
-TEXT = 4 << 20  # bytes of text encoded at a time
+TEXT = 1 << 20  # bytes of text encoded at a time
 
 
 def encoder(path: str | None) -> Encoder:

@@ -17,7 +17,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from wardline.llm.wordhash import BLOCK, U, bytes_of, mixed, places
+from wardline.llm.wordhash import BLOCK, Known, U, bytes_of, mixed, places
 
 TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"WEF2"
@@ -41,35 +41,51 @@ class Encoder:
     That rule ends one before every blank that has no white space on one of its sides, and what the
     tokenizer makes of a piece doesn't depend on the rest. So texts are cut there (and at some line breaks
     and marks, see cut) and equal pieces are encoded once. A text that holds any other blank is encoded in
-    one go. Pieces are told apart by 64-bit hashes of their bytes, for a whole batch at once: `slots` has
-    for the low bits of a hash the piece last seen with them, so most are found by one look-up in an array.
+    one go. Pieces are told apart by 64-bit hashes of their bytes, and found for a whole batch at once.
     """
 
-    SLOTS = 1 << 21
-
-    def __init__(self, path: str | None = None, most: int = 600_000, longest: int = 48):
+    def __init__(self, path: str | None = None, most: int = 1_400_000, longest: int = 48, together: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(TOKENIZER))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65_536 else 4
         self.code, self.kind = ("H", np.uint16) if self.width == 2 else ("I", np.uint32)
-        self.most, self.longest = most, longest
-        self.slots, self.in_slot = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int64)
-        self.place: dict[int, int] = {}  # hash -> piece
-        self.first, self.count, self.n = np.zeros(4096, np.int64), np.zeros(4096, np.int64), 1  # piece 0 is none
+        self.most, self.longest, self.together = most, longest, together
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else -1
+        if len(line) != 1:
+            self.together = 1
+        self.known = Known()
+        self.first, self.count, self.n = np.zeros(4096, np.int64), np.zeros(4096, np.int32), 1  # piece 0 is none
         self.store, self.used = np.zeros(1 << 16, self.kind), 0
 
     def forget(self) -> None:
         """Keeps the half that was met first, which is met most."""
         self.n = self.most // 2
         self.used = int(self.first[self.n - 1] + self.count[self.n - 1])
-        self.place = {h: i for h, i in self.place.items() if i < self.n}
-        gone = self.in_slot >= self.n
-        self.slots[gone], self.in_slot[gone] = 0, 0
+        kept = (self.known.numbers > 0) & (self.known.numbers < self.n)
+        keys, numbers = self.known.keys[kept], self.known.numbers[kept]
+        self.known = Known()
+        self.known.add(keys, numbers)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of each text by the library. Those without white space, but for a blank before them, go many in a call with a line break between."""
+        one = [i for i, t in enumerate(texts) if (t[1:] if t[:1] == " " else t).split() == [t.lstrip(" ")] and t[:2] != "  "]
+        groups = [one[i : i + self.together] for i in range(0, len(one), self.together)]
+        out: list = [None] * len(texts)
+        for group, x in zip(groups, self.tokenizer.encode_batch_fast(["\n".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, self.kind)
+            ends = np.append(np.flatnonzero(ids == self.line), len(ids)).tolist()
+            if len(ends) == len(group):  # else some text takes part in what stands between, and all go by themselves
+                raw, at, w = ids.tobytes(), 0, self.width
+                for i, end in zip(group, ends, strict=True):
+                    out[i] = raw[at * w : end * w]
+                    at = end + 1
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array(self.code, x.ids).tobytes()
+        return out
 
     def put(self, ids: list[bytes]) -> np.ndarray:
         """Numbers of new pieces with these ids."""
@@ -96,21 +112,15 @@ class Encoder:
         begin, stop, after_blank, first = self.cut(raw, at)
         h = hash_ranges(raw, begin, stop)
         h[after_blank] = mixed(h[after_blank]) | U(1)
-        slot = (h & U(self.SLOTS - 1)).astype(np.int64)
-        piece = np.where(self.slots[slot] == h, self.in_slot[slot], 0)
+        piece = self.known.find(h)
         missing = np.flatnonzero(piece == 0)
         if len(missing):
             different, one, back = np.unique(h[missing], return_index=True, return_inverse=True)
-            number = np.array([self.place.get(x, 0) for x in different.tolist()], np.int64)
-            new = np.flatnonzero(number == 0)
-            where = missing[one[new]]
+            where = missing[one]
             parts = [(" " if blank else "") + raw[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b, blank in zip(begin[where].tolist(), stop[where].tolist(), after_blank[where].tolist(), strict=True)]
-            number[new] = self.put(self.ids(parts))
-            kept = np.ones(len(different), bool)
-            kept[new] = stop[where] - begin[where] <= self.longest
-            self.place.update(zip(different[new][kept[new]].tolist(), number[new][kept[new]].tolist(), strict=True))
-            slot = (different[kept] & U(self.SLOTS - 1)).astype(np.int64)
-            self.slots[slot], self.in_slot[slot] = different[kept], number[kept]
+            number = self.put(self.ids(parts))
+            kept = stop[where] - begin[where] <= self.longest
+            self.known.add(different[kept], number[kept])
             piece[missing] = number[back]
         heads = np.flatnonzero(first)
         ends = np.append(heads[1:], len(piece))

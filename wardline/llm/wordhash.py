@@ -94,3 +94,40 @@ def hash_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         hashes[done:upto] = np.add.reduceat(v, own) * down[own]
         done = upto
     return mixed(hashes), rows, begins
+
+
+class Known:
+    """Numbers by hash, found and added for many hashes at once: a table with linear probing. What finds no place is not kept."""
+
+    def __init__(self, slots: int = 1 << 21, probes: int = 12):
+        self.keys, self.numbers, self.probes = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), probes
+
+    def slot(self, h: np.ndarray, k: int) -> np.ndarray:
+        return ((h >> U(20)) + U(k)) & U(len(self.keys) - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash; 0 for those not kept."""
+        out, left = np.zeros(len(h), np.int64), np.arange(len(h))
+        for k in range(self.probes):
+            own = h[left]
+            slot = self.slot(own, k)
+            keys = self.keys[slot]
+            hit = keys == own
+            out[left[hit]] = self.numbers[slot[hit]]
+            left = left[~hit & (keys != 0)]
+            if not len(left):
+                break
+        return out
+
+    def add(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """Keeps distinct hashes that find() doesn't know."""
+        left = np.arange(len(h))
+        for k in range(self.probes):
+            slot = self.slot(h[left], k)
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[left[free]]
+            won = self.keys[slot] == h[left]
+            self.numbers[slot[won]] = numbers[left[won]]
+            left = left[~won]
+            if not len(left):
+                break
