@@ -189,7 +189,7 @@ def test_scores_are_bm25_over_the_whole_corpus(spark):
     found = got.groupby("id").score.agg(list)
     for name, d in names.items():
         want = sorted((s for j in range(90) if j != d and (s := sum(w for g, w in weight[j].items() if g in tf[d]))), reverse=True)[:6]
-        assert np.allclose(found.get(name, []), want, rtol=1e-4)
+        assert np.allclose(found.get(name, []), want, rtol=1e-3)
 
 
 def test_long_lists_leave_no_document_out(spark):
