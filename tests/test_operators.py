@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from wardline.operators import cleaning, evaluation, models, robustness, scoring, splits, summaries
 from wardline.plans import robustness_queries
 from wardline.sources import readers
+from wardline.sources.elements import page_elements
+from wardline.streaming import streams
 
 
 def test_metrics_of_known_counts(spark):
@@ -110,3 +112,49 @@ def test_worst_cases_are_of_all_pages_and_changes(spark, sf_dir):
     alive = [r for r in single if got[r["page_id"]]["original_probability"] >= 0.2]
     assert alive and all(got[r["page_id"]]["final_probability"] + 0.005 * got[r["page_id"]]["steps"] <= r["p"] + 0.005 + 1e-9 for r in alive)
     assert max(r["steps"] for r in got.values()) <= 3 and all(r["final_probability"] <= r["original_probability"] for r in got.values())
+
+
+def test_samples_from_parquet_and_results(spark, tmp_path):
+    raw = spark.createDataFrame([("a", "http://a.test", "Phishing", "<p>", "x.png"), ("b", "http://b.test", "odd", None, None)], "folder_name string, URL string, Class string, full_html string, image_path string")
+    raw.write.parquet(str(tmp_path / "pages"))
+    got = readers.read_samples(spark, str(tmp_path / "pages")).orderBy("sample_id").collect()
+    assert [tuple(r) for r in got] == [("a", "http://a.test", 1, "<p>", True), ("b", "http://b.test", None, None, False)]
+    (tmp_path / "r.json").write_text('{"run": 1, "results": [{"name": "x", "score": 0.5}, {"name": "y", "score": 1.5}]}')
+    rows = readers.read_results(spark, str(tmp_path / "r.json"), "run int, results array<struct<name:string,score:double>>")
+    assert sorted(tuple(r) for r in rows.collect()) == [("x", 0.5), ("y", 1.5)]
+
+
+def test_small_cleaning_steps(spark):
+    df = spark.createDataFrame([(1, "http://a.test", "<p>"), (2, None, ""), (3, "b.test", None)], "sample_id int, url string, html string")
+    assert [r["sample_id"] for r in cleaning.drop_null_urls(df).orderBy("sample_id").collect()] == [1, 3]
+    assert [r["html_available"] for r in cleaning.with_html_flag(df).orderBy("sample_id").collect()] == [1, 0, 0]
+    assert [r["url"] for r in cleaning.with_url(df).orderBy("sample_id").collect()] == ["http://a.test", None, "http://b.test"]
+    a, b = ([r["sample_id"] for r in cleaning.shuffled(df.repartition(n), "sample_id").collect()] for n in (1, 3))
+    assert a == b and sorted(a) == [1, 2, 3]
+    assert [r["sample_id"] for r in cleaning.head(df, ["sample_id"], 2).collect()] == [1, 2]
+
+
+def test_outcomes_of_what_a_model_looks_at(spark):
+    outcomes = spark.createDataFrame([("url_fragment", 1), ("page_meta", 2), ("url_fragment", 3)], "perturbation string, page_id int")
+    models_ = spark.createDataFrame([("url", "url_fragment"), ("url", "url_fragment"), ("page", "page_meta")], "model string, perturbation string")
+    assert sorted((r["model"], r["page_id"]) for r in robustness.compatible(outcomes, models_).collect()) == [("page", 2), ("url", 1), ("url", 3)]
+
+
+def test_page_changes_tell_how_far_they_move(spark):
+    long = "<html><body><p>" + "word " * 50_000 + "</p></body></html>"
+    pages_ = spark.createDataFrame([(1, "http://a.test", "<body><p>login password</p></body>"), (2, "http://b.test", long)], "page_id int, url string, html string")
+    got = {(r["page_id"], r["perturbation"]): r for r in robustness.perturb_pages(page_elements(pages_)).drop("elements").collect()}
+    assert got[1, "page_padding"]["length_change"] == len(robustness.PADDING) and got[1, "page_padding"]["valid"]
+    assert not got[1, "page_text_as_image"]["valid"] and got[1, "page_text_as_image"]["length_change"] == -len("login password")
+    assert {k for k in robustness.PAGE_CHANGES if (2, k) not in got} == {"page_long_hidden_start"}
+
+
+def test_debounced_stream(spark, tmp_path):
+    rows = [("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:00:01"), ("u", "2024-01-01 01:00:00"), ("v", "2024-01-01 00:00:00"), ("u", "2024-01-02 00:00:00"), ("v", "2024-01-02 00:00:00")]
+    df = spark.createDataFrame(rows, "user string, at string").coalesce(1)
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    out = streams.debounced_stream(stream, ["user"], "at", "5 seconds", "1 minute")
+    out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["user"], r["events"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("u", 1), ("u", 2), ("v", 1)]  # the last bursts wait for the watermark

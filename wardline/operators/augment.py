@@ -40,12 +40,6 @@ def round_robin(df: DataFrame, key: str, names: list[str], column: str = "assign
     return with_places(df, key, name="_place").withColumn(column, F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))).drop("_place")
 
 
-def round_robin_by_hash(df: DataFrame, key: str, names: list[str], column: str = "assigned") -> DataFrame:
-    """The same without any order: names dealt by a hash of the key."""
-    at = F.pmod(F.xxhash64(key), F.lit(len(names)))
-    return df.withColumn(column, F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int")))
-
-
 def changed_copies(df: DataFrame, key: str, names: list[str], label: str = "label", url_col: str = "url") -> DataFrame:
     """Training rows: each positive row once per change of its address that applies, changed, with a key of its own and its source's key."""
     return perturb_urls(perturbed_source(df.where(F.col(label) == 1), key), names, url_col).withColumn(key, F.concat_ws("__", F.col(key).cast("string"), "perturbation"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BOOSTED = {"maxIter": 300, "stepSize": 0.08, "maxDepth": 5, "minInstancesPerNode": 3, "subsamplingRate": 0.85, "featureSubsetStrategy": "sqrt"}
 FOREST = {"numTrees": 200, "maxDepth": 14, "featureSubsetStrategy": "sqrt"}
 VOTE = (0.6, 0.4)
+MOST_CONCEPTS = 10_000  # vectors that are sent to every task
 
 
 def require(df: DataFrame, columns: list[str], label: str = "label") -> None:
@@ -28,7 +29,7 @@ def balanced(df: DataFrame, label: str = "label", name: str = "class_weight") ->
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
     weights = counts.crossJoin(F.broadcast(total)).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias(name))
-    return df.join(F.broadcast(weights), label)
+    return df.join(weights, label)  # one row per class
 
 
 def scaler(train: DataFrame, columns: list[str]) -> PipelineModel:
@@ -78,11 +79,13 @@ class Component:
 def fit_component(train: DataFrame, validation: DataFrame, columns: list[str], label: str = "label", boosted=None, forest=None, vote=VOTE, seed: int = 42) -> Component:
     prepared = scaler(train, columns)
     rows = balanced(prepared.transform(train), label).select(label, "features", "class_weight").cache()
-    trees = [
-        renamed(GBTClassifier(labelCol=label, seed=seed, **(BOOSTED | (boosted or {}))), "boosted").fit(rows),
-        renamed(RandomForestClassifier(labelCol=label, weightCol="class_weight", seed=seed, **(FOREST | (forest or {}))), "forest").fit(rows),
-    ]
-    rows.unpersist()
+    try:
+        trees = [
+            renamed(GBTClassifier(labelCol=label, seed=seed, **(BOOSTED | (boosted or {}))), "boosted").fit(rows),
+            renamed(RandomForestClassifier(labelCol=label, weightCol="class_weight", seed=seed, **(FOREST | (forest or {}))), "forest").fit(rows),
+        ]
+    finally:
+        rows.unpersist()
     component = Component(prepared, trees, None, vote)
     held = component.votes(validation).withColumn("vote_vector", array_to_vector(F.array("vote")))
     component.calibration = LogisticRegression(labelCol=label, featuresCol="vote_vector", **named("calibrated")).fit(held)
@@ -130,7 +133,9 @@ def predict_embeddings(model: PipelineModel, df: DataFrame, vector: str = "embed
 
 
 def concept_findings(df: DataFrame, concepts: DataFrame, key: str, vector: str = "embedding", threshold: float = 0.4) -> DataFrame:
-    """key and the sorted names of concepts whose vector has a cosine above threshold. concepts: name, concept; a small table."""
+    """key and the sorted names of concepts whose vector has a cosine above threshold. concepts: name, concept; MOST_CONCEPTS rows at most."""
+    if concepts.limit(MOST_CONCEPTS + 1).count() > MOST_CONCEPTS:
+        raise ValueError(f"more than {MOST_CONCEPTS} concepts; ask in parts")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     a, b = F.col(vector), F.col("concept")
     length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

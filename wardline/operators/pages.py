@@ -64,17 +64,34 @@ def resolved_host(link: Column, page: Column) -> Column:
     return F.lower(F.when(relative, F.regexp_extract(page, PARTS, 2)).otherwise(host))
 
 
+def without_dots(parts: Column) -> Column:
+    """The path of these parts with . and .. worked off."""
+
+    def step(kept: Column, x: Column) -> Column:
+        shorter = F.when(F.size(kept) > 0, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
+        return F.when(x == "..", shorter).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    last = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    path = F.array_join(last, "/")
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+
+
 def resolved(link: Column, page: Column) -> Column:
-    """The link as an absolute address (dot segments are left as they are)."""
+    """The link as an absolute address, as seen from a page."""
     base = F.regexp_extract(page, r"^([^:/?#]+:)?(//[^/?#]*)?", 0)
-    folder = F.concat(base, F.when(F.regexp_extract(page, PARTS, 3).contains("/"), F.regexp_extract(F.regexp_extract(page, PARTS, 3), "^(.*/)", 1)).otherwise("/"))
+    path, tail = F.regexp_extract(link, "^[^?#]*", 0), F.regexp_extract(link, "(?s)^[^?#]*(.*)$", 1)
+    own = F.split(F.regexp_extract(page, PARTS, 3), "/")
+    folder = F.when(F.element_at(own, -1) == "", own).otherwise(F.slice(own, F.lit(1), F.size(own) - 1))
+    joined = F.concat(folder, F.split(path, "/"))
+    joined = F.filter(joined, lambda x, i: (x != "") | (i == 0) | (i == F.size(joined) - 1))
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
         .when(link.startswith("//"), F.concat(F.regexp_extract(page, "^([^:/?#]+:)?", 0), link))
-        .when(link.startswith("/"), F.concat(base, link))
+        .when(link.startswith("/"), F.concat(base, without_dots(F.split(path, "/")), tail))
         .when(link.startswith("?"), F.concat(base, F.regexp_extract(page, PARTS, 3), link))
         .when(link.startswith("#"), F.concat(F.regexp_replace(page, "#.*$", ""), link))
-        .otherwise(F.concat(folder, link))
+        .otherwise(F.concat(base, without_dots(joined), tail))
     )
 
 

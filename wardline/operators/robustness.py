@@ -204,16 +204,19 @@ def perturb_urls(df: DataFrame, names=tuple(URL_CHANGES), url_col: str = "url")
     return df.withColumn("_c", F.explode(cases)).where("_c._url IS NOT NULL").withColumn("perturbation", F.col("_c.perturbation")).withColumn(url_col, F.col("_c._url")).drop("_c")
 
 
-def perturb_pages(elements: DataFrame, names=tuple(PAGE_CHANGES)) -> DataFrame:
-    """Each page once per change that applies. The elements are edited in the row; nothing is rendered or kept.
+CLEAN = "clean"
+
+
+def perturb_pages(elements: DataFrame, names=tuple(PAGE_CHANGES), clean: bool = False) -> DataFrame:
+    """Each page once per change that applies, and with `clean` once as it is under that name. The elements are edited in the row; nothing is rendered or kept.
 
     steps, url_changed and length_change tell how far the page moved, valid whether it kept a body and a
     tenth of its length. Lengths are those of all texts.
     """
     length = lambda es: F.aggregate(es, F.lit(0).cast("long"), lambda n, e: n + F.coalesce(F.length(e["text"]), F.lit(0)))
     body = lambda es: F.exists(es, lambda e: e["tag"] == "body")
-    named = elements.withColumn("_size", length(F.col("elements"))).withColumn("_body", body(F.col("elements"))).withColumn("perturbation", F.explode(F.array(*map(F.lit, names))))
-    limit = F.coalesce(*(F.when(F.col("perturbation") == k, F.lit(v)) for k, v in LARGEST.items()), F.lit(LARGEST_PAGE))
+    named = elements.withColumn("_size", length(F.col("elements"))).withColumn("_body", body(F.col("elements"))).withColumn("perturbation", F.explode(F.array(*map(F.lit, (*names, CLEAN) if clean else names))))
+    limit = F.coalesce(F.when(F.col("perturbation") == CLEAN, F.col("_size")), *(F.when(F.col("perturbation") == k, F.lit(v)) for k, v in LARGEST.items()), F.lit(LARGEST_PAGE))
     changed = F.col("elements")
     for n in names:
         changed = F.when(F.col("perturbation") == n, PAGE_CHANGES[n](F.col("elements"))).otherwise(changed)

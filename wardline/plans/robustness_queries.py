@@ -58,12 +58,14 @@ def changed_addresses(spark, sf_dir):
 def page_scores(elements):
     df = scoring.rule_page_score(urls.rule_url_score(urls.url_features(pages.page_features(elements, banks=BANKS).drop("elements"))))
     out = df.withColumn("risk_score", scoring.fuse_by_points(F.col("structural_score"), F.col("semantic_score"), F.col("html_available")))
-    return out.withColumn("verdict", scoring.verdict(F.col("risk_score")))
+    return out.select("page_id", "perturbation", "risk_score", scoring.verdict(F.col("risk_score")).alias("verdict"))
 
 
 def page_outcomes(spark, sf_dir):
-    elements = page_elements(table(spark, sf_dir, "pages"))
-    return robustness.outcome_summary(robustness.paired_outcomes(page_scores(elements), page_scores(robustness.perturb_pages(elements)), "page_id", 15))
+    """Pages are read once; only scores are kept to pair clean and changed ones."""
+    scores = cut(page_scores(robustness.perturb_pages(page_elements(table(spark, sf_dir, "pages")), clean=True)))
+    clean, changed = (scores.where(F.col("perturbation").eqNullSafe(robustness.CLEAN) == own) for own in (True, False))
+    return robustness.outcome_summary(robustness.paired_outcomes(clean, changed, "page_id", 15))
 
 
 def second_score(df):
