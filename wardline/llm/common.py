@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
-from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.sources.shared import cut, shared_dir
 
-__all__ = ["WORD", "as_int", "cut", "documents", "embeddings", "free_name", "hash52", "saved", "shared_dir", "without_cycle_search", "word_count", "worker_cache"]
+__all__ = ["WORD", "as_int", "cut", "documents", "embeddings", "forget_caches", "free_name", "hash52", "saved", "shared_dir", "word_count", "worker_cache"]
 
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,16 +34,10 @@ def worker_cache(name, make):
     return _caches[name]
 
 
-@contextmanager
-def without_cycle_search():
-    """Python's search for cyclic garbage costs a fifth of the time where lists of a million small values come and go, and finds none."""
-    was = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if was:
-            gc.enable()
+def forget_caches() -> None:
+    """For tasks that need none: what earlier stages left in this Python worker goes, and Arrow gives back what it doesn't use."""
+    _caches.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

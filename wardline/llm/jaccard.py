@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardline.llm.common import WORD, as_int, cut, documents, saved
+from wardline.llm.common import WORD, as_int, cut, documents, forget_caches, saved
 from wardline.llm.components import connected_components
 from wardline.llm.wordhash import U, mixed, slices, word_hashes
 
@@ -34,7 +34,7 @@ PERCENT = 75
 BUCKET = 1_000_000  # shingles a bucket
 LARGEST_LIGHT = 12
 CENTRAL = 16  # members of a list that all others are tested against before any pair of others
-CHUNK = 1_000_000  # shingles that a task holds
+CHUNK = 700_000  # shingles that a task holds
 TEXT = 2 << 20  # bytes hashed at a time; a longer text is hashed alone
 #: Lists that a sample of classes shows to be long skip the shuffle by shingle: their place in the order is their
 #: count in the sample. The sample sets where work is done, not what is found; it bounds what the driver gathers.
@@ -147,6 +147,7 @@ def runs(bucket: np.ndarray):
 
 def chunks(batches, words: int):
     """Classes of a task's texts, each once a chunk: numbers, sizes, and their sets one after another."""
+    forget_caches()
     ids, sizes, sets, seen, n = [], [], [], set(), 0
     for batch in batches:
         for part in slices(batch["text"], TEXT):
@@ -172,6 +173,7 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, class of every row."""
 
     def run(batches):
+        forget_caches()
         for batch in batches:
             done = 0
             for part in slices(batch["text"], TEXT):
@@ -468,19 +470,21 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     wordless = F.coalesce(~F.col("text").rlike(WORD), F.lit(True)) | F.col("doc_id").isNull()
-    rows = docs.where(~wordless).select("doc_id", "text", F.struct(*columns).alias("row"))
+    rows = docs.where(~wordless).select("doc_id", F.struct(*columns).alias("row"))
+    text = next(c for c in docs.columns if c.lower() == "text")
     kept = with_components(docs, words, percent).where("n_shingles > 0 AND doc_id = component_id")
     kept = kept.groupBy("doc_id").agg(F.min("class").alias("kept_class")).withColumnRenamed("doc_id", "kept_id")
 
     def run(batches):
+        forget_caches()
         for batch in batches:
             done = 0
-            for part in slices(batch["text"], TEXT):
+            for part in slices(batch["row"].field(text), TEXT):
                 own = batch.slice(done, len(part))
                 done += len(part)
                 yield pa.RecordBatch.from_arrays([own["doc_id"], own["row"], pa.array(class_numbers(*shingle_sets(part, words)))], ["doc_id", "row", "class"])
 
-    schema = rows.select("doc_id", "row").schema.add("class", "long")
+    schema = rows.select("*").schema.add("class", "long")
     named = rows.mapInArrow(run, schema).join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("class") == F.col("kept_class")), "left_semi")
     order = F.struct(-F.length("row.text"), F.sha2(F.to_json("row"), 256))
     one = named.groupBy("doc_id", "class").agg(F.min_by("row", order).alias("row")).select("row.*")

@@ -44,7 +44,7 @@ class Encoder:
     one go. Pieces are told apart by 64-bit hashes of their bytes, and found for a whole batch at once.
     """
 
-    def __init__(self, path: str | None = None, most: int = 1_400_000, longest: int = 48, together: int = 256):
+    def __init__(self, path: str | None = None, most: int = 1_000_000, longest: int = 48, together: int = 256):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
