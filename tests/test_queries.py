@@ -5,7 +5,7 @@ from wardline.plans import all_queries
 
 WITH_SQL = [k for k, (_, sql) in all_queries.QUERIES.items() if sql]
 WITHOUT = [k for k, (_, sql) in all_queries.QUERIES.items() if not sql]
-SLOW = {"component_model", "model_importances", "cross_validation", "embedding_model"}
+SLOW = {"component_model", "model_importances"}  # test_models_plain.py fits them on a smaller table
 
 
 @pytest.mark.parametrize("name", WITH_SQL)

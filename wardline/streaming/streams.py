@@ -63,8 +63,11 @@ def quota_stream(stream: DataFrame, key: str, limit: int, order: str) -> DataFra
 def ttl_stream(stream: DataFrame, key: list[str], time: str, tie: str, ttl_seconds: float = 300.0, late: str = "10 minutes") -> DataFrame:
     """Rows with `fresh`: false within ttl of the key's last fresh row, which hits don't extend.
 
-    Rows of a key are taken in order of time inside each batch. State is the last fresh time; it goes once
-    the watermark is ttl past it.
+    Rows are judged as they come, like a cache that is asked now: in order of time inside each batch, and a
+    row older than its key's last fresh one of an earlier batch is a hit. Where files come in order of time
+    that is what ttl_reuse() says of the whole table; where they don't, use that. A key's rows of one batch
+    are held at a time, so batches should be bounded (maxFilesPerTrigger). State is the last fresh time; it
+    goes once the watermark is ttl past it.
     """
     kinds = ", ".join(f"{k} {t}" for k, t in timed(stream, time).select(*key, time, tie).dtypes)
 
