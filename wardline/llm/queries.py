@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import ann, fim, jaccard, langid, mixing, neardup, packing, pii, secrets, sharding, tokenids
+from wardline.llm import ann, chat, fim, jaccard, langid, mixing, neardup, packing, pii, secrets, sharding, tokenids
 
 
 def queries() -> dict:
@@ -17,9 +17,10 @@ def queries() -> dict:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_token_ids": tokenids.op9_token_ids,
         "op10_nearest": ann.op10_nearest,
+        "op11_format_chats": chat.op11_format_chats,
         "op13_fill_in_middle": fim.op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": jaccard.SQL, "op5_embedding_neardup": neardup.SQL, "op10_nearest": ann.SQL, "op8_mix_sources": mixing.SQL, "op13_fill_in_middle": fim.SQL}
+    return {"op3_jaccard_join": jaccard.SQL, "op5_embedding_neardup": neardup.SQL, "op10_nearest": ann.SQL, "op8_mix_sources": mixing.SQL, "op11_format_chats": chat.SQL, "op13_fill_in_middle": fim.SQL}
