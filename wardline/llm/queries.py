@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import ann, chat, fim, jaccard, langid, mixing, neardup, packing, pii, secrets, sharding, tokenids
+from wardline.llm import ann, chat, fim, jaccard, langid, mixing, neardup, packing, pii, repair, secrets, sharding, tokenids
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_token_ids": tokenids.op9_token_ids,
         "op10_nearest": ann.op10_nearest,
         "op11_format_chats": chat.op11_format_chats,
+        "op12_repair_conversations": repair.op12_repair_conversations,
         "op13_fill_in_middle": fim.op13_fill_in_middle,
     }
 
