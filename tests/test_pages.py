@@ -1,7 +1,14 @@
+import random
+import re
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
+from wardline.functions import fixed
+from wardline.functions.phrases import Counter, phrase_count, phrase_counts
 from wardline.operators import pages, robustness, scoring
-from wardline.sources.elements import page_elements, read_page
+from wardline.sources.elements import element_arrays, page_elements, read_page
 
 LOGIN = """<html><head><title>Bank</title></head><body><h1>Login</h1><p>Please verify your account now.</p>
 <form action="https://evil.test/x"><input type="text" name="username"><input type="password" name="p"><input type="submit" value="Go"></form></body></html>"""
@@ -81,3 +88,48 @@ def test_percent_encoding(spark):
 def test_annotated_text(spark):
     df = pages.annotated_text(page_elements(spark.createDataFrame([("u", LOGIN)], "url string, html string")), 4)
     assert df.first()["annotated"] == "[TITLE] Bank Login Please"
+
+
+SIGNS = ["<", "</", ">", "<!", "<![", "[", "]]>", "<!--", "-->", "<?", "a", "script", "title", "=", "'", '"', " ", "/", "&", "#x41;", "&#99999999999;", "&#xD800;", "\0", "é", "<a href=x>", "</script>", "<!DOCTYPE", "--!>", "\n", "CDATA[", "if IE]>", "style", "foo"]
+
+
+def test_no_page_raises():
+    rng = random.Random(0)
+    for _ in range(10_000):
+        read_page("".join(rng.choices(SIGNS, k=rng.randint(0, 25))))
+        read_page(rng.randbytes(rng.randint(0, 100)).decode("latin-1"))
+    assert [e["text"] for e in read_page("a<![foo[bar]]>b") if e["tag"] == "#text"] == ["a", "b"]
+    assert [e["tag"] for e in read_page("<p>x<![if IE]>y</p><a <b")] == ["p", "#text", "#text", "#text"]
+
+
+@pytest.mark.parametrize("page", ["<p>" * 20_000 + "</b>" * 20_000, *(s * (100_000 // len(s)) + e for s in ("<!--", "<![x", "<a ", "</a ", "<a b='", "<?", "<!", "&#") for e in ("", ">")), "<script>" + "</scrip" * 14_000 + ">", "<p>word</p>" * 90_000])
+def test_time_is_linear(page):
+    began = time.process_time()
+    read_page(page)
+    assert time.process_time() - began < 8
+
+
+def test_arrow_columns_are_the_elements():
+    made = ["<title>t</title><form action='/x'><input type=text value></form><p style='display:none'>a<script>b</script>", None, "", "plain"]
+    assert [[{**e, "attrs": dict(e["attrs"])} for e in p] for p in element_arrays(made).to_pylist()] == [read_page(h) for h in made]
+    assert element_arrays([]).to_pylist() == [] and element_arrays([None]).to_pylist() == [[]]
+
+
+def by_pattern(text, phrases):
+    side = r"(?<![^\W])", r"(?![^\W])"
+    return sum(len(re.findall(side[0] + re.escape(p.lower()) + side[1], text)) for p in phrases)
+
+
+def test_phrases_by_automaton_and_by_patterns():
+    rng = random.Random(2)
+    banks = {**fixed.PAGE_WORDS, "nested": ("now", "act now", "now act now", "act", "a", "a a", "don't", "ACT"), "none": ()}
+    words = [w for p in banks.values() for w in p] + ["a", "b", "é", "_", "1", "ação"]
+    own = Counter(tuple((n, tuple(p)) for n, p in banks.items()))
+    for _ in range(1_500):
+        text = "".join(rng.choice(words).lower() + rng.choice([" ", "  ", "-", "", ".", "_", "'"]) for _ in range(rng.randint(0, 30)))
+        assert own.counts(text) == [by_pattern(text, p) for p in banks.values()], text
+
+
+def test_phrases_of_odd_texts(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("pay now now",)], "text string").select(phrase_counts(F.col("text"), {"x": ("now", "pay now"), "y": ()}).alias("c"), phrase_count(F.col("text"), ("pay",)).alias("n"))
+    assert [(r["c"] and tuple(r["c"]), r["n"]) for r in rows.collect()] == [(None, 0), ((0, 0), 0), ((3, 0), 1)]

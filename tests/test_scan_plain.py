@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import fixed
 from wardline.functions.urls import rule_url_score, url_evidence, url_features
-from wardline.operators import pages, scoring
+from wardline.operators import pages, robustness, scoring
 from wardline.sources.elements import page_elements
 
 MADE = [
@@ -190,3 +190,22 @@ def test_links_resolve_like_the_standard_library(spark):
 def test_alignment(spark):
     df = spark.createDataFrame([(60, 0.6), (50, 0.9), (90, 0.5), (None, 0.9)], "s int, p double").select(scoring.alignment(F.col("s"), F.col("p")).alias("x"))
     assert [r["x"] for r in df.collect()] == [1, 0, 0, 0]
+
+
+def test_changed_features_are_those_of_changed_pages(spark, sf_dir):
+    """By what a change touches, and by analysing every changed page whole: the same rows."""
+    made = [
+        (901, "https://a.example.com/x", "<html><head><title>Log-in: password</title></head><body><p>Verify your account, urgent payment. PASSWORD pass-word</p><form action='/go'><input type=password><input type=text name=u></form><a href=\"http://o.example/it's\">sign in</a><a href='/y'>b</a><script>login</script><p style='display:none'>password</p></body></html>"),
+        (902, "http://b.example.org/", "no markup password"), (903, "http://c.example.org/", None), (904, None, "<title>username</title>"), (905, "http://d.example.org/q", "<body>" + "login password " * 20_000 + "</body>"),
+        (906, "http://e.example.org/q", "<body>password</body>"), (907, "http://f.example.org/", "<p>" + "x" * 5_200 + "</p>"),
+    ]
+    df = spark.createDataFrame(made, "page_id long, url string, html string").unionByName(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    elements = page_elements(df).persist()
+    columns = ["page_id", "perturbation", "url", "html_available", "page_title", "text_length", "password_fields", "text_email_fields", "forms", "form_actions", "has_external_form_action", "external_links", "iframes", "scripts"]
+    columns += [f"{b}_indicators" for b in fixed.PAGE_WORDS] + ["steps", "url_changed", "length_change", "valid"]
+    whole = pages.page_features(robustness.perturb_pages(elements, clean=True)).select(*columns)
+    short = robustness.changed_page_features(elements, clean=True).select(*columns)
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(short) == key(whole)
+    assert set(robustness.TOUCHED) == set(robustness.PAGE_CHANGES)
+    elements.unpersist()

@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed
+from wardline.functions.phrases import phrase_count, phrase_counts
 from wardline.functions.urls import PARTS, any_in, evidence_list, number, url_parts
 from wardline.sources.elements import page_elements
 
 LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 MOST_TEXT = 5_000
-WORD_SIDE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
 def strip(text: Column) -> Column:
@@ -44,16 +44,13 @@ def tidy(text: Column, most: int = MOST_TEXT) -> Column:
     return F.substring(F.array_join(chunks, " "), 1, most)
 
 
-def visible_text(most: int = MOST_TEXT) -> Column:
-    texts = F.transform(elements_where(lambda e: (e["tag"] == "#text") & shown(e)), lambda e: e["text"])
-    return tidy(F.array_join(texts, " "), most)
+def joined_text(parts: Column, most: int = MOST_TEXT) -> Column:
+    """The shown text of these text elements."""
+    return tidy(F.array_join(F.transform(parts, lambda e: e["text"]), " "), most)
 
 
-def phrase_count(text: Column, phrases) -> Column:
-    """Occurrences of all phrases as whole words; one inside another counts for both. Only phrases that the text holds at all are looked for by pattern."""
-    pattern = lambda p: F.lit(WORD_SIDE[0] + "".join(f"\\{c}" if c in "-'." else c for c in p) + WORD_SIDE[1])
-    counts = (F.when(F.contains(text, F.lit(p)), F.regexp_count(text, pattern(p))).otherwise(0) for p in (x.lower() for x in phrases))
-    return reduce(lambda a, b: a + b, counts, F.lit(0))
+def visible_text(most: int = MOST_TEXT) -> Column:
+    return joined_text(F.filter("elements", PARTS_OF["text"]), most)
 
 
 def resolved_host(link: Column, page: Column) -> Column:
@@ -95,14 +92,23 @@ def resolved(link: Column, page: Column) -> Column:
     )
 
 
-def page_features(elements: DataFrame, url_col: str = "url", banks=None, most_text: int = MOST_TEXT, text_col: str | None = None) -> DataFrame:
-    """elements with the 14 page features; all 0, null or empty where there is no page."""
-    banks = fixed.PAGE_WORDS if banks is None else banks
-    page = F.coalesce(F.col(url_col), F.lit(""))
+#: What each group of page features is counted from; a change of a page moves only the groups whose elements it touches.
+PARTS_OF = {
+    "text": lambda e: (e["tag"] == "#text") & shown(e),
+    "title": lambda e: (e["tag"] == "#text") & (e["parent"] == "title") & shown(e),
+    "inputs": lambda e: (e["tag"] == "input") & shown(e),
+    "forms": lambda e: (e["tag"] == "form") & shown(e),
+    "links": lambda e: e["tag"].isin("a", "button") & shown(e),
+    "iframes": lambda e: (e["tag"] == "iframe") & shown(e),
+    "scripts": lambda e: e["tag"] == "script",
+}
+
+
+def group_features(group: str, parts: Column, page: Column) -> dict[str, Column]:
+    """The features of one group but text, from its elements; page: the page's address."""
     own_host = F.lower(F.regexp_extract(page, PARTS, 2))
-    seen = lambda tag, more=None: elements_where(lambda e: (e["tag"] == tag) & shown(e) & (F.lit(True) if more is None else more(e)))
-    typed = lambda kind: F.size(seen("input", lambda e: F.coalesce(attr(e, "type") == kind, F.lit(False))))
-    masked = F.size(seen("input", lambda e: F.coalesce((attr(e, "type") == "text") & F.lower(attr(e, "style")).contains("text-security"), F.lit(False))))
+    is_true = lambda c: F.coalesce(c, F.lit(False))
+    typed = lambda *kinds: F.size(F.filter(parts, lambda e: is_true(attr(e, "type").isin(*kinds))))
 
     def action(e):
         script = F.regexp_extract(F.lower(F.coalesce(attr(e, "onsubmit"), F.lit(""))), r"this\.action\s*=\s*['\"]([^'\"]+)['\"]", 1)
@@ -112,21 +118,35 @@ def page_features(elements: DataFrame, url_col: str = "url", banks=None, most_te
         click = F.regexp_extract(F.coalesce(attr(e, "onclick"), F.lit("")), r"window\.location\.href\s*=\s*['\"]([^'\"]+)['\"]", 1)
         return F.when(e["tag"] == "a", F.coalesce(attr(e, "href"), F.lit(""))).otherwise(click)
 
-    links = F.filter(F.transform(elements_where(lambda e: e["tag"].isin("a", "button") & shown(e)), target), lambda x: x != "")
-    actions = F.filter(F.transform(seen("form"), action), lambda x: x != "")
-    titles = F.filter(F.transform(elements_where(lambda e: (e["tag"] == "#text") & (e["parent"] == "title") & shown(e)), lambda e: strip(e["text"])), lambda x: x != "")
-    df = elements.withColumn("_text", visible_text(most_text))
-    low = F.lower(F.col("_text"))
-    df = df.withColumns({
-        "page_title": F.get(titles, F.lit(0)), "text_length": F.length("_text"), "password_fields": typed("password") + masked, "text_email_fields": typed("text") + typed("email"),
-        "forms": F.size(seen("form")), "form_actions": F.transform(actions, lambda a: resolved(a, page)),
-        "external_links": F.size(F.filter(links, lambda x: (resolved_host(x, page) != "") & (resolved_host(x, page) != own_host))),
-        "iframes": F.size(seen("iframe")), "scripts": F.size(elements_where(lambda e: e["tag"] == "script")),
-    } | {f"{name}_indicators": phrase_count(low, phrases) for name, phrases in banks.items()})
+    if group == "title":
+        return {"page_title": F.get(F.filter(F.transform(parts, lambda e: strip(e["text"])), lambda x: x != ""), F.lit(0))}
+    if group == "inputs":
+        masked = F.size(F.filter(parts, lambda e: is_true((attr(e, "type") == "text") & F.lower(attr(e, "style")).contains("text-security"))))
+        return {"password_fields": typed("password") + masked, "text_email_fields": typed("text", "email")}
+    if group == "forms":
+        actions = F.transform(F.filter(F.transform(parts, action), lambda x: x != ""), lambda a: resolved(a, page))
+        host = lambda a: F.lower(F.regexp_extract(a, PARTS, 2))
+        return {"forms": F.size(parts), "form_actions": actions, "has_external_form_action": F.exists(actions, lambda a: (host(a) != "") & (host(a) != own_host))}
+    if group == "links":
+        links = F.filter(F.transform(parts, target), lambda x: x != "")
+        return {"external_links": F.size(F.filter(links, lambda x: (resolved_host(x, page) != "") & (resolved_host(x, page) != own_host)))}
+    return {group: F.size(parts)}
+
+
+def page_features(elements: DataFrame, url_col: str = "url", banks=None, most_text: int = MOST_TEXT, text_col: str | None = None) -> DataFrame:
+    """elements with the 14 page features; all 0, null or empty where there is no page. Phrases of all banks are counted in one pass."""
+    banks = fixed.PAGE_WORDS if banks is None else banks
+    page = F.coalesce(F.col(url_col), F.lit(""))
+    features = {}
+    for group, of in PARTS_OF.items():
+        if group != "text":
+            features |= group_features(group, F.filter("elements", of), page)
+    df = elements.withColumns({"_text": visible_text(most_text), **features})
+    df = df.withColumns({"text_length": F.length("_text"), "_phrases": phrase_counts(F.lower("_text"), banks)})
+    df = df.withColumns({f"{name}_indicators": F.coalesce(F.col("_phrases")[name], F.lit(0)) for name in banks})
     if text_col:
         df = df.withColumn(text_col, F.col("_text"))
-    external = F.exists("form_actions", lambda a: (F.lower(F.regexp_extract(a, PARTS, 2)) != "") & (F.lower(F.regexp_extract(a, PARTS, 2)) != own_host))
-    return df.withColumn("has_external_form_action", external).drop("_text")
+    return df.drop("_text", "_phrases")
 
 
 def context_features(df: DataFrame, url_col: str = "url", trusted=None) -> DataFrame:

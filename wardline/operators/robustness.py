@@ -10,8 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed
+from wardline.functions.phrases import phrase_counts
 from wardline.functions.urls import PARTS
 from wardline.operators.evaluation import confusion, from_counts, roc_auc
+from wardline.operators.pages import MOST_TEXT, PARTS_OF, group_features, joined_text
 from wardline.sources.shared import cut
 
 # Kinds of features that a change of some percent must keep in bounds.
@@ -103,7 +105,11 @@ def percent_encoded(url: Column) -> Column:
 PLAINER = {"login": "entry", "signin": "entry", "sign-in": "entry", "account": "user", "secure": "safe", "security": "safe", "verify": "check", "verification": "check", "confirm": "ok", "update": "edit", "banking": "finance", "password": "key", "credential": "auth", "authenticate": "auth"}
 # Words of pages and their hyphenated forms.
 HYPHENATED = {"password": "pass-word", "verify": "ver-ify", "login": "log-in", "account": "acc-ount", "urgent": "ur-gent", "payment": "pay-ment"}
+# Texts that changes of pages add.
 PADDING = "Accessibility information, privacy details, and support resources."
+HIDDEN_TEXT = "This is a standard information page detailing accessibility and privacy policies for all users."
+HIDDEN_NOTICE = "Terms of service, accessibility, privacy policies and legal notices for users."
+HIDDEN_START = "terms conditions privacy policy information service copyright reserved contact about"
 
 
 def plainer_words(url: Column) -> Column:
@@ -178,7 +184,7 @@ PAGE_CHANGES: dict[str, Callable[[Column], Column]] = {
     "page_padding": with_element(new_element("#text", {}, PADDING, parent="p")),
     "page_hyphenation": hyphenate({k: v for k, v in HYPHENATED.items() if k != "payment"}),
     "page_decoration": with_element(new_element("div", {"aria-hidden": "true"}, hidden=True), first=True),
-    "page_hidden_text": with_element(new_element("#text", {}, "This is a standard information page detailing accessibility and privacy policies for all users.", hidden=True, parent="p")),
+    "page_hidden_text": with_element(new_element("#text", {}, HIDDEN_TEXT, hidden=True, parent="p")),
     "page_script": with_element(new_element("script", {"type": "text/javascript"}, raw=True, parent="head")),
     "page_hidden_link": with_element(new_element("a", {"href": "https://www.google.com/policies/privacy/", "style": "display:none;"}, hidden=True)),
     "page_hyphenation_6": hyphenate(HYPHENATED),
@@ -186,12 +192,12 @@ PAGE_CHANGES: dict[str, Callable[[Column], Column]] = {
     "page_meta": with_element(new_element("meta", {"name": "theme-color", "content": "#ffffff"}, parent="head"), first=True),
     "page_form_by_script": each(lambda e: {"attrs": changed_attrs(e, "form", "action", lambda x: [F.lit("onsubmit"), F.concat(F.lit("this.action='"), F.try_element_at(x["attrs"], F.lit("action")), F.lit("'; return true;"))], has_attr(e, "action"))}),
     "page_masked_password": each(lambda e: {"attrs": changed_attrs(e, "input", "type", lambda x: [F.lit("type"), F.lit("text"), F.lit("style"), F.lit("-webkit-text-security: disc; text-security: disc;")], has_attr(e, "type", "password"))}),
-    "page_bulk_hidden_text": with_element(new_element("#text", {}, " ".join(["Terms of service, accessibility, privacy policies and legal notices for users."] * 100), hidden=True, parent="div")),
+    "page_bulk_hidden_text": with_element(new_element("#text", {}, " ".join([HIDDEN_NOTICE] * 100), hidden=True, parent="div")),
     "page_links_to_buttons": each(lambda e: {"tag": F.when((e["tag"] == "a") & has_attr(e, "href"), "button").otherwise(e["tag"]), "attrs": F.when((e["tag"] == "a") & has_attr(e, "href"), F.create_map(F.lit("onclick"), F.concat(F.lit("window.location.href='"), F.try_element_at(e["attrs"], F.lit("href")), F.lit("'")))).otherwise(e["attrs"])}),
     "page_synonyms": replaced_words({"password": "passcode", "login": "authenticate", "sign in": "access account", "username": "user ID"}),
     "page_text_as_image": each(lambda e: {"text": F.when((e["tag"] == "#text") & F.lower(e["text"]).contains("password"), "").otherwise(e["text"])}),
     "page_hidden_iframe": with_element(new_element("iframe", {"src": "https://en.wikipedia.org", "style": "width:0;height:0;border:0"})),
-    "page_long_hidden_start": with_element(new_element("#text", {}, " ".join(["terms conditions privacy policy information service copyright reserved contact about"] * 500), hidden=True, parent="div"), first=True),
+    "page_long_hidden_start": with_element(new_element("#text", {}, " ".join([HIDDEN_START] * 500), hidden=True, parent="div"), first=True),
 }
 # Largest pages, in elements' characters, that a change applies to.
 LARGEST = {"page_bulk_hidden_text": 300_000, "page_long_hidden_start": 200_000}
@@ -228,6 +234,58 @@ def perturb_pages(elements: DataFrame, names=tuple(PAGE_CHANGES), clean: bool =
     }).drop("_size", "_body")
 
 
+#: What each change of a page can move: groups of features (pages.PARTS_OF), or the page's length. Nothing else is looked at again.
+TOUCHED: dict[str, tuple[str, ...]] = {
+    "page_padding": ("text", "length"), "page_hyphenation": ("text", "title", "length"), "page_decoration": (), "page_hidden_text": ("length",),
+    "page_script": ("scripts",), "page_hidden_link": (), "page_hyphenation_6": ("text", "title", "length"), "page_wrapper": (), "page_meta": (),
+    "page_form_by_script": ("forms",), "page_masked_password": ("inputs",), "page_bulk_hidden_text": ("length",), "page_links_to_buttons": ("links",),
+    "page_synonyms": ("text", "title", "length"), "page_text_as_image": ("text", "title", "length"), "page_hidden_iframe": ("iframes",),
+    "page_long_hidden_start": ("length",),
+}
+
+
+def text_length(parts: Column) -> Column:
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda n, e: n + F.coalesce(F.length(e["text"]), F.lit(0)))
+
+
+def changed_page_features(elements: DataFrame, names=tuple(PAGE_CHANGES), clean: bool = False, url_col: str = "url", banks=None, most_text: int = MOST_TEXT) -> DataFrame:
+    """page_features of perturb_pages, row for row, but each page is analysed once.
+
+    A change is applied to the elements of the groups it touches (TOUCHED) and those groups are counted
+    anew; all other features are the clean page's. Phrases are counted again only in a text that came out
+    different. One row per page and change leaves with features, never with elements.
+    """
+    banks = fixed.PAGE_WORDS if banks is None else banks
+    page = F.coalesce(F.col(url_col), F.lit(""))
+    parts = PARTS_OF | {"length": lambda e: e["text"].isNotNull()}
+    kept = [c for c in elements.columns if c != "elements"]
+    df = elements.select(*kept, *(F.filter("elements", of).alias(f"_{g}") for g, of in parts.items()))
+    after = lambda n, g: F.filter(PAGE_CHANGES[n](F.col(f"_{g}")), parts[g])
+    found = {"size": text_length(F.col("_length")), "text": joined_text(F.col("_text"), most_text)}
+    for g in set(PARTS_OF) - {"text"}:
+        found |= group_features(g, F.col(f"_{g}"), page)
+    moved: dict[str, dict[str, Column]] = {n: {} for n in names}
+    for n in names:
+        for g in TOUCHED[n]:
+            moved[n] |= {"size": text_length(after(n, g))} if g == "length" else {"text": joined_text(after(n, g), most_text)} if g == "text" else group_features(g, after(n, g), page)
+    cells = {f"_clean_{c}": v for c, v in found.items()} | {f"_{n}_{c}": v for n in names for c, v in moved[n].items()}
+    df = df.select(*kept, *(v.alias(c) for c, v in cells.items()))
+    texts = [n for n in names if "text" in moved[n]]
+    differs = {n: F.when(F.col(f"_{n}_text") != F.col("_clean_text"), F.lower(F.col(f"_{n}_text"))) for n in texts}
+    df = df.withColumns({"_clean_count": phrase_counts(F.lower(F.col("_clean_text")), banks)} | {f"_{n}_count": phrase_counts(low, banks) for n, low in differs.items()})
+
+    def case(n: str) -> Column:
+        of = lambda c: F.col(f"_{n}_{c}" if n != CLEAN and c in moved[n] else f"_clean_{c}")
+        counts = F.coalesce(F.col(f"_{n}_count"), F.col("_clean_count")) if n in texts else F.col("_clean_count")
+        features = {c: of(c) for c in found if c not in ("text", "size")} | {"text_length": F.length(of("text"))} | {f"{b}_indicators": F.coalesce(counts[b], F.lit(0)) for b in banks}
+        limit = F.col("_clean_size") if n == CLEAN else F.lit(LARGEST.get(n, LARGEST_PAGE)).cast("long")
+        told = {"perturbation": F.lit(n), "steps": F.lit(1), "url_changed": F.lit(False), "length_change": of("size") - F.col("_clean_size"), "valid": of("size") >= 0.1 * F.col("_clean_size")}  # no change takes the body away
+        return F.struct(*(v.alias(c) for c, v in (told | features | {"_fits": F.col("_clean_size") <= limit}).items()))
+
+    cases = F.array(*(case(n) for n in (*names, *([CLEAN] if clean else []))))
+    return df.select(*kept, F.explode(cases).alias("_c")).select(*kept, "_c.*").where("_fits").drop("_fits")
+
+
 def paired_outcomes(clean: DataFrame, changed: DataFrame, key: str, phishing_min: int = fixed.PHISHING_MIN) -> DataFrame:
     """Per row and perturbation: scores, verdicts, evasion (detected before, not after), change. Both have key, risk_score, verdict."""
     before = clean.select(key, F.col("risk_score").alias("clean_risk_score"), F.col("verdict").alias("clean_verdict"))

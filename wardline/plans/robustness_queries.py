@@ -11,6 +11,7 @@ from wardline.operators import augment, models, pages, robustness, scoring, summ
 from wardline.plans import data_queries
 from wardline.plans.url_queries import BANKS, FEATURE_SQL, VERDICT_SQL, pages_of, table
 from wardline.sources.elements import page_elements
+from wardline.sources.readers import spread
 from wardline.sources.shared import cut, shared_dir
 from wardline.streaming import streams
 
@@ -55,15 +56,13 @@ def changed_addresses(spark, sf_dir):
     return robustness.perturb_urls(pages_of(spark, sf_dir)).select("page_id", "perturbation", "url")
 
 
-def page_scores(elements):
-    df = scoring.rule_page_score(urls.rule_url_score(urls.url_features(pages.page_features(elements, banks=BANKS).drop("elements"))))
-    out = df.withColumn("risk_score", scoring.fuse_by_points(F.col("structural_score"), F.col("semantic_score"), F.col("html_available")))
-    return out.select("page_id", "perturbation", "risk_score", scoring.verdict(F.col("risk_score")).alias("verdict"))
-
-
 def page_outcomes(spark, sf_dir):
-    """Pages are read once; only scores are kept to pair clean and changed ones."""
-    scores = cut(page_scores(robustness.perturb_pages(page_elements(table(spark, sf_dir, "pages")), clean=True)))
+    """Pages are read and analysed once; only scores are kept to pair clean and changed ones."""
+    elements = page_elements(spread(table(spark, sf_dir, "pages")))
+    kept = urls.rule_url_score(urls.url_features(elements)).select("page_id", "url", "html_available", "structural_score", "brand_impersonation_score", "elements")
+    df = scoring.rule_page_score(robustness.changed_page_features(kept, clean=True, banks=BANKS))
+    df = df.withColumn("risk_score", scoring.fuse_by_points(F.col("structural_score"), F.col("semantic_score"), F.col("html_available")))
+    scores = cut(df.select("page_id", "perturbation", "risk_score", scoring.verdict(F.col("risk_score")).alias("verdict")))
     clean, changed = (scores.where(F.col("perturbation").eqNullSafe(robustness.CLEAN) == own) for own in (True, False))
     return robustness.outcome_summary(robustness.paired_outcomes(clean, changed, "page_id", 15))
 
@@ -83,7 +82,7 @@ def model_comparison(spark, sf_dir):
 
 
 def page_change_validity(spark, sf_dir):
-    moved = robustness.perturb_pages(page_elements(table(spark, sf_dir, "pages")))
+    moved = robustness.changed_page_features(page_elements(spread(table(spark, sf_dir, "pages"))), banks={})
     return moved.groupBy("perturbation").agg(F.count(F.lit(1)).alias("pages"), F.count_if("valid").alias("valid"), F.sum("length_change").alias("length_change"), F.sum("steps").alias("steps"))
 
 
@@ -115,7 +114,7 @@ def hybrid_model(spark, sf_dir):
 
 
 def feature_blindness(spark, sf_dir):
-    elements = page_elements(table(spark, sf_dir, "pages"))
+    elements = page_elements(spread(table(spark, sf_dir, "pages")))
     return robustness.feature_blindness(urls.url_features(pages_of(spark, sf_dir)), urls.url_features(robustness.perturb_pages(elements).drop("elements")), "page_id")
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardline.functions import fixed, urls
+from wardline.functions import fixed, phrases, urls
 from wardline.operators import pages, scoring, summaries
 from wardline.sources.elements import exploded, page_elements
+from wardline.sources.readers import spread
 
 FEATURES = list(fixed.URL_FEATURES)
 #: Frequent words of the given tables stand in for the phrase banks there; the real banks are tested on small pages.
@@ -133,11 +134,11 @@ def verdicts_by_table(spark, sf_dir):
 
 
 def scan_pages(spark, sf_dir):
-    return scoring.scan(table(spark, sf_dir, "pages")).select("page_id", "url", "html_available", "structural_score", "semantic_score", "risk_score", "fusion_mode", "verdict", "reasons")
+    return scoring.scan(spread(table(spark, sf_dir, "pages"))).select("page_id", "url", "html_available", "structural_score", "semantic_score", "risk_score", "fusion_mode", "verdict", "reasons")
 
 
 def scan_pages_derived(spark, sf_dir):
-    return scoring.scan(table(spark, sf_dir, "pages"), banks=BANKS, reasons="derived").select("page_id", "risk_score", "verdict", "features", "page_features", "reasons")
+    return scoring.scan(spread(table(spark, sf_dir, "pages")), banks=BANKS, reasons="derived").select("page_id", "risk_score", "verdict", "features", "page_features", "reasons")
 
 
 def scan_summary(spark, sf_dir):
@@ -151,31 +152,32 @@ def expected_matrix(spark, sf_dir):
 
 
 def page_counts(spark, sf_dir):
-    out = pages.page_features(page_elements(table(spark, sf_dir, "pages")), banks=BANKS)
+    out = pages.page_features(page_elements(spread(table(spark, sf_dir, "pages"))), banks=BANKS)
     return out.select("page_id", "page_title", "scripts", "forms", "iframes", "password_fields", "text_email_fields", "external_links")
 
 
 def page_features_full(spark, sf_dir):
-    out = pages.context_features(pages.analysed_pages(table(spark, sf_dir, "pages"), banks=BANKS))
+    out = pages.context_features(pages.analysed_pages(spread(table(spark, sf_dir, "pages")), banks=BANKS))
     return out.select("page_id", "text_length", *(f"{b}_indicators" for b in BANKS), "trusted_domain", "form_action_same_origin", "domain_brand_consistency", "link_to_form_ratio", "text_to_script_ratio", "credential_density", "brand_context_score")
 
 
 def page_elements_by_tag(spark, sf_dir):
-    rows = exploded(page_elements(table(spark, sf_dir, "pages")))
+    rows = exploded(page_elements(spread(table(spark, sf_dir, "pages"))))
     return rows.where("tag IN ('script', 'a', 'article', 'h1', 'li', 'nav', 'title')").groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("n_pages"))
 
 
 def login_pages(spark, sf_dir):
-    return pages.login_page(page_elements(table(spark, sf_dir, "pages"))).select("page_id", "is_login_page")
+    return pages.login_page(page_elements(spread(table(spark, sf_dir, "pages")))).select("page_id", "is_login_page")
 
 
 def annotated_pages(spark, sf_dir):
-    return pages.annotated_text(page_elements(table(spark, sf_dir, "pages"))).select("page_id", "annotated")
+    return pages.annotated_text(page_elements(spread(table(spark, sf_dir, "pages")))).select("page_id", "annotated")
 
 
 def document_phrases(spark, sf_dir):
     low = F.lower(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", *(pages.phrase_count(low, BANKS[b]).alias(b) for b in ("login", "credential", "payment", "urgency")))
+    found = table(spark, sf_dir, "documents").select("doc_id", phrases.phrase_counts(low, {b: BANKS[b] for b in ("login", "credential", "payment", "urgency")}).alias("found"))
+    return found.select("doc_id", *(F.coalesce(F.col("found")[b], F.lit(0)).alias(b) for b in ("login", "credential", "payment", "urgency")))
 
 
 def tidied_documents(spark, sf_dir):

@@ -99,3 +99,9 @@ def inspect_columns(df: DataFrame) -> DataFrame:
         text = F.col(f"`{c}`").cast("string")
         cells.append(F.struct(F.lit(c).alias("column_name"), F.count(F.lit(1)).alias("row_count"), F.count_if(text.isNull()).alias("null_count"), F.max(F.length(text)).cast("long").alias("longest"), F.min(text).alias("least")))
     return df.agg(F.array(*cells).alias("a")).select(F.inline("a"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, read straight from files, dealt to all cores where the files give fewer splits than there are: work on each row that takes long, over a small table, is not left to one core. A table of more splits is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
