@@ -1,13 +1,15 @@
-"""Metrics, curves and thresholds; grids run over score histograms, never over rows."""
+"""Metrics, curves and thresholds; grids run over counts by threshold bucket, never over rows."""
 
 from __future__ import annotations
 
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.operators.cleaning import running_sums
+from wardline.sources.shared import cut
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -64,17 +66,38 @@ def compare_models(df: DataFrame, scores: list[str], label: str = "label", thres
     return metrics(long, label, "score", threshold, ["model"]).join(roc_auc(long, label, "score", ["model"]), "model")
 
 
+def bucket_of(score: Column, limits: list[float]) -> Column:
+    """How many of the ascending limits a score reaches: a binary search as a tree of comparisons. Null for null."""
+    value = score.cast("double")
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value >= limits[middle], tree(middle + 1, high)).otherwise(tree(low, middle))
+
+    return F.when(value.isNotNull(), tree(0, len(limits)))
+
+
+def suffix_counts(df: DataFrame, limits: list[float], label: str = "label", score: str = "score") -> DataFrame:
+    """limit, tp, fp, all_pos, all_neg: per limit what reaches it. No rows from an empty table.
+
+    Rows are counted by bucket, map side first, and the buckets, one more than limits, summed from above;
+    nothing grows with rows or distinct scores times limits. Null scores count nowhere.
+    """
+    limits = sorted({float(x) for x in limits})
+    counts = df.where(F.col(score).isNotNull()).groupBy(bucket_of(F.col(score), limits).alias("bucket")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"), F.lit(True).alias("found"))
+    places = df.sparkSession.createDataFrame([(i + 1, x) for i, x in enumerate(limits)] + [(0, None)], "bucket int, limit double")
+    held = places.join(counts, "bucket", "left").fillna(0, ["pos", "neg"])
+    every, above = W.partitionBy(), W.partitionBy().orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, 0)  # over one row a limit
+    sums = {"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "all_pos": F.sum("pos").over(every), "all_neg": F.sum("neg").over(every), "any": F.max("found").over(every)}
+    return held.select("bucket", "limit", *(v.alias(c) for c, v in sums.items())).where("any AND bucket > 0").drop("bucket", "any")
+
+
 def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score", low: int = 10, high: int = 90, unit: float = 0.01) -> DataFrame:
-    """Metrics at each threshold from low to high units: each distinct score is counted once in every threshold below it."""
-    h = score_histogram(df, label, score)
-    grid = h.select(F.explode(F.sequence(F.lit(low), F.lit(high))).alias("step"), "score", "pos", "neg")
-    at = F.round(F.col("step") * unit, 6)
-    yes = F.col("score") >= at
-    counts = grid.groupBy(at.alias("threshold")).agg(
-        F.sum(F.when(~yes, F.col("neg")).otherwise(0)).alias("tn"), F.sum(F.when(yes, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~yes, F.col("pos")).otherwise(0)).alias("fn"), F.sum(F.when(yes, F.col("pos")).otherwise(0)).alias("tp"),
-    )
-    return from_counts(counts)
+    """Metrics at each threshold from low to high units."""
+    at = suffix_counts(df, [round(k * unit, 6) for k in range(low, high + 1)], label, score)
+    return from_counts(at.select(F.col("limit").alias("threshold"), (F.col("all_neg") - F.col("fp")).alias("tn"), "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), "tp"))
 
 
 def best_threshold(sweep: DataFrame, by: str = "f1") -> DataFrame:
@@ -88,17 +111,19 @@ def threshold_grid(df: DataFrame, safe: list, phish: list, positive_from: str =
 
     positive_from 'suspicious' counts everything from safe_max as positive, 'phishing' from phish_min.
     """
-    limit = F.col("safe_max" if positive_from == "suspicious" else "phish_min")
-    h = score_histogram(df, label, score)
-    pairs = F.array(*(F.struct(F.lit(float(s)).alias("safe_max"), F.lit(float(p)).alias("phish_min")) for s in safe for p in phish if s < p))
-    cells = h.select(F.explode(pairs).alias("g"), "score", "pos", "neg").select("g.*", "score", "pos", "neg")
-    yes = F.col("score") >= limit
-    out = cells.groupBy("safe_max", "phish_min").agg(
-        F.sum(F.when(~yes, F.col("neg")).otherwise(0)).alias("tn"), F.sum(F.when(yes, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~yes, F.col("pos")).otherwise(0)).alias("fn"), F.sum(F.when(yes, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when((F.col("score") >= F.col("safe_max")) & (F.col("score") < F.col("phish_min")), F.col("pos") + F.col("neg")).otherwise(0)).alias("suspicious"),
-    )
-    return from_counts(out)
+    out = limit_pairs(df, [(x, y) for x in safe for y in phish if x < y], label, score)
+    side = "s" if positive_from == "suspicious" else "p"
+    tp, fp = F.col(f"{side}_tp"), F.col(f"{side}_fp")
+    seen = (F.col("s_tp") + F.col("s_fp") - F.col("p_tp") - F.col("p_fp")).alias("suspicious")
+    return from_counts(out.select("safe_max", "phish_min", (F.col("all_neg") - fp).alias("tn"), fp.alias("fp"), (F.col("all_pos") - tp).alias("fn"), tp.alias("tp"), seen))
+
+
+def limit_pairs(df: DataFrame, pairs: list[tuple[float, float]], label: str, score: str) -> DataFrame:
+    """safe_max, phish_min, and the suffix counts at each (s_tp, s_fp, p_tp, p_fp, all_pos, all_neg); pairs twice in the list count once."""
+    at = cut(suffix_counts(df, [x for pair in pairs for x in pair], label, score))
+    cells = df.sparkSession.createDataFrame(sorted({(float(a), float(b)) for a, b in pairs}), "safe_max double, phish_min double")
+    first = at.select(F.col("limit").alias("safe_max"), F.col("tp").alias("s_tp"), F.col("fp").alias("s_fp"), "all_pos", "all_neg")
+    return cells.join(F.broadcast(first), "safe_max").join(F.broadcast(at.select(F.col("limit").alias("phish_min"), F.col("tp").alias("p_tp"), F.col("fp").alias("p_fp"))), "phish_min")
 
 
 def best_cell(grid: DataFrame, by: str = "f1") -> DataFrame:
@@ -108,16 +133,10 @@ def best_cell(grid: DataFrame, by: str = "f1") -> DataFrame:
 
 def threshold_sensitivity(df: DataFrame, configs: list[tuple[float, float]], label: str = "label", score: str = "score") -> DataFrame:
     """For each pair of limits and class: how many are safe, suspicious, phishing; a suspicious negative counts as false positive."""
-    h = score_histogram(df, label, score)
-    pairs = F.array(*(F.struct(F.lit(float(a)).alias("safe_max"), F.lit(float(b)).alias("phish_min")) for a, b in configs))
-    cells = h.select(F.explode(pairs).alias("g"), "score", "pos", "neg").select("g.*", "score", "pos", "neg")
-    out = []
-    for name, side in (("positive", "pos"), ("negative", "neg")):
-        s, n = F.col("score"), F.col(side)
-        part = cells.groupBy("safe_max", "phish_min").agg(
-            F.sum(F.when(s < F.col("safe_max"), n).otherwise(0)).alias("safe"), F.sum(F.when((s >= F.col("safe_max")) & (s < F.col("phish_min")), n).otherwise(0)).alias("suspicious"),
-            F.sum(F.when(s >= F.col("phish_min"), n).otherwise(0)).alias("phishing"),
-        )
+    cells, out = limit_pairs(df, configs, label, score), []
+    for name, total, side in (("positive", "all_pos", "tp"), ("negative", "all_neg", "fp")):
+        safe, phishing = F.col(total) - F.col(f"s_{side}"), F.col(f"p_{side}")
+        part = cells.select("safe_max", "phish_min", safe.alias("safe"), F.greatest(F.col(f"s_{side}") - phishing, F.lit(0)).alias("suspicious"), phishing.alias("phishing"))
         out.append(part.withColumn("population", F.lit(name)).withColumn("flagged_share", ratio(F.col("suspicious") + F.col("phishing"), F.col("safe") + F.col("suspicious") + F.col("phishing"))))
     return reduce(DataFrame.unionByName, out)
 

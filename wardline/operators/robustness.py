@@ -13,7 +13,7 @@ from wardline.functions import fixed
 from wardline.functions.phrases import phrase_counts
 from wardline.functions.urls import PARTS
 from wardline.operators.evaluation import confusion, from_counts, roc_auc
-from wardline.operators.pages import MOST_TEXT, PARTS_OF, group_features, joined_text
+from wardline.operators.pages import MOST_TEXT, PARTS_OF, group_features, joined_text, page_features
 from wardline.sources.shared import cut
 
 # Kinds of features that a change of some percent must keep in bounds.
@@ -223,10 +223,7 @@ def perturb_pages(elements: DataFrame, names=tuple(PAGE_CHANGES), clean: bool =
     body = lambda es: F.exists(es, lambda e: e["tag"] == "body")
     named = elements.withColumn("_size", length(F.col("elements"))).withColumn("_body", body(F.col("elements"))).withColumn("perturbation", F.explode(F.array(*map(F.lit, (*names, CLEAN) if clean else names))))
     limit = F.coalesce(F.when(F.col("perturbation") == CLEAN, F.col("_size")), *(F.when(F.col("perturbation") == k, F.lit(v)) for k, v in LARGEST.items()), F.lit(LARGEST_PAGE))
-    changed = F.col("elements")
-    for n in names:
-        changed = F.when(F.col("perturbation") == n, PAGE_CHANGES[n](F.col("elements"))).otherwise(changed)
-    out = named.where(F.col("_size") <= limit).withColumn("elements", changed)
+    out = named.where(F.col("_size") <= limit).withColumn("elements", changed_elements(names))
     after = length(F.col("elements"))
     return out.withColumns({
         "steps": F.lit(1), "url_changed": F.lit(False), "length_change": after - F.col("_size"),
@@ -348,3 +345,66 @@ def worst_case_sweep(urls: DataFrame, score: Callable[[DataFrame], DataFrame], n
     last = best.groupBy(key).agg(F.min_by(F.struct("probability", "steps", "chain"), F.struct(F.col("probability") + 0.005 * F.col("steps"), "steps", url_col)).alias("b"), F.max("queries").alias("queries"))
     first = start.select(key, F.col("probability").alias("original_probability"))
     return last.join(first, key).select(key, "original_probability", F.col("b.probability").alias("final_probability"), F.col("b.steps").alias("steps"), "queries", F.col("b.chain").alias("chain"))
+
+
+def page_state(url: Column, elements: Column) -> Column:
+    """A key of a page as it stands: two 64-bit hashes of its address and of its elements in their order."""
+    plain = F.transform(elements, lambda e: F.struct(e["tag"], F.map_entries(e["attrs"]), e["text"], e["parent"], e["hidden"], e["raw"], e["form"]))
+    return F.struct(F.xxhash64(url, plain).alias("a"), F.xxhash64(F.lit(7), plain, url).alias("b"))
+
+
+def changed_elements(names=tuple(PAGE_CHANGES)) -> Column:
+    """The row's elements after the change named in its `perturbation`; as they are for any other name."""
+    return reduce(lambda kept, n: F.when(F.col("perturbation") == n, PAGE_CHANGES[n](F.col("elements"))).otherwise(kept), names, F.col("elements"))
+
+
+def next_states(front: DataFrame, score: Callable[[DataFrame], DataFrame], url_names, page_names, key: str, url_col: str, banks) -> DataFrame:
+    """key, parent, perturbation, url, state, probability of every change of every page state (key, state, url, elements).
+
+    Pages are analysed once for all their page changes; states that leave less than a tenth of a page don't count.
+    """
+    base = front.select(key, F.col("state").alias("parent"), url_col, F.lit(True).alias("html_available"), "elements")
+    own = [x for n in page_names for x in (F.lit(n), page_state(F.col(url_col), PAGE_CHANGES[n](F.col("elements"))))]
+    paged = changed_page_features(base.withColumn("_states", F.create_map(*own)), page_names, url_col=url_col, banks=banks).where("valid")
+    paged = paged.withColumn("state", F.col("_states")[F.col("perturbation")]).drop("_states", "steps", "url_changed", "length_change", "valid")
+    moved = perturb_urls(base, url_names, url_col).withColumn("state", page_state(F.col(url_col), F.col("elements")))
+    moved = page_features(moved, url_col, banks).drop("elements")
+    return score(paged.unionByName(moved)).select(key, "parent", "perturbation", url_col, "state", "probability")
+
+
+def page_worst_cases(elements: DataFrame, score: Callable[[DataFrame], DataFrame], url_names=tuple(URL_CHANGES), page_names=tuple(PAGE_CHANGES), key: str = "sample_id", url_col: str = "url", banks=None, width: int = 3, depth: int = 3, budget: int = 50, target: float = 0.49) -> DataFrame:
+    """Per page the lowest score that chains of address and page changes reach, all pages in lock-step.
+
+    elements: key, url and the pages' elements. score adds `probability` to rows with address and page
+    features. At each depth every kept state of an unfinished page is changed in every way; of equal states
+    (page_state) one is kept, that of the first parent and change by name, and those met before are dropped;
+    the first of the rest, in order of state, are scored up to the budget, and the `width` lowest objectives
+    (probability plus 0.005 a step) stay. A page is finished when a state is below target or its budget is
+    spent. Only keys, scores and chains are shuffled; the kept states' elements are made again from their
+    parents' beside them, which a page has `width` of. Returns key, original_probability,
+    final_probability, steps, queries, chain. Null keys are left out. Plans are cut by checkpoint().
+    """
+    start = elements.where(F.col(key).isNotNull()).select(key, url_col, "elements").withColumn("state", page_state(F.col(url_col), F.col("elements")))
+    first = page_features(start.withColumn("html_available", F.lit(True)), url_col, banks)
+    first = cut(score(first.drop("elements")).select(key, "state", "probability"))
+    front = cut(start.join(first, [key, "state"]).dropDuplicates([key]).withColumns({"steps": F.lit(0), "chain": F.array().cast("array<string>"), "queries": F.lit(1)}))
+    told = [key, "state", "probability", "steps", "chain", "queries"]
+    best, seen = front.select(*told), front.select(key, "state")
+    objective = F.col("probability") + 0.005 * F.col("steps")
+    for _ in range(depth):
+        done = best.where(F.col("probability") < target).select(key).distinct()
+        alive = front.where(F.col("queries") < budget).join(done, key, "left_anti")
+        found = cut(next_states(alive, score, url_names, page_names, key, url_col, banks))
+        one = F.min(F.struct("parent", "perturbation", url_col, "probability"))
+        fresh = found.groupBy(key, "state").agg(one.alias("o")).select(key, "state", "o.*").join(seen, [key, "state"], "left_anti")
+        held = alive.select(key, F.col("state").alias("parent"), "steps", "chain", "queries")
+        fresh = fresh.join(held, [key, "parent"]).withColumn("_order", F.row_number().over(W.partitionBy(key).orderBy("state"))).where(F.col("queries") + F.col("_order") <= budget)
+        fresh = fresh.withColumns({"queries": F.col("queries") + F.max("_order").over(W.partitionBy(key)), "steps": F.col("steps") + 1, "chain": F.concat("chain", F.array("perturbation"))})
+        fresh = cut(fresh.drop("_order"))
+        kept = fresh.withColumn("_place", F.row_number().over(W.partitionBy(key).orderBy(objective, "state"))).where(F.col("_place") <= width).drop("_place")
+        parents = front.select(key, F.col("state").alias("parent"), "elements")
+        front = cut(kept.join(parents, [key, "parent"]).withColumn("elements", changed_elements(page_names)).select(*told, url_col, "elements"))
+        seen = cut(seen.unionByName(fresh.select(key, "state")))
+        best = cut(best.unionByName(kept.select(*told)))
+    last = best.groupBy(key).agg(F.min_by(F.struct("probability", "steps", "chain"), F.struct(objective, F.col("steps"), F.col("state"))).alias("b"), F.max("queries").alias("queries"))
+    return last.join(first.select(key, F.col("probability").alias("original_probability")).dropDuplicates([key]), key).select(key, "original_probability", F.col("b.probability").alias("final_probability"), F.col("b.steps").alias("steps"), "queries", F.col("b.chain").alias("chain"))

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from wardline.functions import urls
+from wardline.functions import fixed, urls
 from wardline.operators import augment, models, pages, robustness, scoring, summaries
 from wardline.plans import data_queries
 from wardline.plans.url_queries import BANKS, FEATURE_SQL, VERDICT_SQL, pages_of, table
@@ -123,6 +123,17 @@ def worst_cases(spark, sf_dir):
     return robustness.worst_case_sweep(pages_of(spark, sf_dir), score, key="page_id", target=0.2)
 
 
+def page_score_of(df):
+    """The rules' scores of address and page, fused, as a probability."""
+    out = scoring.rule_page_score(urls.rule_url_score(urls.url_features(df)))
+    return out.withColumn("probability", F.round((fixed.SHARES[0] * F.col("structural_score") + fixed.SHARES[1] * F.col("semantic_score")) / 100, 6))
+
+
+def page_worst_cases(spark, sf_dir):
+    elements = page_elements(spread(table(spark, sf_dir, "pages")))
+    return robustness.page_worst_cases(elements, page_score_of, key="page_id", banks=BANKS, target=0.05)
+
+
 def search_records(spark, sf_dir):
     df = scoring.scan_urls(pages_of(spark, sf_dir)).select("page_id", F.col("phishing_probability").alias("original_probability"), (F.col("phishing_probability") * 0.5).alias("final_probability"), (F.col("page_id") % 4).cast("int").alias("steps"))
     return robustness.search_outcomes(df, 0.2)
@@ -272,6 +283,7 @@ v AS{URL_OUTCOMES_SQL.split("v AS")[1].replace("SELECT perturbation, count", "SE
     "hybrid_model": (hybrid_model, None),
     "feature_blindness": (feature_blindness, " UNION ALL ".join(f"SELECT '{n}' AS perturbation, count(*) AS rows, 0 AS values_changed FROM pages" for n in robustness.PAGE_CHANGES)),  # pages of over 200,000 characters of text are left out by some changes
     "worst_cases": (worst_cases, None),
+    "page_worst_cases": (page_worst_cases, None),
     "search_records": (search_records, f"WITH {FEATURE_SQL}, o AS (SELECT page_id, round(points / 100.0::DOUBLE, 4) AS original_probability, round(points / 100.0::DOUBLE, 4) * 0.5::DOUBLE AS final_probability, CAST(page_id % 4 AS INTEGER) AS steps FROM pts) SELECT *, final_probability < 0.2 AS success, round(original_probability - final_probability, 6) AS reduction, coalesce(round((original_probability - final_probability) / nullif(original_probability, 0), 6), 0) AS relative_reduction, round(final_probability + 0.005::DOUBLE * steps, 6) AS objective FROM o"),
     "stream_scores": (stream_scores, f"WITH {FEATURE_SQL} SELECT page_id, points AS structural_score FROM pts JOIN pages USING (page_id) WHERE length(pages.url) >= 8 AND length(html) >= 200"),
     "stream_distinct": (stream_distinct, "SELECT DISTINCT user_id, event_type FROM events"),
