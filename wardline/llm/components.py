@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round hooks every node's larger neighbours, then its smaller ones, to the smallest node it
     knows, which takes about the logarithm of the largest component's size in rounds. Groups are only
-    summed up and joined, never gathered. Nodes without edges aren't listed; nulls are left out.
+    summed up and joined, never gathered. Nodes without edges aren't listed; nulls are left out. More rounds
+    than most_rounds raise an error, so that no forest is returned before it is done.
     """
     known = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     e = cut(known.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -29,5 +30,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -19,13 +19,12 @@ from pyspark.sql import functions as F
 from wardline.llm.common import cut, documents, hash52, worker_cache
 from wardline.llm.wordhash import Known, bytes_of, hash_words, slices
 
-#: Bounds of the model, which are also the bounds of what the driver gathers and sends out.
+#: Bound on the labelled rows that the model is fitted on, and so on what the driver gathers and sends out.
 FIT_DOCUMENTS = 20_000
 TEXT = 2 << 20  # bytes scored at a time
-VOCABULARY = 60_000
-NGRAMS = 40_000
 ORDERS = (4, 3, 2, 1)
 LETTERS = re.compile(r"[^\W\d_]+")
+JVM_LETTERS = r"[\p{L}\p{Nl}\p{No}]+"  # the same signs
 #: Below this confidence a text counts as rejected in a pipeline.
 LEAST_SCORE = 0.35
 UNKNOWN = "und"
@@ -36,53 +35,57 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def fit_language_model(docs: DataFrame, sample: int = FIT_DOCUMENTS, vocabulary: int | None = VOCABULARY, ngrams: int | None = NGRAMS) -> dict:
+def fit_language_model(docs: DataFrame, sample: int = FIT_DOCUMENTS, vocabulary: int | None = None, ngrams: int | None = None) -> dict:
     """Word and n-gram log frequencies by language from about `sample` labelled rows (all, if there are fewer).
 
-    Rows are drawn by a hash of doc_id, so reruns and any partitioning draw the same. Of the words and
-    n-grams the most frequent are kept, or all where the bound is None. Texts or languages that are null don't
-    count; from an empty table nothing is learned, and every text is und.
+    Rows are drawn by a hash of doc_id and text, so reruns and any partitioning draw the same, and rows that
+    share an id are drawn apart. All their words and n-grams are kept, or the most frequent ones under a
+    bound. Words are counted first, and n-grams taken from the different words alone. Texts or languages
+    that are null don't count; from an empty table nothing is learned, and every text is und.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = labelled.count()
     if n > sample:
-        labelled = labelled.where(hash52(F.lit("fit"), F.col("doc_id")) < int((1 << 52) * sample / n))
+        labelled = labelled.where(hash52(F.lit("fit"), F.col("doc_id"), F.md5("text")) < int((1 << 52) * sample / n))
 
-    def count(batches):
-        words: dict[str, Counter] = {}
+    def inner(batches):
+        tally: Counter = Counter()
         for batch in batches:
-            for text, lang in zip(pc.utf8_lower(batch["text"]).to_pylist(), batch["lang"].to_pylist(), strict=True):
-                words.setdefault(lang, Counter()).update(LETTERS.findall(text))
-        rows = [(lang, kind, k, v) for lang, own in words.items() for kind, k, v in tallies(own)]
+            for lang, word, k in zip(*(batch[c].to_pylist() for c in ("lang", "item", "n")), strict=True):
+                for order in ORDERS:
+                    for g in grams(word, order):
+                        tally[lang, g] += k
+        rows = [(lang, g, k) for (lang, g), k in tally.items()]
         for i in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 50_000], strict=True)], ["lang", "kind", "item", "n"])
-
-    counts = labelled.select("text", "lang").mapInArrow(count, "lang string, kind long, item string, n long")
-    counts = cut(counts.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")))
-    whole = counts.groupBy("kind", "lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("items")).collect()  # one row per kind and language
-    langs = sorted({r["lang"] for r in whole})
-    totals = {(r["kind"], r["lang"]): r["n"] for r in whole}
-    per_item = counts.groupBy("kind", "item").agg(F.sum("n").alias("all_n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    index, rows = ({}, {}), []
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 50_000], strict=True)], ["lang", "item", "n"])
+
+    counted = "lang string, item string, n long"
+    summed = lambda df: df.groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    tokens = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(JVM_LETTERS), F.lit(0))).alias("item"), F.lit(1).cast("long").alias("n"))
+    different = cut(summed(tokens))
+    parts = summed(different.mapInArrow(inner, counted))
+    counts = cut(different.select(F.lit(0).alias("kind"), "*").unionByName(parts.select(F.lit(1).alias("kind"), "*")))
+    found = counts.toArrow()  # of the sample's words and n-grams, as columns
+    langs = sorted(set(found["lang"].unique().to_pylist()))
+    lang_of = pc.index_in(found["lang"], pa.array(langs, pa.string())).to_numpy()
+    totals, index, rows = {}, ({}, {}), [np.zeros((0, len(langs)))]
     for kind, most in ((0, vocabulary), (1, ngrams)):
-        top = per_item.where(F.col("kind") == kind).orderBy(F.desc("all_n"), "item")
-        top = (top if most is None else top.limit(most)).select("item", "by").collect()
-        index[kind].update((r["item"], len(rows) + i) for i, r in enumerate(top))
-        n = np.array([[r["by"].get(x, 0) for x in langs] for r in top], float).reshape(len(top), len(langs))
-        rows.extend(np.log((n + 0.5) / (np.array([totals.get((kind, x), 0) for x in langs]) + 0.5 * (len(top) + 1))))
+        own = pc.equal(found["kind"], kind).to_numpy()
+        items, n_of = found["item"].filter(pa.array(own)), found["n"].to_numpy()[own]
+        coded = items.combine_chunks().dictionary_encode() if len(items) else pa.array([], pa.string()).dictionary_encode()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.combine_chunks()
+        names = coded.dictionary.to_pylist()
+        n = np.zeros((len(names), len(langs)))
+        np.add.at(n, (coded.indices.to_numpy(), lang_of[own]), n_of)
+        totals |= {(kind, x): t for x, t in zip(langs, n.sum(axis=0).tolist(), strict=True)}
+        order = sorted(range(len(names)), key=lambda i: (-n[i].sum(), names[i])) if most is not None else range(len(names))
+        top = np.array(list(order)[:most], int)
+        done = sum(map(len, rows))
+        index[kind].update((names[i], done + at) for at, i in enumerate(top.tolist()))
+        rows.append(np.log((n[top] + 0.5) / (n.sum(axis=0) + 0.5 * (len(top) + 1))))
     usual = max(range(len(langs)), key=lambda i: totals.get((0, langs[i]), 0), default=-1)
-    return {"fit": uuid.uuid4().hex, "langs": langs, "usual": usual, "words": index[0], "grams": index[1], "scores": np.array(rows).reshape(len(rows), len(langs))}
-
-
-def tallies(words: Counter):
-    inner: Counter = Counter()
-    for w, n in words.items():
-        yield 0, w, n
-        for order in ORDERS:
-            for g in grams(w, order):
-                inner[g] += n
-    for g, n in inner.items():
-        yield 1, g, n
+    return {"fit": uuid.uuid4().hex, "langs": langs, "usual": usual, "words": index[0], "grams": index[1], "scores": np.concatenate(rows)}
 
 
 def word_scores(word: str, model: dict) -> np.ndarray | None:
