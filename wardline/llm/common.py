@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import uuid
 
 import pyarrow as pa
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardline.sources.shared import cut, shared_dir
 
-__all__ = ["WORD", "as_int", "cut", "documents", "embeddings", "forget_caches", "free_name", "hash52", "saved", "shared_dir", "word_count", "worker_cache"]
+__all__ = ["WORD", "as_int", "cut", "documents", "embeddings", "forget_caches", "free_name", "give_back", "hash52", "leaner", "saved", "shared_dir", "word_count", "worker_cache"]
 
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,15 +32,44 @@ _caches: dict = {}
 def worker_cache(name, make):
     """What a Python worker keeps from task to task: one thing at a time, so that stages don't add up their memory."""
     if name not in _caches:
-        _caches.clear()
+        forget_caches()
         _caches[name] = make()
     return _caches[name]
 
 
+def give_back() -> None:
+    """What this Python worker has freed goes back to the machine, else idle workers hold the most they ever used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def forget_caches() -> None:
-    """For tasks that need none: what earlier stages left in this Python worker goes, and Arrow gives back what it doesn't use."""
+    """For tasks that need none: what earlier stages left in this Python worker goes."""
     _caches.clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
+
+
+def leaner(task):
+    """A task over batches, or over one group, that gives memory back when it ends."""
+    if inspect.isgeneratorfunction(task):
+
+        @functools.wraps(task)
+        def over_batches(batches):
+            yield from task(batches)
+            give_back()
+
+        return over_batches
+
+    @functools.wraps(task)
+    def over_group(group):
+        try:
+            return task(group)
+        finally:
+            give_back()
+
+    return over_group
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

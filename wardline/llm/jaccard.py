@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardline.llm.common import WORD, as_int, cut, documents, forget_caches, saved
+from wardline.llm.common import WORD, as_int, cut, documents, forget_caches, leaner, saved
 from wardline.llm.components import connected_components
 from wardline.llm.wordhash import U, mixed, slices, word_hashes
 
@@ -182,7 +182,7 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
                 done += len(part)
                 yield pa.RecordBatch.from_arrays([names, pa.array(np.diff(at)), pa.array(class_numbers(flat, at))], ["doc_id", "n_shingles", "class"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class long")
+    return docs.select("doc_id", "text").mapInArrow(leaner(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class long")
 
 
 def long_lists(docs: DataFrame, words: int, total: int) -> DataFrame:
@@ -203,7 +203,7 @@ def long_lists(docs: DataFrame, words: int, total: int) -> DataFrame:
         rest = n[~often].astype(np.int64)
         return pa.table({"h": pa.array([*h[often].view(np.int64).tolist(), None], pa.int64()), "n": pa.array([*n[often].tolist(), int(rest.sum())], pa.int64()), "pairs": pa.array([*[0] * int(often.sum()), int((rest * (rest - 1)).sum())], pa.int64())})
 
-    return docs.select("text").mapInArrow(draw, "bucket long, data binary").groupBy("bucket").applyInArrow(count, "h long, n long, pairs long")
+    return docs.select("text").mapInArrow(leaner(draw), "bucket long, data binary").groupBy("bucket").applyInArrow(leaner(count), "h long, n long, pairs long")
 
 
 class Lists:
@@ -260,7 +260,7 @@ def postings(docs: DataFrame, words: int, buckets: int, groups: int, long_ones,
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + 64]], pa.int64()), pa.array([r[1] for r in rows[i : i + 64]], pa.binary())], ["bucket", "data"])
 
-    return docs.select("text").mapInArrow(run, "bucket long, data binary")
+    return docs.select("text").mapInArrow(leaner(run), "bucket long, data binary")
 
 
 def shared_only(parts: DataFrame, buckets: int, groups: int) -> DataFrame:
@@ -291,7 +291,7 @@ def shared_only(parts: DataFrame, buckets: int, groups: int) -> DataFrame:
         rows = [(b, Lists.pack(ids, sizes, h[p], of[p], np.minimum(length[p], LONG - 1))) for b, p in runs(to)]
         return pa.table({"group": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
-    return parts.groupBy("bucket").applyInArrow(run, "group long, data binary")
+    return parts.groupBy("bucket").applyInArrow(leaner(run), "group long, data binary")
 
 
 def linkable(shared: DataFrame, percent: int) -> DataFrame:
@@ -314,7 +314,7 @@ def linkable(shared: DataFrame, percent: int) -> DataFrame:
             prefix.append(own[np.lexsort((own, place))][: prefix_length(n, percent) - (n - len(own))].view(np.int64))
         return pa.table({"class": ids[rows], "n": sizes[rows], "s": s[rows], "held": pa.array(held, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
 
-    return shared.groupBy("group").applyInArrow(run, "class long, n long, s long, held binary, prefix array<long>")
+    return shared.groupBy("group").applyInArrow(leaner(run), "class long, n long, s long, held binary, prefix array<long>")
 
 
 def light_links(docs: DataFrame, words: int, boundary: int, percent: int) -> DataFrame:
@@ -337,7 +337,7 @@ def light_links(docs: DataFrame, words: int, boundary: int, percent: int) -> Dat
                 for i in range(0, len(h), 65_536):
                     yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 65_536].view(np.int64)), pa.array(small[i : i + 65_536]), pa.array(of[i : i + 65_536])], ["subset", "small", "class"])
 
-    listed = docs.select("text").mapInArrow(run, "subset long, small boolean, class long")
+    listed = docs.select("text").mapInArrow(leaner(run), "subset long, small boolean, class long")
     # The smaller sets of a list link with one another and with all larger ones, so one of them stands for all.
     heads = listed.where("small").groupBy("subset").agg(F.min("class").alias("head"))
     return listed.join(heads, "subset").where("class <> head").select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")).distinct()
@@ -366,7 +366,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             hit = batch.filter(pa.array(links, pa.bool_()))
             yield pa.RecordBatch.from_arrays([hit["a"], hit["b"]], ["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(leaner(run), "a long, b long")
 
 
 def ordered_pair(a: str, b: str):
@@ -485,7 +485,7 @@ def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
                 yield pa.RecordBatch.from_arrays([own["doc_id"], own["row"], pa.array(class_numbers(*shingle_sets(part, words)))], ["doc_id", "row", "class"])
 
     schema = rows.select("*").schema.add("class", "long")
-    named = rows.mapInArrow(run, schema).join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("class") == F.col("kept_class")), "left_semi")
+    named = rows.mapInArrow(leaner(run), schema).join(kept, (F.col("doc_id") == F.col("kept_id")) & (F.col("class") == F.col("kept_class")), "left_semi")
     order = F.struct(-F.length("row.text"), F.sha2(F.to_json("row"), 256))
     one = named.groupBy("doc_id", "class").agg(F.min_by("row", order).alias("row")).select("row.*")
     return one.unionByName(docs.where(wordless))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, documents, hash52, worker_cache
+from wardline.llm.common import cut, documents, hash52, leaner, worker_cache
 from wardline.llm.wordhash import Known, bytes_of, hash_words, slices
 
 #: Bound on the labelled rows that the model is fitted on, and so on what the driver gathers and sends out.
@@ -63,7 +63,7 @@ def fit_language_model(docs: DataFrame, sample: int = FIT_DOCUMENTS, vocabulary:
     summed = lambda df: df.groupBy("lang", "item").agg(F.sum("n").alias("n"))
     tokens = labelled.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(JVM_LETTERS), F.lit(0))).alias("item"), F.lit(1).cast("long").alias("n"))
     different = cut(summed(tokens))
-    parts = summed(different.mapInArrow(inner, counted))
+    parts = summed(different.mapInArrow(leaner(inner), counted))
     counts = cut(different.select(F.lit(0).alias("kind"), "*").unionByName(parts.select(F.lit(1).alias("kind"), "*")))
     found = counts.toArrow()  # of the sample's words and n-grams, as columns
     langs = sorted(set(found["lang"].unique().to_pylist()))
@@ -175,7 +175,7 @@ def identify_language(docs: DataFrame, model: dict) -> DataFrame:
             best, score = scores.predict(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(leaner(run), f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
 def keep_known_language(docs: DataFrame, model: dict, least: float = LEAST_SCORE) -> DataFrame:
@@ -192,7 +192,7 @@ def keep_known_language(docs: DataFrame, model: dict, least: float = LEAST_SCORE
             best, score = scores.predict(batch["text"])
             yield batch.filter(pa.array((best >= 0) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(leaner(run), docs.schema)
 
 
 def held_out() -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm import spans as S
-from wardline.llm.common import cut, documents, free_name, saved
+from wardline.llm.common import cut, documents, forget_caches, free_name, leaner, saved
 
 RULES = "2026.1"
 #: Kinds that the scan adds to the base kinds: well-known formats with a fixed prefix.
@@ -92,11 +92,12 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: s
 
     def scan(batches):
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+        forget_caches()
         for batch in batches:
             found = [[{"start": s, "end": e, "kind": k} for s, e, k in find_secrets(t)] for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["blob_id"], pa.array(found, kind)], ["blob_id", "findings"])
 
-    fresh = unseen_texts(versions, known, rules, text).mapInArrow(scan, f"blob_id string, findings {FINDING}").select("blob_id", F.lit(rules).alias("rule_version"), "findings")
+    fresh = unseen_texts(versions, known, rules, text).mapInArrow(leaner(scan), f"blob_id string, findings {FINDING}").select("blob_id", F.lit(rules).alias("rule_version"), "findings")
     if table:
         known = ledger  # what the table held is read again with the new rows
         fresh.write.mode("append").parquet(table)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wardline.llm.common import documents, saved, worker_cache
+from wardline.llm.common import documents, leaner, saved, worker_cache
 from wardline.llm.tokens import Container, Encoder, write_container
 from wardline.llm.wordhash import slices
 
@@ -57,7 +57,7 @@ def containers(docs: DataFrame, end: int = END, most_ids: int = CONTAINER_IDS, t
         if held:
             yield row()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"part int, seq int, doc_ids array<{of}>, n_ids long, data binary")
+    return docs.select("doc_id", "text").mapInArrow(leaner(run), f"part int, seq int, doc_ids array<{of}>, n_ids long, data binary")
 
 
 def encode_documents(docs: DataFrame, **how) -> DataFrame:
@@ -94,7 +94,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                 k, at = box.n, np.array(at, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * k, pa.int32()), pa.array([seq.as_py()] * k, pa.int32()), names.values, pa.array(at[:-1]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
-    rows = files.select("part", "seq", "doc_ids", "data").mapInArrow(run, f"part int, seq int, doc_id {of}, inner long, n_tokens long, ids_crc32 long")
+    rows = files.select("part", "seq", "doc_ids", "data").mapInArrow(leaner(run), f"part int, seq int, doc_id {of}, inner long, n_tokens long, ids_crc32 long")
     joined = rows.join(bases, (F.col("part") == F.col("p")) & (F.col("seq") == F.col("s")))
     return joined.select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
