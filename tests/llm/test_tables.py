@@ -424,3 +424,10 @@ def test_forest_joins_rows_and_columns():
     same = np.eye(4, dtype=bool)
     same[1, 3] = same[3, 1] = True
     assert neardup.forest(same)[:4].tolist() == [0, 1, 2, 1]
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    with pytest.raises(RuntimeError, match="2 rounds"):
+        components.connected_components(edges, most_rounds=2)
+    assert {r["component"] for r in components.connected_components(edges).collect()} == {0}
