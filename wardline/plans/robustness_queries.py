@@ -189,7 +189,13 @@ def stream_quota(spark, sf_dir):
 
 
 def stream_reuse(spark, sf_dir):
-    return worked_off(spark, streams.ttl_stream(stream_of(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", 7200.0, "31 days")).select("event_id", "fresh")
+    """The events arrive in files without any order of time, a few at a time; the last one closes the stream."""
+    rows, late = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"), "31 days"
+    arrived = f"{shared_dir(spark)}/arrived-{uuid.uuid4().hex}"
+    rows.repartition(8, F.xxhash64("event_id")).write.parquet(arrived)
+    streams.closing_row(rows, "ts", late).write.mode("append").parquet(arrived)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(arrived)
+    return worked_off(spark, streams.ttl_stream(stream, ["user_id", "event_type"], "ts", "event_id", 7200.0, late)).select("event_id", "fresh")
 
 
 def bound_sql(c: str, share: str) -> str:

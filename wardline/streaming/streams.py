@@ -7,10 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from wardline.functions.urls import rule_url_score, url_features
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def timed(df: DataFrame, time: str) -> DataFrame:
     """df with its time column as a timestamp, which watermarks ask for."""
@@ -60,35 +64,85 @@ def quota_stream(stream: DataFrame, key: str, limit: int, order: str) -> DataFra
     return stream.groupBy(key).applyInPandasWithState(take, stream.schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def ttl_stream(stream: DataFrame, key: list[str], time: str, tie: str, ttl_seconds: float = 300.0, late: str = "10 minutes") -> DataFrame:
-    """Rows with `fresh`: false within ttl of the key's last fresh row, which hits don't extend.
-
-    Rows are judged as they come, like a cache that is asked now: in order of time inside each batch, and a
-    row older than its key's last fresh one of an earlier batch is a hit. Where files come in order of time
-    that is what ttl_reuse() says of the whole table; where they don't, use that. A key's rows of one batch
-    are held at a time, so batches should be bounded (maxFilesPerTrigger). State is the last fresh time; it
-    goes once the watermark is ttl past it.
-    """
-    kinds = ", ".join(f"{k} {t}" for k, t in timed(stream, time).select(*key, time, tie).dtypes)
-
-    def judge(key_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class Reuse(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed them and judges them in order of time, ties by tie."""
+
+    def __init__(self, tie_type: str, ttl: int):
+        self.tie_type, self.ttl = tie_type, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", f"at long, tie {self.tie_type}")
+        self.last = handle.getValueState("last", "at long")
+
+    def wake(self, micros: int) -> None:
+        self.handle.registerTimer(micros // 1000 + 1)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            times = frame["at"].tolist()
+            self.held.appendList(list(zip(times, frame["tie"].tolist(), strict=True)))
+            self.wake(min(times))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], []
+        for at, tie in self.held.get():
+            (due if at <= passed else later).append((at, tie))
+        last = self.last.get()[0] if self.last.exists() else None
+        if not due:
+            # The timer of rows judged already, or of a fresh row now older than ttl.
+            if last is not None and last + self.ttl <= passed:
+                self.last.clear()
             return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values([time, tie])
-        micros = rows[time].astype("datetime64[us]").astype("int64")
+        due.sort()
         fresh = []
-        for t in micros:
-            hit = last is not None and t - last < ttl_seconds * 1e6
+        for at, _ in due:
+            hit = last is not None and at - last < self.ttl
             fresh.append(not hit)
-            last = last if hit else int(t)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(int(last / 1000 + ttl_seconds * 1000), state.getCurrentWatermarkMs() + 1))
-        yield rows[[*key, time, tie]].assign(fresh=fresh)
+            last = last if hit else at
+        self.last.update((last,))
+        self.wake(last + self.ttl)
+        if later:
+            self.held.put(later)
+            self.wake(min(later)[0])
+        else:
+            self.held.clear()
+        yield pd.DataFrame({"of": [key[0]] * len(due), "at": [at for at, _ in due], "tie": [tie for _, tie in due], "fresh": fresh})
 
-    marked = timed(stream, time).withWatermark(time, late)
-    return marked.groupBy(*key).applyInPandasWithState(judge, f"{kinds}, fresh boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+def ttl_stream(stream: DataFrame, key: list[str], time: str, tie: str, ttl_seconds: float = 300.0, late: str = "10 minutes") -> DataFrame:
+    """Rows with `fresh`: false within ttl of the key's last fresh row, which hits don't extend.
+
+    In whatever order rows come, the answer is that of ttl_reuse() on the whole table: a row is held in its
+    key's state until the watermark (`late` behind the newest time seen) has passed it, then judged in order
+    of time. Rows later than that are dropped, as by every watermark, and rows without a time or tie too.
+    State is the rows of the last `late`, and one time per key, which goes once the watermark is ttl past it.
+    What the watermark has not passed when a stream ends stays held; closing_row() lets it go. Sets the
+    session's state store to RocksDB, which timers and lists ask for.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    marked = timed(stream.select(*key, time, tie), time).withWatermark(time, late)
+    kinds = dict(marked.dtypes)
+    # The condition names the time, so that it stays above the watermark, which closing rows must reach.
+    kept = marked.where(F.when(F.col(time).isNotNull(), F.col(tie).isNotNull()))
+    # Keys travel as one string: workers would see a null in a column of integers as a float.
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    plain = kept.select(F.to_json(F.struct(*key), exact).alias("of"), F.col(time).alias("time"), F.unix_micros(time).alias("at"), F.col(tie).alias("tie"))
+    out = f"of string, at long, tie {kinds[tie]}, fresh boolean"
+    judged = plain.groupBy("of").transformWithStateInPandas(Reuse(kinds[tie], int(ttl_seconds * 1e6)), out, "append", "eventTime")
+    of = F.from_json("of", ", ".join(f"`{k}` {kinds[k]}" for k in key), exact)
+    return judged.select(*(of[k].alias(k) for k in key), F.timestamp_micros("at").alias(time), F.col("tie").alias(tie), "fresh")
+
+
+def closing_row(df: DataFrame, time: str, late: str) -> DataFrame:
+    """One row of nulls, with a time so late that a stream that reads it after df lets go of all rows of df.
+
+    It has no tie, so ttl_stream() only takes its time. Of an empty df, or one without times, the time is null.
+    """
+    end = F.max(F.col(time).cast("timestamp")) + F.expr(f"interval {late}") + F.expr("interval 1 second")
+    return df.agg(end.cast(dict(df.dtypes)[time]).alias(time)).select(*(F.col(time) if c == time else F.lit(None).cast(t).alias(c) for c, t in df.dtypes))
 
 
 def debounced_stream(stream: DataFrame, key: list[str], time: str, gap: str = "800 milliseconds", late: str = "1 minute") -> DataFrame:
