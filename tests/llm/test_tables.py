@@ -391,14 +391,14 @@ def test_embedding_edges(spark):
 
 
 @pytest.mark.parametrize("family", [0, 1500])
-def test_audit_sees_lone_pairs_beside_a_hot_family_and_alone(family):
+def test_audits_see_what_narrow_beams_miss(family):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 32))
     x[:family] = x[0] + 1e-3 * rng.normal(size=(family, 32))
-    lone = range(max(family, 2000), 3000, 2) if family else [2001]
-    for i in lone:
-        x[i + 1 if i + 1 < 3000 else i - 1] = x[i] + 1e-3
+    for i in range(2000, 3000, 2):
+        x[i + 1] = x[i] + 1e-3
     x /= np.linalg.norm(x, axis=1)[:, None]
+    exact = x @ x.T >= 0.98
 
     class Narrow(neardup.Graph):
         """Finds pairs outside the family with a wide beam only."""
@@ -407,14 +407,60 @@ def test_audit_sees_lone_pairs_beside_a_hot_family_and_alone(family):
             near = np.flatnonzero(self.x @ q >= threshold)
             return near if ef >= 128 else near[(near < family) | (near == start)]
 
-    class Blind(neardup.Graph):
-        """Never finds a lone pair: no beam passes the audit."""
-
-        def within(self, q, threshold, ef, start=None):
-            return np.array([start])
-
-    for kind in (Narrow, Blind):
-        assert (neardup.search_pair(x, kind(x), True, 0.98) == (x @ x.T >= 0.98)).all()
+    for ef, passes in ((32, False), (64, False), (128, True), (1501, True)):
+        hit, recalls = neardup.search_pair(x, Narrow(x), True, 0.98, ef)
+        assert (np.mean(recalls) >= neardup.RECALL) == passes and (hit == exact).all() == passes and not (hit & ~exact).any()
+
+
+def linked_vectors(rng, n, dim=24):
+    """Unit vectors: a family of an eighth of them, pairs among the next half, and lone ones."""
+    x = rng.standard_normal((n, dim))
+    near = lambda rows: rows + 0.02 * rng.standard_normal(rows.shape)
+    x[: n // 8] = near(np.repeat(x[:1], n // 8, 0))
+    odd = np.arange(n // 8 + 1, 5 * n // 8, 2)
+    x[odd] = near(x[odd - 1])
+    return (x / np.linalg.norm(x, axis=1)[:, None])[rng.permutation(n)]
+
+
+def test_the_graph_itself_finds_links_with_few_comparisons():
+    x = linked_vectors(np.random.default_rng(3), 3000)
+    graph, exact = neardup.Graph.build(x), x @ x.T >= 0.98
+    hit, recalls = np.zeros(exact.shape, bool), None
+    for i in range(len(x)):
+        hit[i, graph.within(x[i], 0.98, neardup.EF, i)] = True
+    shares = [(hit[i].sum() - 1) / (exact[i].sum() - 1) for i in np.flatnonzero(exact.sum(1) > 1)]
+    assert not (hit & ~exact).any() and np.mean(shares) >= 0.99
+    graph.compared = 0
+    audited, recalls = neardup.search_pair(x, graph, True, 0.98)
+    assert (audited >= hit).all() and 48 <= len(recalls) <= 96 and np.mean(recalls) >= 0.99
+
+
+def test_embedding_duplicates_through_graphs_of_several_shards(spark):
+    rng = np.random.default_rng(12)
+    x = linked_vectors(rng, 6000).astype(np.float32)
+    v = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    link = (v @ v.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    df = vectors_of(spark, x, np.zeros(len(x), int)).cache()
+    got = neardup.near_duplicate_vectors(df, shard=2000).orderBy("vec_id").toPandas()
+    assert got.n_links.sum() >= 0.99 * link.sum() and (got.n_links.to_numpy() <= link.sum(1)).all()
+    whole, before = np.arange(len(x)), None
+    while not np.array_equal(whole, before):
+        before, whole = whole, np.array([min(whole[i], whole[row].min(initial=i)) for i, row in enumerate(link)])
+    assert np.mean(got.component_id.to_numpy() == whole) >= 0.99
+    audits = [r.asDict() for r in neardup.search_audits(df, shard=2000).orderBy("beam").collect()]
+    assert [a["beam"] for a in audits] == [neardup.EF] and audits[0]["recall"] >= neardup.RECALL and audits[0]["audited"] > 100
+    assert audits[0]["compared"] < 0.4 * audits[0]["pairs"]
+
+
+def test_a_label_whose_audit_fails_is_searched_again(spark):
+    # Scattered links, which a narrow beam misses, and a label under which nothing links.
+    x = np.concatenate([np.random.default_rng(13).standard_normal((600, 24)), np.eye(24)]).astype(np.float32)
+    df = vectors_of(spark, x, np.repeat([0, 1], [600, 24])).cache()
+    audits = [r.asDict() for r in neardup.search_audits(df, threshold=0.6, shard=200, ef=1, goal=1.0).orderBy("label", "beam").collect()]
+    beams = [a["beam"] for a in audits if a["label"] == 0]
+    assert len(beams) > 1 and beams == [2**k for k in range(len(beams))] and [a["recall"] for a in audits if a["label"] == 0][-1] == 1.0
+    assert all(a["recall"] < 1 for a in audits if a["label"] == 0 and a["beam"] < beams[-1])
+    assert [(a["beam"], a["audited"], a["recall"]) for a in audits if a["label"] == 1] == [(1, 0, None)]
 
 
 def test_forest_joins_rows_and_columns():

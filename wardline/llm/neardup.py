@@ -3,16 +3,17 @@
 Equal vectors of a label are one node. The nodes of a label are dealt to shards, each with its own
 hierarchical graph; every node is searched for in every shard of its label. A search runs a best-first
 beam and then follows the graph from what links until nothing new links, so families of any size are
-found whole. In each pair of shards nodes are compared with all others, in random order, until enough of
-them have a link or none are left: while the mean recall of those that do is below the goal the beam is
-doubled and the pair searched again, and where half the shard is not beam enough, all are compared. What
-was compared needs no search. Links are verified by cosine in double
-precision; each pair of shards reports counts of links and a spanning forest, whose union gives the
-components.
+found whole. Of each pair of shards some nodes are audited, by comparing them with all others: a fixed
+number of random ones, whatever the search said of them, and as many that it linked. Audits are pooled
+over all pairs of shards of a label, and a label whose mean recall is below the goal is searched again
+with twice the beam; only where half a shard is not beam enough are all compared. Links are verified by
+cosine in double precision; each pair of shards reports counts of links and a spanning forest, whose
+union gives the components.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 
@@ -30,11 +31,12 @@ SHARD = 8_192
 M = 12
 EF_BUILD = 40
 EF = 32
-AUDIT = 48  # nodes with a link
+AUDIT = 48  # random nodes of a pair of shards, and as many with a link
 BLOCK = 256
 RECALL = 0.995
 CHUNK = 16  # shards whose vectors pass one after another by a graph
 MOST_TASKS = 20_000
+ARROW = {c: pa.float64() if c == "recalls" else pa.int64() for c in ("gid", "node", "links", "root", "audited", "recalls", "compared", "pairs")}
 
 
 class Graph:
@@ -42,6 +44,7 @@ class Graph:
 
     def __init__(self, x: np.ndarray, layers: list[np.ndarray] | None = None, entry: int = 0):
         self.x, self.layers, self.entry, self.both = x, layers if layers is not None else [], entry, None
+        self.compared = 0  # nodes that searches compared with what they asked for
 
     @classmethod
     def build(cls, x: np.ndarray, seed: int = 5) -> Graph:
@@ -75,6 +78,7 @@ class Graph:
                 if not len(near):
                     break
                 sims = self.x[near] @ q
+                self.compared += len(near)
                 k = int(sims.argmax())
                 if sims[k] <= best:
                     break
@@ -100,6 +104,7 @@ class Graph:
             if not new:
                 continue
             seen.update(new)
+            self.compared += len(new)
             for t, j in zip((self.x[new] @ q).tolist(), new, strict=True):
                 if len(kept) < ef:
                     heapq.heappush(kept, (t, j))
@@ -146,6 +151,7 @@ class Graph:
             near = near[~tried[near]]
             tried[near] = True
             near = np.flatnonzero(np.bincount(near, minlength=1)) if len(near) else near
+            self.compared += len(near)
             edge = near[self.x[near] @ q >= threshold]
             inside[edge] = True
         return np.flatnonzero(inside)
@@ -164,41 +170,29 @@ class Graph:
         return to[np.repeat(first[nodes] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
-def search_pair(q: np.ndarray, graph: Graph, same: bool, threshold: float = THRESHOLD, ef: int = EF, audit: int = AUDIT, recall: float = RECALL) -> np.ndarray:
-    """Which rows of the graph link with which row of q, as a matrix; the beam widens until the audit passes.
+def search_pair(q: np.ndarray, graph: Graph, same: bool, threshold: float = THRESHOLD, ef: int = EF, audit: int = AUDIT) -> tuple[np.ndarray, list[float]]:
+    """Which rows of the graph link with which row of q, as a matrix, and the search's recall for each audited row that links.
 
-    Where it doesn't pass with a beam of half the graph, rows are compared with all others.
+    What the audit finds is in the matrix too. With a beam of over half the graph rows are compared with all.
     """
-    hit, done, linked = np.zeros((len(q), len(graph.x)), bool), np.zeros(len(q), bool), []
+    hit = np.zeros((len(q), len(graph.x)), bool)
+    if 2 * ef > len(graph.x):
+        for at in range(0, len(q), BLOCK):
+            hit[at : at + BLOCK] = q[at : at + BLOCK] @ graph.x.T >= threshold
+        graph.compared += hit.size
+        return hit, [1.0] * int((hit.sum(1) > same).sum())
+    for i in range(len(q)):
+        hit[i, graph.within(q[i], threshold, ef, i if same else None)] = True
     order = np.random.default_rng(len(q)).permutation(len(q))
-
-    def compare(rows: np.ndarray) -> None:
-        for at in range(0, len(rows), BLOCK):
-            part = rows[at : at + BLOCK]
-            hit[part] = q[part] @ graph.x.T >= threshold
-            done[part] = True
-
-    for at in range(0, len(q), BLOCK):
-        if len(linked) >= audit:
-            break
-        rows = order[at : at + BLOCK]
-        compare(rows)
-        linked += rows[hit[rows].sum(1) > same].tolist()
-    linked = linked[:audit]
-    while not done.all():
-        if 2 * ef > len(graph.x):
-            compare(np.flatnonzero(~done))
-            break
-        shares = []
-        for i in linked:
-            found = graph.within(q[i], threshold, ef, i if same else None)
-            shares.append((int(hit[i, found].sum()) - same) / (int(hit[i].sum()) - same))
-        if np.mean(shares) >= recall:
-            for i in np.flatnonzero(~done).tolist():
-                hit[i, graph.within(q[i], threshold, ef, i if same else None)] = True
-            break
-        ef *= 2
-    return hit
+    linked = order[hit[order].sum(1) > same]
+    recalls = []
+    for i in np.union1d(order[:audit], linked[:audit]).tolist():
+        exact = graph.x @ q[i] >= threshold
+        graph.compared += len(exact)
+        if int(exact.sum()) > same:
+            recalls.append((int((hit[i] & exact).sum()) - same) / (int(exact.sum()) - same))
+        hit[i] |= exact
+    return hit, recalls
 
 
 def verify(hit: np.ndarray, q: np.ndarray, x: np.ndarray, lq: np.ndarray, lx: np.ndarray, threshold: float) -> None:
@@ -230,20 +224,23 @@ def forest(hit: np.ndarray) -> np.ndarray:
     return root
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, ef: int = EF) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label).
-
-    Vectors that usable() refuses, or whose label or vec_id is null, link with nothing: they have 0 links
-    and their own component, and are kept. Repeated rows and equal vectors link with each other. Vectors
-    are compared within their label and dimension. Empty tables give no rows; other columns are ignored.
-    """
+def usable_rows(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, and the nodes: distinct vectors of a label that can link, each under its smallest id."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("vector"))
     part = rows.where(usable(F.col("vector")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     nodes = part.groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    nodes = cut(nodes.withColumn("dim", F.size("vector")))
+    return rows, cut(nodes.withColumn("dim", F.size("vector")))
+
+
+def searched(nodes: DataFrame, threshold: float, shard: int, ef: int, goal: float) -> tuple[DataFrame, DataFrame]:
+    """What the shards of each label found (node, links, root), and the audits of each label and beam.
+
+    Audits: gid (of a label and dimension), beam, audited (rows with a link), recall (null without any),
+    compared (pairs), pairs (in all).
+    """
     many = nodes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
     dealt = nodes.join(many, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-    label = dict(rows.dtypes)["label"]
+    label = dict(nodes.dtypes)["label"]
 
     def build(group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
@@ -256,13 +253,16 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sha
     # Each graph goes to a task for every CHUNK of the shards that ask it; their vectors follow one by one.
     keys = graphs.select("label", "dim", "shard")
     tasks = cut(keys.withColumnRenamed("shard", "from_shard").join(keys, ["label", "dim"]).where("from_shard <= shard").withColumn("chunk", F.floor(F.col("from_shard") / CHUNK).cast("int")))
-    of_task = tasks.select("label", "dim", "shard", "chunk").distinct()
-    asked = graphs.join(of_task, ["label", "dim", "shard"]).withColumn("from_shard", F.lit(-1))
-    asking = graphs.withColumnRenamed("shard", "from_shard").join(tasks, ["label", "dim", "from_shard"]).withColumns({"layers": F.lit(None).cast("array<binary>"), "entry": F.lit(None).cast("int")})
     by = ("label", "dim", "shard", "chunk")
-    pairs = asked.unionByName(asking).repartition(min(max(1, of_task.count()), MOST_TASKS), *by).sortWithinPartitions(*by, "from_shard").drop("label")
 
-    def search(batches):
+    def pairs_of(tasks: DataFrame) -> DataFrame:
+        of_task = tasks.select(*by).distinct()
+        asked = graphs.join(of_task, ["label", "dim", "shard"]).withColumn("from_shard", F.lit(-1))
+        asking = graphs.withColumnRenamed("shard", "from_shard").join(tasks, ["label", "dim", "from_shard"]).withColumns({"layers": F.lit(None).cast("array<binary>"), "entry": F.lit(None).cast("int")})
+        spread = asked.unionByName(asking).repartition(min(max(1, of_task.count()), MOST_TASKS), *by).sortWithinPartitions(*by, "from_shard")
+        return spread.withColumn("gid", F.xxhash64("label", "dim")).drop("label")
+
+    def search(batches, beam):
         for batch in batches:
             for k in range(batch.num_rows):
                 r = batch.slice(k, 1).to_pylist()[0]
@@ -274,7 +274,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sha
                     graph = Graph(x / lx[:, None], [np.frombuffer(v, np.int32).reshape(len(b), -1) for v in r["layers"]], r["entry"])
                     continue
                 same = r["from_shard"] == r["shard"]
-                hit = search_pair(qx / lq[:, None], graph, same, threshold - 1e-9, ef)
+                graph.compared = 0
+                hit, recalls = search_pair(qx / lq[:, None], graph, same, threshold - 1e-9, beam)
                 verify(hit, qx, x, lq, lx, threshold)
                 if same:  # a link that one end found and the other missed counts for both
                     hit |= hit.T
@@ -289,9 +290,45 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sha
                     ids = np.concatenate([ids, b])
                     links = np.concatenate([links, np.array([copies[hit[:, j]].sum() for j in range(len(b))], np.int64)])
                 keep = links > 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep]), pa.array(ids[root][keep])], ["node", "links", "root"])
+                n = int(keep.sum())
+                audit = [r["gid"], None, None, None, len(recalls), float(sum(recalls)), graph.compared, hit.size]
+                cols = [[r["gid"]] * n, ids[keep], links[keep], ids[root][keep], *[[None] * n] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array([*c, last], kind) for c, last, kind in zip(cols, audit, ARROW.values(), strict=True)], list(ARROW))
+
+    kinds = ", ".join(f"{c} {'double' if kind == pa.float64() else 'long'}" for c, kind in ARROW.items())
+    tasks, beam, parts, audits = tasks.withColumn("gid", F.xxhash64("label", "dim")), ef, [], []
+    while True:
+        answers = cut(pairs_of(tasks.drop("gid")).mapInArrow(functools.partial(search, beam=beam), kinds))
+        pooled = answers.where("node IS NULL").groupBy("gid").agg(*(F.sum(c).alias(c) for c in ("audited", "recalls", "compared", "pairs")))
+        audits.append(cut(pooled.select("gid", F.lit(beam).alias("beam"), "audited", F.when(F.col("audited") > 0, F.col("recalls") / F.col("audited")).alias("recall"), "compared", "pairs")))
+        failed = audits[-1].where(F.col("recall") < goal).select("gid")
+        parts.append(answers.where("node IS NOT NULL").join(failed, "gid", "left_anti").select("node", "links", "root"))
+        if failed.isEmpty():
+            break
+        tasks, beam = tasks.join(failed, "gid", "left_semi"), 2 * beam
+    return functools.reduce(DataFrame.unionByName, parts), functools.reduce(DataFrame.unionByName, audits)
+
+
+def search_audits(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, ef: int = EF, goal: float = RECALL) -> DataFrame:
+    """label, dim, beam, audited, recall, compared, pairs for each label and each beam it was searched with.
+
+    The last beam of a label is the one whose links count. Labels without a vector that can link give no row.
+    """
+    nodes = usable_rows(vectors)[1]
+    audits = searched(nodes, threshold, shard, ef, goal)[1]
+    named = nodes.select("label", "dim").distinct().withColumn("gid", F.xxhash64("label", "dim"))
+    return named.join(audits, "gid").drop("gid")
 
-    found = cut(pairs.mapInArrow(search, "node long, links long, root long"))
+
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, ef: int = EF, goal: float = RECALL) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row of vectors (vec_id, embedding, label).
+
+    Vectors that usable() refuses, or whose label or vec_id is null, link with nothing: they have 0 links
+    and their own component, and are kept. Repeated rows and equal vectors link with each other. Vectors
+    are compared within their label and dimension. Empty tables give no rows; other columns are ignored.
+    """
+    rows, nodes = usable_rows(vectors)
+    found = searched(nodes, threshold, shard, ef, goal)[0]
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     info = nodes.join(counts, "node", "left").join(parts, "node", "left").select(F.col("label").alias("of"), F.col("vector").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"), F.xxhash64("vector").alias("h"))
