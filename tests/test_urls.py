@@ -43,6 +43,14 @@ def test_registered_domain_takes_the_longest_suffix(spark):
     assert got == {"http://a.b.co.uk/x": "b.co.uk", "http://b.uk": "b.uk", "http://10.0.0.1/": "http://10.0.0.1/", "http://co.uk/": "http://co.uk/"}
 
 
+def test_suffix_wildcards_and_exceptions(spark):
+    hosts = {"a.b.c.ck": "b.c.ck", "b.c.ck": "b.c.ck", "c.ck": "http://c.ck/", "x.www.ck": "www.ck", "www.ck": "www.ck", "a.city.kobe.jp": "city.kobe.jp", "a.b.other.kobe.jp": "b.other.kobe.jp", "q.jp": "q.jp", "none.test": "http://none.test/"}
+    df = spark.createDataFrame([(f"http://{h}/",) for h in hosts], "url string")
+    rules = spark.createDataFrame([(r,) for r in ("ck", "*.ck", "!www.ck", "jp", "*.kobe.jp", "!city.kobe.jp")], "suffix string")
+    got = {r["url"]: r["registered_domain"] for r in urls.registered_domain(df, rules).collect()}
+    assert got == {f"http://{h}/": want for h, want in hosts.items()}
+
+
 @pytest.mark.parametrize(("score", "want"), [(29, "SAFE"), (30, "SUSPICIOUS"), (59, "SUSPICIOUS"), (60, "PHISHING")])
 def test_verdict_limits(spark, score, want):
     assert spark.range(1).select(scoring.verdict(__import__("pyspark").sql.functions.lit(score)).alias("v")).first()["v"] == want

@@ -229,16 +229,20 @@ def typo_flag(base: Column, safe=fixed.BRANDS) -> Column:
 
 
 def registered_domain(df: DataFrame, suffixes: DataFrame, url_col: str = "url", name: str = "registered_domain") -> DataFrame:
-    """df with the longest public suffix of the host plus one label; the whole lower-case URL where none fits.
+    """df with the public suffix of the host plus one label; the whole lower-case URL where no rule fits or nothing is left.
 
-    suffixes: one column `suffix`. Candidate endings of each distinct host are joined to it, so the table
-    may be of any size.
+    suffixes: one column `suffix` of rules. `x.y` is a suffix, `*.x.y` makes one of any label before x.y, and
+    `!z.x.y` says that z.x.y is none, but x.y is. Exceptions come before all others, then the rule of most
+    labels. Candidate endings of each distinct host are joined to the rules, which may be of any number.
     """
     df = url_parts(df, url_col).withColumn("_host", F.col("u.hostname"))
     labels = F.col("labels")
     hosts = df.select("_host").distinct().withColumn("labels", F.split("_host", r"\."))
     tails = hosts.select("_host", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("k"))
-    tails = tails.withColumn("suffix", F.array_join(F.slice(labels, -F.col("k"), F.col("k")), "."))
-    found = tails.join(suffixes.select("suffix").distinct(), "suffix").groupBy("_host").agg(F.max("k").alias("k"), F.first("labels").alias("labels"))
+    tail, rest = (F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".") for n in (F.col("k"), F.col("k") - 1))
+    asked = lambda rule, except_, k: F.struct(rule.alias("suffix"), F.lit(except_).alias("except"), k.alias("k"))
+    kinds = F.array(asked(tail, 0, F.col("k")), asked(F.concat(F.lit("*."), rest), 0, F.col("k")), asked(F.concat(F.lit("!"), tail), 1, F.col("k") - 1))
+    tails = tails.select("_host", "labels", F.inline(kinds))
+    found = tails.join(suffixes.select("suffix").distinct(), "suffix").groupBy("_host").agg(F.max(F.struct("except", "k"))["k"].alias("k"), F.first("labels").alias("labels"))
     named = found.where(F.size("labels") > F.col("k")).select("_host", F.array_join(F.slice(labels, -(F.col("k") + 1), F.col("k") + 1), ".").alias(name))
     return df.join(named, "_host", "left").withColumn(name, F.coalesce(name, F.lower(F.col(url_col)))).drop("_host", "u")

@@ -122,6 +122,17 @@ def registered_domains(spark, sf_dir):
     return urls.registered_domain(pages_of(spark, sf_dir), suffixes).select("page_id", "registered_domain")
 
 
+def suffix_rules(spark, sf_dir):
+    """Rules of one to four labels, wildcards and exceptions, all made from the pages' own hosts."""
+    parts = urls.url_parts(pages_of(spark, sf_dir)).where(F.size("u.labels") >= 2)
+    hosts = parts.select("page_id", F.col("u.hostname").alias("host"), "u.labels").withColumn("base", F.array_join(F.slice("labels", -2, 2), "."))
+    n = F.col("page_id")
+    kinds = F.array(F.element_at("labels", -1), F.when(n % 3 == 1, F.concat(F.lit("*."), "base")), F.when(n % 3 == 2, F.col("base")), F.when(n % 6 == 1, F.concat(F.lit("!b."), "host")))
+    rules = hosts.select(F.explode(kinds).alias("suffix")).where("suffix IS NOT NULL")
+    longer = hosts.select("page_id", F.concat(F.lit("http://a.b."), "host", F.lit("/")).alias("url"))
+    return urls.registered_domain(longer, rules).select("page_id", "registered_domain")
+
+
 def learned_fusion(spark, sf_dir):
     df = scoring.scan_urls(pages_of(spark, sf_dir)).withColumn("page_probability", (F.col("page_id") % 10) / 10.0).withColumn("html_available", F.col("page_id") % 3 > 0)
     return scoring.fuse(df.drop("risk_score"), "learned", coefficients=(4.0, 3.0, -2.5)).select("page_id", "risk_score", "fusion_mode", scoring.verdict(F.col("risk_score"), 15, 50).alias("verdict"))
@@ -236,6 +247,14 @@ QUERIES = {
       p AS (SELECT page_id, near_brand, plain_http, CASE WHEN near_brand IS NOT NULL THEN 40 ELSE 0 END + CASE WHEN plain_http THEN 20 ELSE 0 END AS points FROM t)
       SELECT page_id, near_brand, plain_http, points AS rule_points, points AS threat, {VERDICT_SQL} AS threat_verdict, points >= 50 AS is_dangerous FROM p"""),
     "registered_domains": (registered_domains, f"WITH {PARTS_SQL} SELECT page_id, CASE WHEN len(labels) >= 2 THEN base ELSE lower(url) END AS registered_domain FROM u"),
+    "suffix_rules": (suffix_rules, f"""WITH {PARTS_SQL}, r AS (SELECT page_id, host, labels, base, string_split('a.b.' || host, '.') AS l FROM u WHERE len(labels) >= 2),
+      rules AS (SELECT labels[-1] AS rule FROM r UNION SELECT '*.' || base FROM r WHERE page_id % 3 = 1 UNION SELECT base FROM r WHERE page_id % 3 = 2 UNION SELECT '!b.' || host FROM r WHERE page_id % 6 = 1),
+      k AS (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k FROM r),
+      t AS (SELECT *, array_to_string(l[len(l) - k + 1:], '.') AS tail, array_to_string(l[len(l) - k + 2:], '.') AS rest FROM k),
+      hits AS (SELECT page_id, k FROM t JOIN rules ON rule = tail UNION ALL SELECT page_id, k FROM t JOIN rules ON rule = '*.' || rest
+        UNION ALL SELECT page_id, 1000 + k - 1 FROM t JOIN rules ON rule = '!' || tail),
+      best AS (SELECT page_id, max(k) % 1000 AS k FROM hits GROUP BY page_id)
+      SELECT page_id, CASE WHEN len(l) > k THEN array_to_string(l[len(l) - k:], '.') ELSE lower('http://' || array_to_string(l, '.') || '/') END AS registered_domain FROM r LEFT JOIN best USING (page_id)"""),
     "learned_fusion": (learned_fusion, f"""WITH {FEATURE_SQL}, f AS (SELECT page_id, CASE WHEN page_id % 3 > 0 THEN round_even(100 / (1 + exp(-(4.0 * (points / 100.0::DOUBLE) + 3.0 * ((page_id % 10) / 10.0::DOUBLE) - 2.5))), 0) ELSE points END AS s, page_id % 3 > 0 AS c FROM pts)
       SELECT page_id, CAST(s AS INTEGER) AS risk_score, CASE WHEN c THEN 'combined' ELSE 'structural_only' END AS fusion_mode, CASE WHEN s >= 50 THEN 'PHISHING' WHEN s >= 15 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS verdict FROM f"""),
     "verdicts_by_table": (verdicts_by_table, f"WITH {FEATURE_SQL}, l AS (SELECT floor(avg(points)) AS a, max(points) AS b FROM pts) SELECT page_id, points AS risk_score, CASE WHEN points >= b THEN 'PHISHING' WHEN points >= a THEN 'SUSPICIOUS' ELSE 'SAFE' END AS verdict FROM pts, l"),
