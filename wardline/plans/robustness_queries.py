@@ -10,10 +10,11 @@ from wardline.functions import fixed, urls
 from wardline.operators import augment, models, pages, robustness, scoring, summaries
 from wardline.plans import data_queries
 from wardline.plans.url_queries import BANKS, FEATURE_SQL, VERDICT_SQL, pages_of, table
+from wardline.sources import pull
 from wardline.sources.elements import page_elements
 from wardline.sources.readers import spread
 from wardline.sources.shared import cut, shared_dir
-from wardline.streaming import streams
+from wardline.streaming import collect, streams
 
 MOVED = ["url_length", "domain_entropy", "digit_ratio", "brand_impersonation_score", "suspicious_keywords", "sub_domain_count"]
 
@@ -188,6 +189,20 @@ def stream_quota(spark, sf_dir):
     return worked_off(spark, streams.quota_stream(stream_of(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", 25, "event_id")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pulled_scores(spark, sf_dir):
+    """Pages are published in three parts and pulled by three runs of one stream; the last one finds the publisher's end."""
+    root = f"{shared_dir(spark)}/pull-{uuid.uuid4().hex}"
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    part = F.pmod(F.xxhash64("page_id"), F.lit(3))
+    for k in range(3):
+        pages.where(part == k).write.parquet(f"{root}/in/part-{k}")
+        if k == 2:
+            pull.end(spark, f"{root}/in")
+        stream = streams.ingest(pull.published_stream(spark, f"{root}/in", pages.schema)).select("page_id", "structural_score")
+        collect.collect_stream(stream, f"{root}/staging", f"{root}/final", f"{root}/state", lambda _: pull.ended(spark, f"{root}/in"))
+    return collect.read_collected(spark, f"{root}/final")
+
+
 def stream_reuse(spark, sf_dir):
     """The events arrive in files without any order of time, a few at a time; the last one closes the stream."""
     rows, late = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type"), "31 days"
@@ -270,6 +285,8 @@ drops AS (SELECT *, round(f1_before - f1, 4) AS f1_drop, round(accuracy_before -
 RANKING_SQL = f"""{FRAGILITY_SQL}, rank AS (SELECT changed_feature, max(f1_drop) AS worst_drop, round(avg(f1_drop), 6) AS mean_drop FROM drops GROUP BY 1)
 (SELECT *, 'largest' AS "end" FROM rank ORDER BY worst_drop DESC, changed_feature LIMIT 3) UNION ALL (SELECT *, 'smallest' FROM rank ORDER BY worst_drop, changed_feature LIMIT 3)"""
 
+SCORES_SQL = f"WITH {FEATURE_SQL} SELECT page_id, points AS structural_score FROM pts JOIN pages USING (page_id) WHERE length(pages.url) >= 8 AND length(html) >= 200"
+
 QUERIES = {
     "perturb_features": (moved_features, f"{CHANGES_SQL} SELECT changed_feature, changed_by, {', '.join(f'round(sum({c}), 3) AS {c}' for c in MOVED)} FROM p GROUP BY 1, 2"),
     "only_target_moved": (only_target_moved, f"{CHANGES_SQL} SELECT p.changed_feature, p.changed_by, 0 AS others_moved, round(avg(CASE p.changed_feature {' '.join(f'WHEN {chr(39)}{c}{chr(39)} THEN CASE WHEN k.{c} <> 0 THEN (p.{c} - k.{c}) / k.{c} END' for c in MOVED)} END), 4) AS mean_shift FROM p JOIN k USING (page_id) GROUP BY 1, 2"),
@@ -291,7 +308,8 @@ v AS{URL_OUTCOMES_SQL.split("v AS")[1].replace("SELECT perturbation, count", "SE
     "worst_cases": (worst_cases, None),
     "page_worst_cases": (page_worst_cases, None),
     "search_records": (search_records, f"WITH {FEATURE_SQL}, o AS (SELECT page_id, round(points / 100.0::DOUBLE, 4) AS original_probability, round(points / 100.0::DOUBLE, 4) * 0.5::DOUBLE AS final_probability, CAST(page_id % 4 AS INTEGER) AS steps FROM pts) SELECT *, final_probability < 0.2 AS success, round(original_probability - final_probability, 6) AS reduction, coalesce(round((original_probability - final_probability) / nullif(original_probability, 0), 6), 0) AS relative_reduction, round(final_probability + 0.005::DOUBLE * steps, 6) AS objective FROM o"),
-    "stream_scores": (stream_scores, f"WITH {FEATURE_SQL} SELECT page_id, points AS structural_score FROM pts JOIN pages USING (page_id) WHERE length(pages.url) >= 8 AND length(html) >= 200"),
+    "stream_scores": (stream_scores, SCORES_SQL),
+    "pulled_scores": (pulled_scores, SCORES_SQL),
     "stream_distinct": (stream_distinct, "SELECT DISTINCT user_id, event_type FROM events"),
     "stream_counts": (stream_counts, "SELECT CASE WHEN value < 5 THEN 'low' WHEN event_type = 'error' THEN 'errors' ELSE 'accepted' END AS reason, count(*) AS n FROM events GROUP BY 1"),
     "stream_windows": (stream_windows, "SELECT CAST(floor(epoch(ts) / 21600) * 21600 AS BIGINT) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
