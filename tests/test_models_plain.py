@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from wardline.operators import models
@@ -73,3 +75,50 @@ def test_embeddings_and_pages_are_told_apart(spark, sf_dir):
     want = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").rlike("[?#]").cast("int").alias("y")).toPandas().set_index("page_id").y
     assert area(want[pages.page_id].to_numpy(), pages.model_probability.to_numpy()) > 0.7
     assert (pages.risk_score == (0.6 * pages.structural_score + 0.4 * np.floor(pages.model_probability * 100 + 0.5)).round()).mean() > 0.9
+
+
+def odd_table(spark, n=400):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 3))
+    y = (x[:, 0] * x[:, 1] > 0.1 * rng.normal(size=n)).astype(int)
+    return spark.createDataFrame([(i, *map(float, r), int(t), i % 2, True if i % 5 == 3 else None) for i, (r, t) in enumerate(zip(x, y, strict=True))], "id int, a double, b double, c double, label int, fold int, held boolean").coalesce(2).cache()
+
+
+def test_components_are_saved_loaded_and_stages_of_pipelines(spark, tmp_path):
+    df = odd_table(spark)
+    trees = models.VotedTrees(inputCols=["a", "b", "c"], rounds=3, boostedDepth=2, trees=3, forestDepth=3, weights=[0.7, 0.3], outputCol="p")
+    trees.write().save(f"{tmp_path}/estimator")
+    again = models.VotedTrees.load(f"{tmp_path}/estimator")
+    assert {p.name: v for p, v in again.extractParamMap().items()} == {p.name: v for p, v in trees.extractParamMap().items()}
+    fitted = Pipeline(stages=[again]).fit(df)
+    plain = models.fit_component(df.where("held IS NULL"), df.where("held"), ["a", "b", "c"], boosted={"maxIter": 3, "maxDepth": 2}, forest={"numTrees": 3, "maxDepth": 3}, vote=(0.7, 0.3))
+    fitted.write().save(f"{tmp_path}/model")
+    loaded = PipelineModel.load(f"{tmp_path}/model")
+    scores = [[r[-1] for r in m.transform(df).orderBy("id").collect()] for m in (fitted, loaded, plain)]
+    assert scores[0] == scores[1] == scores[2] and len(set(scores[0])) > 5
+    assert loaded.transform(df).columns == [*df.columns, "p"]
+    both = [sorted(map(tuple, m.importances(spark, ["a", "b", "c"]).collect())) for m in (loaded.stages[0], plain)]
+    assert both[0] == both[1]
+    with pytest.raises(Exception, match="(?i)exist"):
+        fitted.write().save(f"{tmp_path}/model")
+    fitted.write().overwrite().save(f"{tmp_path}/model")
+
+
+def test_grid_search_is_a_plain_loop(spark):
+    df = odd_table(spark)
+    trees = models.VotedTrees(inputCols=["a", "b", "c"], rounds=2, trees=2, forestDepth=2)
+    grid = ParamGridBuilder().addGrid(trees.boostedDepth, [1, 4]).build()
+    found = models.grid_search(df, trees, grid)
+    means = []
+    for depth in (1, 4):
+        areas = []
+        for k in (0, 1):
+            rest = df.where(F.col("fold") != k)
+            fitted = models.fit_component(rest.where("held IS NULL"), rest.where("held"), ["a", "b", "c"], boosted={"maxIter": 2, "maxDepth": depth}, forest={"numTrees": 2, "maxDepth": 2})
+            out = fitted.transform(df.where(F.col("fold") == k)).toPandas()
+            areas.append(area(out.label.to_numpy(), out.probability.to_numpy()))
+        means.append(np.mean(areas))
+    assert found.avgMetrics == pytest.approx(means, abs=1e-9)
+    best = models.fit_component(df.where("held IS NULL"), df.where("held"), ["a", "b", "c"], boosted={"maxIter": 2, "maxDepth": (1, 4)[int(np.argmax(means))]}, forest={"numTrees": 2, "maxDepth": 2})
+    got, want = ([r["probability"] for r in m.transform(df).orderBy("id").collect()] for m in (found.bestModel, best))
+    assert got == want

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols, HasLabelCol, HasOutputCol, HasSeed
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,28 +57,68 @@ def renamed(estimator, prefix: str):
     return estimator.setProbabilityCol(f"{prefix}_probability").setRawPredictionCol(f"{prefix}_raw").setPredictionCol(f"{prefix}_prediction")
 
 
-class Component:
-    """Boosted trees and a forest that vote, calibrated by a logistic curve on validation rows."""
+class Vote(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds `vote`, the weighted sum of the boosted trees' and the forest's probability, and `vote_vector`, which holds it alone."""
 
-    def __init__(self, prepared: PipelineModel, trees: list, calibration, vote=VOTE):
-        self.prepared, self.trees, self.calibration, self.vote = prepared, trees, calibration, vote
+    weights = Param(Params._dummy(), "weights", "weights of the boosted trees and of the forest", TypeConverters.toListFloat)
 
-    def votes(self, df: DataFrame) -> DataFrame:
-        out = self.prepared.transform(df)
-        for model in self.trees:
-            out = model.transform(out)
-        kept = [c for c in out.columns if not c.endswith(("_raw", "_prediction"))]
-        return out.select(*kept, (self.vote[0] * probability("boosted") + self.vote[1] * probability("forest")).alias("vote"))
+    def __init__(self, weights=VOTE):
+        super().__init__()
+        self._setDefault(weights=list(VOTE))
+        self._set(weights=list(weights))
 
-    def transform(self, df: DataFrame, name: str = "probability") -> DataFrame:
+    def _transform(self, df: DataFrame) -> DataFrame:
+        boosted, forest = self.getOrDefault(self.weights)
+        voted = df.withColumn("vote", boosted * probability("boosted") + forest * probability("forest"))
+        return voted.withColumn("vote_vector", array_to_vector(F.array("vote"))).drop(*(f"{x}_{y}" for x in ("boosted", "forest") for y in ("raw", "prediction")))
+
+
+class ComponentWriter(MLWriter):
+    def __init__(self, component: Component):
+        super().__init__()
+        self.component = component
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.component, path, self.sparkSession)
+        self.component.inner.write().save(f"{path}/stages")
+
+
+class ComponentReader(MLReader):
+    def load(self, path: str) -> Component:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        component = Component(PipelineModel.load(f"{path}/stages"))
+        component._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(component, metadata)
+        return component
+
+
+class Component(Model, HasOutputCol, MLWritable, MLReadable):
+    """Boosted trees and a forest that vote, calibrated by a logistic curve on validation rows.
+
+    One pipeline of scaler, trees, vote and calibration, which can be saved, loaded and be a stage of other pipelines.
+    """
+
+    def __init__(self, inner: PipelineModel | None = None):
+        super().__init__()
+        self.inner = inner
+        self._setDefault(outputCol="probability")
+
+    def _transform(self, df: DataFrame) -> DataFrame:
         """df with the calibrated probability."""
-        out = self.votes(df).withColumn("vote_vector", array_to_vector(F.array("vote")))
-        out = self.calibration.transform(out)
-        return out.select(*df.columns, probability("calibrated").alias(name))
+        return self.inner.transform(df).select(*df.columns, probability("calibrated").alias(self.getOutputCol()))
 
     def importances(self, spark, columns: list[str]) -> DataFrame:
-        rows = [(c, float(self.trees[0].featureImportances[i]), float(self.trees[1].featureImportances[i])) for i, c in enumerate(columns)]
-        return spark.createDataFrame(rows, "feature string, boosted double, forest double").withColumn("importance", self.vote[0] * F.col("boosted") + self.vote[1] * F.col("forest"))
+        boosted, forest, vote = self.inner.stages[2:5]
+        weights = vote.getOrDefault(vote.weights)
+        rows = [(c, float(boosted.featureImportances[i]), float(forest.featureImportances[i])) for i, c in enumerate(columns)]
+        return spark.createDataFrame(rows, "feature string, boosted double, forest double").withColumn("importance", weights[0] * F.col("boosted") + weights[1] * F.col("forest"))
+
+    def write(self) -> ComponentWriter:
+        return ComponentWriter(self)
+
+    @classmethod
+    def read(cls) -> ComponentReader:
+        return ComponentReader()
 
 
 def fit_component(train: DataFrame, validation: DataFrame, columns: list[str], label: str = "label", boosted=None, forest=None, vote=VOTE, seed: int = 42) -> Component:
@@ -86,10 +131,50 @@ def fit_component(train: DataFrame, validation: DataFrame, columns: list[str], l
         ]
     finally:
         rows.unpersist()
-    component = Component(prepared, trees, None, vote)
-    held = component.votes(validation).withColumn("vote_vector", array_to_vector(F.array("vote")))
-    component.calibration = LogisticRegression(labelCol=label, featuresCol="vote_vector", **named("calibrated")).fit(held)
-    return component
+    voted = [*prepared.stages, *trees, Vote(vote)]
+    calibration = LogisticRegression(labelCol=label, featuresCol="vote_vector", **named("calibrated"))
+    return Component(PipelineModel([*voted, calibration.fit(PipelineModel(voted).transform(validation))]))
+
+
+class VotedTrees(Estimator, HasInputCols, HasLabelCol, HasSeed, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """fit_component() as an estimator, for pipelines and grids: rows whose heldCol is true calibrate, all others train.
+
+    A null in heldCol means false. Settings that aren't given are those of fit_component().
+    """
+
+    heldCol = Param(Params._dummy(), "heldCol", "true for the rows that calibrate", TypeConverters.toString)
+    rounds = Param(Params._dummy(), "rounds", "boosting rounds", TypeConverters.toInt)
+    boostedDepth = Param(Params._dummy(), "boostedDepth", "depth of the boosted trees", TypeConverters.toInt)
+    trees = Param(Params._dummy(), "trees", "trees of the forest", TypeConverters.toInt)
+    forestDepth = Param(Params._dummy(), "forestDepth", "depth of the forest's trees", TypeConverters.toInt)
+    weights = Param(Params._dummy(), "weights", "weights of the boosted trees and of the forest", TypeConverters.toListFloat)
+
+    def __init__(self, **settings):
+        super().__init__()
+        self._setDefault(
+            labelCol="label", outputCol="probability", heldCol="held", seed=42, weights=list(VOTE),
+            rounds=BOOSTED["maxIter"], boostedDepth=BOOSTED["maxDepth"], trees=FOREST["numTrees"], forestDepth=FOREST["maxDepth"],
+        )
+        self._set(**settings)
+
+    def _fit(self, df: DataFrame) -> Component:
+        held = F.coalesce(F.col(self.getOrDefault(self.heldCol)), F.lit(False))
+        got = {k: self.getOrDefault(k) for k in ("rounds", "boostedDepth", "trees", "forestDepth", "weights")}
+        fitted = fit_component(
+            df.where(~held), df.where(held), self.getInputCols(), self.getLabelCol(),
+            {"maxIter": got["rounds"], "maxDepth": got["boostedDepth"]}, {"numTrees": got["trees"], "maxDepth": got["forestDepth"]}, got["weights"], self.getSeed(),
+        )
+        return fitted._set(outputCol=self.getOutputCol())
+
+
+def grid_search(df: DataFrame, estimator: Estimator, grid: list[dict], fold: str = "fold", metric: str = "areaUnderROC", at_once: int = 1) -> CrossValidatorModel:
+    """The estimator with the settings whose mean metric over folds is best, fitted on all of df. fold: column of whole numbers from 0.
+
+    avgMetrics has the means in the order of the grid; of equal ones the first is best.
+    """
+    folds = df.agg(F.max(fold)).first()[0] + 1
+    judge = BinaryClassificationEvaluator(labelCol=estimator.getLabelCol(), rawPredictionCol=estimator.getOutputCol(), metricName=metric)
+    return CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol=fold, parallelism=at_once).fit(df)
 
 
 def fit_logistic(train: DataFrame, columns: list[str], label: str = "label", c: float = 1.0, prefix: str = "logistic") -> PipelineModel:
