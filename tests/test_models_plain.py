@@ -1,12 +1,14 @@
 """Fitted models against plain fits of the same objective, and held-out accuracy of those with no closed rule."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from wardline.operators import models
+from wardline.functions import fixed, urls
+from wardline.operators import models, robustness
 from wardline.plans import data_queries, robustness_queries
 
 
@@ -122,3 +124,29 @@ def test_grid_search_is_a_plain_loop(spark):
     best = models.fit_component(df.where("held IS NULL"), df.where("held"), ["a", "b", "c"], boosted={"maxIter": 2, "maxDepth": (1, 4)[int(np.argmax(means))]}, forest={"numTrees": 2, "maxDepth": 2})
     got, want = ([r["probability"] for r in m.transform(df).orderBy("id").collect()] for m in (found.bestModel, best))
     assert got == want
+
+
+def test_retrained_models_are_plain_fits_with_and_without_changed_rows(spark):
+    """Both models and all counts, from features that Spark computes and fits and sums that numpy does."""
+    columns = list(fixed.URL_FEATURES)
+    train, test = (x.cache() for x in robustness_queries.addresses(spark, "/root/testdata/sf0.01"))
+    names = list(robustness.URL_CHANGES)
+    features = lambda df: urls.url_features(df).select(*(c for c in df.columns if c != "url"), *columns).toPandas()
+    own, copies = features(train), features(robustness.perturb_urls(train.where("label = 1"), names))
+    clean, moved = features(test.where("label = 1").select("page_id", "url")), features(robustness.perturb_urls(test.where("label = 1").select("page_id", "url"), names))
+    got = {(r["model"], r["perturbation"]): r for r in robustness_queries.retrained_comparison(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == 2 * moved.perturbation.nunique() and len(copies) > 50
+    for model, rows in (("original", own), ("retrained", pd.concat([own, copies.drop(columns="perturbation")]))):
+        x, y = rows[columns].to_numpy(float), rows.label.to_numpy(float)
+        mean, deviation = x.mean(0), x.std(0, ddof=1)
+        scale = np.where(deviation > 0, deviation, np.inf)
+        w = newton((x - mean) / scale, y, 1 / len(x))
+        score = lambda f: 100 / (1 + np.exp(-((f[columns].to_numpy(float) - mean) / scale @ w[:-1] + w[-1])))  # noqa: E731, B023
+        before = dict(zip(clean.page_id, score(clean), strict=True))
+        for name, part in moved.groupby("perturbation"):
+            after, old, row = score(part), np.array([before[i] for i in part.page_id]), got[model, name]
+            unsure = sum(np.min(np.abs(np.stack([old, after]) - (fixed.PHISHING_MIN - 0.5)), axis=0) < 0.2)
+            assert row["samples"] == len(part)
+            assert row["mean_change"] == pytest.approx(np.mean(after - old), abs=0.6)
+            caught, still = old >= fixed.PHISHING_MIN - 0.5, after >= fixed.PHISHING_MIN - 0.5
+            assert abs(row["clean_detected"] - caught.sum()) <= unsure and abs(row["evasions"] - (caught & ~still).sum()) <= unsure

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators.cleaning import union_all, with_places
-from wardline.operators.robustness import URL_CHANGES, perturb_urls
+from wardline.operators.robustness import URL_CHANGES, model_comparison, paired_outcomes, perturb_urls
 
 
 def replicate(df: DataFrame, n: int, name: str = "copy") -> DataFrame:
@@ -66,3 +68,17 @@ def one_perturbed_copy(df: DataFrame, key: str, names: list[str], label: str = "
     """Each positive row once, perturbations dealt in turn."""
     rows = round_robin(df.where(F.col(label) == 1), key, names, "perturbation")
     return rows.withColumn("source_id", F.col(key)).withColumn(key, F.concat_ws("__", F.col(key).cast("string"), "perturbation"))
+
+
+def retrained_outcomes(train: DataFrame, test: DataFrame, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], names: list[str], key: str = "sample_id", label: str = "label", url_col: str = "url") -> DataFrame:
+    """How a model fitted on train ("original") and one fitted on train and on changed copies of its positive rows ("retrained") stand changes of addresses.
+
+    One row per model and change, over the positive rows of test, none of which either model has seen. fit takes rows
+    with address and label and gives the function that scores rows: it adds risk_score and verdict.
+    """
+    rows = train.select(url_col, label)
+    copies = changed_copies(train, key, names, label, url_col).select(url_col, label)
+    positive = test.where(F.col(label) == 1).select(key, url_col)
+    moved = perturb_urls(positive, names, url_col)
+    scores = {"original": fit(rows), "retrained": fit(rows.unionByName(copies))}
+    return model_comparison({name: paired_outcomes(score(positive), score(moved), key) for name, score in scores.items()})

@@ -82,6 +82,30 @@ def model_comparison(spark, sf_dir):
     return robustness.model_comparison(outcomes)
 
 
+def fit_addresses(rows):
+    """A logistic model over the 32 features of an address, as a function that scores rows."""
+    columns = list(fixed.URL_FEATURES)
+    model = models.fit_logistic(cut(urls.url_features(rows).select("label", *columns)), columns, prefix="address")
+
+    def score(df):
+        out = model.transform(urls.url_features(df)).withColumn("risk_score", F.round(100 * models.probability("address")))
+        return out.select(*df.columns, "risk_score", scoring.verdict(F.col("risk_score")).alias("verdict"))
+
+    return score
+
+
+def addresses(spark, sf_dir):
+    """Training and test rows of addresses, halves by a hash; positive is what has a query or fragment."""
+    df = pages_of(spark, sf_dir).withColumn("label", F.coalesce(F.col("url").rlike("[?#]"), F.lit(False)).cast("int"))
+    half = F.pmod(F.xxhash64("page_id"), F.lit(2))
+    return df.where(half == 0), df.where(half == 1)
+
+
+def retrained_comparison(spark, sf_dir):
+    train, test = addresses(spark, sf_dir)
+    return augment.retrained_outcomes(train, test, fit_addresses, list(robustness.URL_CHANGES), "page_id")
+
+
 def page_change_validity(spark, sf_dir):
     moved = robustness.changed_page_features(page_elements(spread(table(spark, sf_dir, "pages"))), banks={})
     return moved.groupBy("perturbation").agg(F.count(F.lit(1)).alias("pages"), F.count_if("valid").alias("valid"), F.sum("length_change").alias("length_change"), F.sum("steps").alias("steps"))
@@ -300,6 +324,7 @@ second AS (SELECT *, least(points + 5 * sub_domain_count + 10 * has_redirect_par
 o AS (SELECT x.model, c.perturbation, x.points AS before, y.points AS after FROM changed c JOIN judged x ON x.page_id = c.page_id * 10 JOIN judged y ON y.page_id = c.page_id * 10 + c.k AND x.model = y.model),
 v AS{URL_OUTCOMES_SQL.split("v AS")[1].replace("SELECT perturbation, count", "SELECT model, perturbation, count").replace("GROUP BY perturbation", "GROUP BY model, perturbation")}"""),
     "page_change_validity": (page_change_validity, None),
+    "retrained_comparison": (retrained_comparison, None),
     "changed_training_rows": (changed_training_rows, f"WITH {CHANGED_URLS_SQL} SELECT page_id || '__' || perturbation AS page_id, page_id AS source_id, perturbation, url FROM changed WHERE page_id % 2 = 1"),
     "one_changed_row": (one_changed_row, f"WITH {CHANGED_URLS_SQL}, dealt AS (SELECT page_id AS id, (row_number() OVER (ORDER BY page_id) - 1) % 5 + 1 AS turn FROM pages WHERE page_id % 2 = 1) SELECT page_id || '__' || perturbation AS page_id, page_id AS source_id, perturbation, url FROM changed JOIN dealt ON id = page_id AND turn = k"),
     "structural_semantic_alignment": (suspicious_alignment, f"WITH {FEATURE_SQL} SELECT page_id, CAST(points + 40 > 50 AND page_id % 10 > 5 AS INTEGER) AS structural_semantic_alignment FROM pts"),
