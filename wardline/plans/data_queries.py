@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
-from wardline.operators import augment, cleaning, evaluation, models, splits, summaries
+from wardline.operators import augment, cleaning, evaluation, models, sketches, splits, summaries
 from wardline.plans.url_queries import table
 from wardline.sources import readers
+from wardline.sources.shared import saved_parts
 
 # Labelled rows: documents with a label; scores are made of n_chars.
 LABELLED = """l AS (SELECT d.doc_id, lang, source, n_chars, quality, toxic, (n_chars % 101) / 100.0::DOUBLE AS score, ((n_chars * 7) % 101) / 100.0::DOUBLE AS score2, n_chars % 101 AS points
@@ -300,6 +303,28 @@ def event_profile(spark, sf_dir):
     return summaries.profile(events(spark, sf_dir), ["value"], ["event_type"])
 
 
+DAYS = tuple(range(1, 8))
+
+
+def sketched_events(spark, sf_dir):
+    """Sketches of the events by day of the week and kind, as stored and read back."""
+    df = events(spark, sf_dir).select(F.dayofweek("ts").alias("day"), "event_type", "value", "user_id")
+    return saved_parts(sketches.sketched(df, ["day", "event_type"], ["value"], ["user_id", "event_type"]), "sketches")
+
+
+def sketched_moments(spark, sf_dir):
+    return sketches.moments(sketches.merged(sketched_events(spark, sf_dir), ["event_type"]), ["event_type"]).where("column_name = 'value'")
+
+
+def sketched_estimates(spark, sf_dir):
+    by_day = sketches.merged(sketched_events(spark, sf_dir), ["day"])
+    return sketches.estimates(sketches.merged(by_day)).unionByName(sketches.estimates(by_day, ["day"]), allowMissingColumns=True)
+
+
+def sketched_overlaps(spark, sf_dir):
+    return sketches.sketched_overlaps(sketched_events(spark, sf_dir), "day", list(DAYS))
+
+
 def value_shares(spark, sf_dir):
     return summaries.shares(events(spark, sf_dir), "value", 20.0, ["event_type"])
 
@@ -511,6 +536,12 @@ QUERIES = {
     "false_positives": (false_alarms, f"WITH {LABELLED} SELECT doc_id, score, score2, CASE WHEN score >= 0.5 AND score2 >= 0.5 THEN 'both' WHEN score >= 0.5 THEN 'old_only' ELSE 'new_only' END AS flagged_by FROM l WHERE toxic = 0 AND (score >= 0.5 OR score2 >= 0.5)"),
     "score_agreement": (agreement, f"WITH {LABELLED} SELECT count(*) AS n, round(corr(score, score2), 6) AS correlation, round(avg(CAST(score2 > score AS DOUBLE)), 6) AS new_higher, round(avg(score), 6) AS mean_old, round(avg(score2), 6) AS mean_new FROM l"),
     "set_alignment": (alignment, "SELECT (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS n_a, (SELECT count(*) FROM labels) AS n_b, (SELECT count(*) FROM labels WHERE doc_id % 2 = 0) AS n_both"),
+    "sketched_moments": (sketched_moments, """SELECT event_type, 'value' AS column_name, count(*) AS rows, count(*) FILTER (value IS NULL) AS nulls, count(value) AS n,
+        round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS least, max(value) AS largest FROM events GROUP BY event_type"""),
+    "sketched_estimates": (sketched_estimates, None),
+    # Set sketches are exact up to 16,384 values of a union, of which the events' days stay below.
+    "sketched_overlaps": (sketched_overlaps, f"""WITH m AS (SELECT 'user_id' AS column_name, dayofweek(ts) + 1 AS day, CAST(user_id AS VARCHAR) AS v FROM events UNION SELECT 'event_type', dayofweek(ts) + 1, event_type FROM events)
+        SELECT column_name, {', '.join(f'count(*) FILTER (a.day = {a} AND b.day = {b}) AS "{a}_{b}"' for a, b in combinations(DAYS, 2))} FROM m a JOIN m b USING (column_name, v) GROUP BY column_name"""),
     "event_profile": (event_profile, f"SELECT event_type, 'value' AS column_name, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS least, max(value) AS largest, {', '.join(f'round(quantile_cont(value, {p}), 6) AS p{round(p * 100)}' for p in summaries.QUANTILES)}, count(*) FILTER (value IS NULL) AS nulls, 0 AS nans, 0 AS infinities FROM events GROUP BY event_type"),
     "value_shares": (value_shares, "SELECT event_type, count(*) AS n, round(avg(CAST(value > 20 AS DOUBLE)), 6) AS above, round(avg(CAST(value = 0 AS DOUBLE)), 6) AS zero FROM events GROUP BY event_type"),
     "correlations": (correlated, f"WITH {LABELLED} " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(corr({c}, toxic), 6) AS correlation FROM l" for c in ("score", "score2", "n_chars", "quality"))),

@@ -23,3 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed and kept in the shared folder; its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def saved_parts(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table of its own in the shared folder, and read back from it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
