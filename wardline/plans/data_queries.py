@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators import augment, cleaning, evaluation, models, sketches, splits, summaries
 from wardline.plans.url_queries import table
-from wardline.sources import readers
+from wardline.sources import readers, records
 from wardline.sources.shared import saved_parts
 
 # Labelled rows: documents with a label; scores are made of n_chars.
@@ -325,6 +325,30 @@ def sketched_overlaps(spark, sf_dir):
     return sketches.sketched_overlaps(sketched_events(spark, sf_dir), "day", list(DAYS))
 
 
+RECORDS_SQL = """t AS (SELECT event_id, '{"id": ' || event_id || ', "results": [' || props || ', {"k": "' || event_type || '"}]' || CASE WHEN event_id % 5 = 0 THEN '' ELSE '}' END AS text FROM events)"""
+
+
+def event_records(spark, sf_dir):
+    """Events as JSON records with a nested list of two kinds of entries; every fifth one is broken."""
+    close = F.when(F.col("event_id") % 5 == 0, "").otherwise("}")
+    text = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "results": ['), "props", F.lit(', {"k": "'), "event_type", F.lit('"}]'), close)
+    return records.parsed_records(events(spark, sf_dir).select("event_id", text.alias("text")), "text")
+
+
+def record_fields(spark, sf_dir):
+    return records.record_fields(event_records(spark, sf_dir)[0])
+
+
+def record_entries(spark, sf_dir):
+    entries = records.record_entries(event_records(spark, sf_dir)[0], "$.results").drop("record")
+    out = records.record_columns(entries, {"k": ("$.k", "int")}, "entry")
+    return out.select("event_id", F.col("place").cast("int").alias("place"), "k", F.array_join("unfit", ",").alias("unfit"))
+
+
+def rejected_records(spark, sf_dir):
+    return event_records(spark, sf_dir)[1].select("event_id", "text")
+
+
 def value_shares(spark, sf_dir):
     return summaries.shares(events(spark, sf_dir), "value", 20.0, ["event_type"])
 
@@ -536,6 +560,11 @@ QUERIES = {
     "false_positives": (false_alarms, f"WITH {LABELLED} SELECT doc_id, score, score2, CASE WHEN score >= 0.5 AND score2 >= 0.5 THEN 'both' WHEN score >= 0.5 THEN 'old_only' ELSE 'new_only' END AS flagged_by FROM l WHERE toxic = 0 AND (score >= 0.5 OR score2 >= 0.5)"),
     "score_agreement": (agreement, f"WITH {LABELLED} SELECT count(*) AS n, round(corr(score, score2), 6) AS correlation, round(avg(CAST(score2 > score AS DOUBLE)), 6) AS new_higher, round(avg(score), 6) AS mean_old, round(avg(score2), 6) AS mean_new FROM l"),
     "set_alignment": (alignment, "SELECT (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS n_a, (SELECT count(*) FROM labels) AS n_b, (SELECT count(*) FROM labels WHERE doc_id % 2 = 0) AS n_both"),
+    "record_fields": (record_fields, f"""WITH {RECORDS_SQL}, f AS (SELECT regexp_replace(j.fullkey, '\\[[0-9]+\\]', '[]', 'g') AS path, j.type AS type FROM (SELECT text FROM t WHERE json_valid(text)) v, LATERAL (SELECT * FROM json_tree(v.text)) j)
+        SELECT path, CASE WHEN type = 'VARCHAR' THEN 'STRING' WHEN type LIKE '%BIGINT' THEN 'BIGINT' ELSE type END AS kind, count(*) AS n FROM f GROUP BY 1, 2"""),
+    "record_entries": (record_entries, f"""WITH {RECORDS_SQL}, e AS (SELECT event_id, p AS place, json_extract(text, '$.results[' || p || '].k') AS v FROM t, range(2) r(p) WHERE json_valid(text))
+        SELECT event_id, CAST(place AS INTEGER) AS place, TRY_CAST(v AS INTEGER) AS k, CASE WHEN TRY_CAST(v AS INTEGER) IS NULL THEN 'k' ELSE '' END AS unfit FROM e"""),
+    "rejected_records": (rejected_records, f"WITH {RECORDS_SQL} SELECT event_id, text FROM t WHERE NOT json_valid(text)"),
     "sketched_moments": (sketched_moments, """SELECT event_type, 'value' AS column_name, count(*) AS rows, count(*) FILTER (value IS NULL) AS nulls, count(value) AS n,
         round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS least, max(value) AS largest FROM events GROUP BY event_type"""),
     "sketched_estimates": (sketched_estimates, None),
