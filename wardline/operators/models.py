@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -13,12 +18,12 @@ from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Settings of the trees.
 BOOSTED = {"maxIter": 300, "stepSize": 0.08, "maxDepth": 5, "minInstancesPerNode": 3, "subsamplingRate": 0.85, "featureSubsetStrategy": "sqrt"}
 FOREST = {"numTrees": 200, "maxDepth": 14, "featureSubsetStrategy": "sqrt"}
 VOTE = (0.6, 0.4)
-MOST_CONCEPTS = 10_000  # vectors that are sent to every task
 
 
 def require(df: DataFrame, columns: list[str], label: str = "label") -> None:
@@ -217,12 +222,60 @@ def predict_embeddings(model: PipelineModel, df: DataFrame, vector: str = "embed
     return model.transform(df.withColumn("features", array_to_vector(F.col(vector)))).select(*df.columns, F.col("embedding_prediction").cast("int").alias("predicted"))
 
 
-def concept_findings(df: DataFrame, concepts: DataFrame, key: str, vector: str = "embedding", threshold: float = 0.4) -> DataFrame:
-    """key and the sorted names of concepts whose vector has a cosine above threshold. concepts: name, concept; MOST_CONCEPTS rows at most."""
-    if concepts.limit(MOST_CONCEPTS + 1).count() > MOST_CONCEPTS:
-        raise ValueError(f"more than {MOST_CONCEPTS} concepts; ask in parts")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    a, b = F.col(vector), F.col("concept")
-    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    named_ = df.select(key, vector).crossJoin(F.broadcast(concepts)).where(F.try_divide(dot(a, b), length) > threshold)
-    return named_.groupBy(key).agg(F.sort_array(F.collect_set("name")).alias("concepts"))
+def whole_vectors(df: DataFrame, vector: str) -> DataFrame:
+    """Rows whose vector holds finite numbers only, and any."""
+    bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+    return df.where((F.size(vector) > 0) & ~F.exists(vector, bad))
+
+
+def packed(label: str, kind: str, rows: int):
+    """For mapInArrow: (label, vector) as blocks of one dimension: the labels, and unit vectors as bytes; zero vectors go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths):
+                same = batch.filter(pa.array(lengths == dim))
+                for at in range(0, same.num_rows, rows):
+                    part = same.slice(at, rows)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+                    # Scaled first, so that squares of very small or large numbers stay numbers.
+                    size = np.abs(x).max(axis=1, keepdims=True)
+                    kept = size[:, 0] > 0
+                    x = x[kept] / size[kept]
+                    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                    labels = part.column(0).filter(pa.array(kept))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(labels)], pa.int32()), labels), pa.array([x.tobytes()])], ["dim", label, "data"])
+
+    return run, f"dim int, {label} array<{kind}>, data binary"
+
+
+def concept_findings(df: DataFrame, concepts: DataFrame, key: str, vector: str = "embedding", threshold: float = 0.4, block: int = 1024) -> DataFrame:
+    """key and the sorted names of concepts (name, concept) whose vector has a cosine above threshold.
+
+    Any number of concepts: blocks of vectors meet blocks of concepts by an ordinary join on the concepts' block, and
+    each pair of blocks is one product of matrices in a task, so a task holds one of either. Vectors that are null,
+    empty, zero or hold nulls or no finite numbers have no concepts, nor do those of another dimension than a concept's.
+    """
+    named_ = whole_vectors(concepts.where("name IS NOT NULL").select("name", "concept"), "concept").distinct()
+    blocks = max(1, -(-named_.count() // block))
+    kind = dict(df.dtypes)[key]
+    pack, schema = packed("names", "string", 2 * block)
+    dealt = named_.repartition(blocks, F.xxhash64("name", "concept")).select("name", "concept").mapInArrow(pack, schema)
+    groups = dealt.withColumn("block", F.pmod(F.xxhash64("data"), F.lit(blocks))).withColumnRenamed("data", "concepts")
+    pack, schema = packed("keys", kind, 512)
+    vectors = whole_vectors(df.select(key, vector), vector).mapInArrow(pack, schema)
+    met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(groups, ["dim", "block"])
+    out = pa.schema([("found", to_arrow_type(df.schema[key].dataType)), ("name", pa.string())])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dim = batch.column(0)[k].as_py()
+                keys, names = batch.column(1)[k].values, batch.column(3)[k].values
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer()).reshape(-1, dim) for c in (2, 4))
+                i, j = np.nonzero(x @ y.T > threshold)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)).cast(out.field(0).type), names.take(pa.array(j))], schema=out)
+
+    pairs = met.select("dim", "keys", "data", "names", "concepts").mapInArrow(meet, f"found {kind}, name string")
+    return pairs.groupBy(F.col("found").alias(key)).agg(F.sort_array(F.collect_set("name")).alias("concepts"))
