@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.operators import cleaning, evaluation, models, robustness, scoring, splits, summaries
-from wardline.plans import robustness_queries
+from wardline.plans import robustness_queries, url_queries
 from wardline.sources import readers
 from wardline.sources.elements import page_elements
 from wardline.streaming import streams
@@ -158,3 +158,17 @@ def test_debounced_stream(spark, tmp_path):
     out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     got = sorted((r["user"], r["events"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("u", 1), ("u", 2), ("v", 1)]  # the last bursts wait for the watermark
+
+
+def test_expected_rows_count_once_where_keys_repeat(spark):
+    expected = spark.createDataFrame([("u", "a", "SAFE"), ("u", "b", "SAFE"), ("v", "a", "SAFE"), ("w", "b", "SAFE"), (None, "b", "SAFE")], "url string, category string, expected string")
+    scans = spark.createDataFrame([("u", "SAFE"), ("u", "SAFE"), ("v", "SAFE"), ("v", "PHISHING"), (None, "SAFE")], "url string, verdict string")
+    got = {r["category"]: r[1:] for r in scoring.expected_matrix(scans, expected).collect()}
+    assert got == {"a": (2, 1, 0), "b": (3, 1, 2)}
+
+
+def test_pages_that_share_an_address_are_rows_of_their_own(spark, tmp_path):
+    rows = [(i, f"http://host{i % 3}.example/a", "<p>x</p>") for i in range(30)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["category"]: (r["n"], r["missing"]) for r in url_queries.expected_matrix(spark, str(tmp_path)).collect()}
+    assert got == {f"c{k}": (sum(i % 4 == k for i in range(30)), sum(i % 4 == k and i % 5 == 0 for i in range(30))) for k in range(4)}
