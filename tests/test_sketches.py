@@ -71,3 +71,15 @@ def test_small_tables_are_counted_exactly(spark, sf_dir):
     users = {d: set(g.user_id) for d, g in days.items()}
     shared = data_queries.sketched_overlaps(spark, sf_dir).where("column_name = 'user_id'").first()
     assert all(shared[f"{a}_{b}"] == len(users.get(a, set()) & users.get(b, set())) for a, b in combinations(data_queries.DAYS, 2))
+
+
+def test_overlaps_of_more_values_than_a_sketch_holds(spark, rows):
+    """With the rows beside them, overlaps are exact past the sketches' bound; nulls and small columns too."""
+    df = spark.createDataFrame(rows, ROWS)
+    parts = sketches.sketched(df, ["part", "sub"], [], ["who", "sub"])
+    names = [0, 1, 2, 3, 9, 77]
+    got = {r["column_name"]: r for r in sketches.sketched_overlaps(parts, "part", names, df).collect()}
+    for c, k in (("who", 3), ("sub", 1)):
+        held = {p: {r[k] for r in rows if r[0] == p} - {None} for p in names}
+        assert all(got[c][f"{a}_{b}"] == len(held[a] & held[b]) for a, b in combinations(names, 2))
+    assert set(got) == {"who", "sub"}

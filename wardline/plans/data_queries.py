@@ -306,10 +306,13 @@ def event_profile(spark, sf_dir):
 DAYS = tuple(range(1, 8))
 
 
+def events_by_day(spark, sf_dir):
+    return events(spark, sf_dir).select(F.dayofweek("ts").alias("day"), "event_type", "value", "user_id")
+
+
 def sketched_events(spark, sf_dir):
     """Sketches of the events by day of the week and kind, as stored and read back."""
-    df = events(spark, sf_dir).select(F.dayofweek("ts").alias("day"), "event_type", "value", "user_id")
-    return saved_parts(sketches.sketched(df, ["day", "event_type"], ["value"], ["user_id", "event_type"]), "sketches")
+    return saved_parts(sketches.sketched(events_by_day(spark, sf_dir), ["day", "event_type"], ["value"], ["user_id", "event_type"]), "sketches")
 
 
 def sketched_moments(spark, sf_dir):
@@ -322,7 +325,7 @@ def sketched_estimates(spark, sf_dir):
 
 
 def sketched_overlaps(spark, sf_dir):
-    return sketches.sketched_overlaps(sketched_events(spark, sf_dir), "day", list(DAYS))
+    return sketches.sketched_overlaps(sketched_events(spark, sf_dir), "day", list(DAYS), events_by_day(spark, sf_dir))
 
 
 RECORDS_SQL = """t AS (SELECT event_id, '{"id": ' || event_id || ', "results": [' || props || ', {"k": "' || event_type || '"}]' || CASE WHEN event_id % 5 = 0 THEN '' ELSE '}' END AS text FROM events)"""
