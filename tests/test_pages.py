@@ -1,3 +1,4 @@
+import html
 import random
 import re
 import time
@@ -133,3 +134,11 @@ def test_phrases_by_automaton_and_by_patterns():
 def test_phrases_of_odd_texts(spark):
     rows = spark.createDataFrame([(None,), ("",), ("pay now now",)], "text string").select(phrase_counts(F.col("text"), {"x": ("now", "pay now"), "y": ()}).alias("c"), phrase_count(F.col("text"), ("pay",)).alias("n"))
     assert [(r["c"] and tuple(r["c"]), r["n"]) for r in rows.collect()] == [(None, 0), ((0, 0), 0), ((3, 0), 1)]
+
+
+def test_titles_decode_every_entity(spark):
+    """As an HTML parser reads them: quotes too, and an entity whose semicolon was cut off."""
+    raw = ["a &quot;b", "ver&amp", "x &lt;y&gt; &#39;z&#39;", "&amp;&amp; &eacute;", "&amp;quot;"]
+    df = spark.createDataFrame([(i, "http://a.example/", f"<html><title>{t}</title></html>") for i, t in enumerate(raw)], "k int, url string, html string")
+    got = [r["page_title"] for r in pages.page_features(page_elements(df)).orderBy("k").collect()]
+    assert got == [html.unescape(t) for t in raw]
