@@ -192,6 +192,16 @@ def test_scores_are_bm25_over_the_whole_corpus(spark):
         assert np.allclose(found.get(name, []), want, rtol=1e-3)
 
 
+def test_any_shared_term_finds_a_partner(spark):
+    """Two texts that share a single run of four words are scored against each other, whichever run it is."""
+    texts = [f"{' '.join(f'a{i}x{k}' for k in range(9))} one{i} two{i} three{i} four{i} {' '.join(f'{s}{i}y{k}' for k in range(9))}" for i in range(60) for s in "bc"]
+    texts = [t if i % 2 else t.replace("a", "z", 9) for i, t in enumerate(texts)]
+    held = saved(packing.indexed_containers(docs_of(spark, texts), 1, 300, None, 3, 120.0, packing.TERM_WORDS, packing.SHARE), "test-index")
+    names = {packing.named(r["part"], r["seq"]) + i: d for r in held.where("kind = 0").collect() for i, d in enumerate(r["doc_ids"])}
+    got = packing.nearest(packing.scored_pairs(held.where("kind = 1"), len(texts))).collect()
+    assert {(names[r["id"]], names[r["near"]]) for r in got} == {(i, i ^ 1) for i in range(len(texts))}
+
+
 def test_long_lists_leave_no_document_out(spark):
     texts = [f"one line that all of them have {i} {i * 7} {i * 11}" for i in range(100)]
     held = saved(packing.indexed_containers(docs_of(spark, texts), 1, 300, None, 1, 30.0, 2, 1.0), "test-index")
