@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from wardline.operators import summaries
+from wardline.plans import robustness_queries
 from wardline.streaming import streams
 
 START = datetime(2024, 3, 1)
@@ -74,3 +75,18 @@ def test_odd_rows_and_empty_streams(spark, tmp_path):
     (tmp_path / "none").mkdir()
     stream = streams.ttl_stream(arrive(spark, str(tmp_path / "none" / "in"), [streams.closing_row(none, "at", "1 minute")]), ["user", "kind"], "at", "id", 60, "1 minute")
     assert worked_off(spark, stream, tmp_path / "none")[0].where(F.lit(True)).count() == 0
+
+
+def test_reuse_of_keys_that_share_a_state(spark, tmp_path):
+    """All keys in one share and each in its own give the same answer, over several batches."""
+    rng = random.Random(9)
+    rows = [(i, f"u{rng.randrange(40)}", rng.choice("ab"), 1_700_000_000 + rng.randrange(7_000)) for i in range(1_500)]
+    table = spark.createDataFrame(rows, "id int, user string, kind string, s long").select("id", "user", "kind", F.timestamp_seconds("s").alias("at"))
+    want = {r["id"]: r["fresh"] for r in summaries.ttl_reuse(table, ["user", "kind"], "at", "id", 300).collect()}
+    for shares in (1, 64):
+        root = str(tmp_path / f"in{shares}")
+        table.repartition(4, F.xxhash64("id")).write.parquet(root)
+        streams.closing_row(table, "at", "3 hours").write.mode("append").parquet(root)
+        stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(root)
+        got = robustness_queries.worked_off(spark, streams.ttl_stream(stream, ["user", "kind"], "at", "id", 300, "3 hours", shares))
+        assert {r["id"]: r["fresh"] for r in got.collect()} == want

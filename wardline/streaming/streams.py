@@ -13,6 +13,7 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from wardline.functions.urls import rule_url_score, url_features
 
+SHARES = 1024  # groups of keys that share a state
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -65,60 +66,70 @@ def quota_stream(stream: DataFrame, key: str, limit: int, order: str) -> DataFra
 
 
 class Reuse(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed them and judges them in order of time, ties by tie."""
+    """Holds the rows of a share of the keys until the watermark has passed them and judges each key's in order of time, ties by tie.
+
+    Keys share their state's calls: a call takes rows of many keys, and each key's last fresh time is an entry of a map.
+    """
 
     def __init__(self, tie_type: str, ttl: int):
         self.tie_type, self.ttl = tie_type, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", f"at long, tie {self.tie_type}")
-        self.last = handle.getValueState("last", "at long")
+        self.held = handle.getListState("held", f"of string, at long, tie {self.tie_type}")
+        self.last = handle.getListState("last", "of string, at long")
 
     def wake(self, micros: int) -> None:
         self.handle.registerTimer(micros // 1000 + 1)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        least = None
         for frame in rows:
             times = frame["at"].tolist()
-            self.held.appendList(list(zip(times, frame["tie"].tolist(), strict=True)))
-            self.wake(min(times))
+            self.held.appendList(list(zip(frame["of"].tolist(), times, frame["tie"].tolist(), strict=True)))
+            least = min(times) if least is None else min(least, min(times))
+        if least is not None:
+            self.wake(least)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         due, later = [], []
-        for at, tie in self.held.get():
-            (due if at <= passed else later).append((at, tie))
-        last = self.last.get()[0] if self.last.exists() else None
-        if not due:
-            # The timer of rows judged already, or of a fresh row now older than ttl.
-            if last is not None and last + self.ttl <= passed:
-                self.last.clear()
-            return
+        for row in self.held.get():
+            (due if row[1] <= passed else later).append(tuple(row))
+        before = [tuple(x) for x in self.last.get()]
+        last = {of: at for of, at in before if at + self.ttl > passed or due}
         due.sort()
         fresh = []
-        for at, _ in due:
-            hit = last is not None and at - last < self.ttl
+        for of, at, _ in due:
+            hit = of in last and at - last[of] < self.ttl
             fresh.append(not hit)
-            last = last if hit else at
-        self.last.update((last,))
-        self.wake(last + self.ttl)
+            if not hit:
+                last[of] = at
+        # A fresh row older than ttl hides none that is still to come.
+        last = {of: at for of, at in last.items() if at + self.ttl > passed}
+        if due or len(last) < len(before):
+            self.last.put(list(last.items())) if last else self.last.clear()
+        if due:
+            self.held.put(later) if later else self.held.clear()
+        if last:
+            self.wake(min(last.values()) + self.ttl)
         if later:
-            self.held.put(later)
-            self.wake(min(later)[0])
-        else:
-            self.held.clear()
-        yield pd.DataFrame({"of": [key[0]] * len(due), "at": [at for at, _ in due], "tie": [tie for _, tie in due], "fresh": fresh})
+            self.wake(min(x[1] for x in later))
+        for i in range(0, len(due), 10_000):
+            part = due[i : i + 10_000]
+            yield pd.DataFrame({"of": [x[0] for x in part], "at": [x[1] for x in part], "tie": [x[2] for x in part], "fresh": fresh[i : i + 10_000]})
 
 
-def ttl_stream(stream: DataFrame, key: list[str], time: str, tie: str, ttl_seconds: float = 300.0, late: str = "10 minutes") -> DataFrame:
+def ttl_stream(stream: DataFrame, key: list[str], time: str, tie: str, ttl_seconds: float = 300.0, late: str = "10 minutes", shares: int = SHARES) -> DataFrame:
     """Rows with `fresh`: false within ttl of the key's last fresh row, which hits don't extend.
 
     In whatever order rows come, the answer is that of ttl_reuse() on the whole table: a row is held in its
     key's state until the watermark (`late` behind the newest time seen) has passed it, then judged in order
     of time. Rows later than that are dropped, as by every watermark, and rows without a time or tie too.
-    State is the rows of the last `late`, and one time per key, which goes once the watermark is ttl past it.
+    State is the rows of the last `late`, and one time per key, which goes once the watermark is ttl past it;
+    it lies in `shares` groups of keys by their hash, each judged in one task (more, where a lateness has
+    more rows than those tasks hold; a running stream's number is fixed by its checkpoint).
     What the watermark has not passed when a stream ends stays held; closing_row() lets it go. Sets the
     session's state store to RocksDB, which timers and lists ask for.
     """
@@ -129,9 +140,10 @@ def ttl_stream(stream: DataFrame, key: list[str], time: str, tie: str, ttl_secon
     kept = marked.where(F.when(F.col(time).isNotNull(), F.col(tie).isNotNull()))
     # Keys travel as one string: workers would see a null in a column of integers as a float.
     exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-    plain = kept.select(F.to_json(F.struct(*key), exact).alias("of"), F.col(time).alias("time"), F.unix_micros(time).alias("at"), F.col(tie).alias("tie"))
+    of = F.to_json(F.struct(*key), exact)
+    plain = kept.select(of.alias("of"), F.pmod(F.xxhash64(of), F.lit(shares)).alias("share"), F.col(time).alias("time"), F.unix_micros(time).alias("at"), F.col(tie).alias("tie"))
     out = f"of string, at long, tie {kinds[tie]}, fresh boolean"
-    judged = plain.groupBy("of").transformWithStateInPandas(Reuse(kinds[tie], int(ttl_seconds * 1e6)), out, "append", "eventTime")
+    judged = plain.groupBy("share").transformWithStateInPandas(Reuse(kinds[tie], int(ttl_seconds * 1e6)), out, "append", "eventTime")
     of = F.from_json("of", ", ".join(f"`{k}` {kinds[k]}" for k in key), exact)
     return judged.select(*(of[k].alias(k) for k in key), F.timestamp_micros("at").alias(time), F.col("tie").alias(tie), "fresh")
 
