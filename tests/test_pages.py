@@ -3,13 +3,15 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions import fixed
 from wardline.functions.phrases import Counter, phrase_count, phrase_counts
 from wardline.operators import pages, robustness, scoring
-from wardline.sources.elements import element_arrays, page_elements, read_page
+from wardline.sources import readers
+from wardline.sources.elements import element_arrays, page_elements, page_slices, read_page
 
 LOGIN = """<html><head><title>Bank</title></head><body><h1>Login</h1><p>Please verify your account now.</p>
 <form action="https://evil.test/x"><input type="text" name="username"><input type="password" name="p"><input type="submit" value="Go"></form></body></html>"""
@@ -142,3 +144,18 @@ def test_titles_decode_every_entity(spark):
     df = spark.createDataFrame([(i, "http://a.example/", f"<html><title>{t}</title></html>") for i, t in enumerate(raw)], "k int, url string, html string")
     got = [r["page_title"] for r in pages.page_features(page_elements(df)).orderBy("k").collect()]
     assert got == [html.unescape(t) for t in raw]
+
+
+def test_pages_are_dealt_to_more_tasks_not_longer_ones(spark, tmp_path):
+    spark.range(3_000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    out = readers.spread(spark.read.parquet(str(tmp_path / "t")), 100)
+    assert out.rdd.getNumPartitions() == 30 and out.distinct().count() == 3_000
+    assert readers.spread(spark.read.parquet(str(tmp_path / "t"))).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_pages_are_read_in_bounded_slices(spark):
+    sizes = [0, 10, 700, None, 5_000, 20, 20, 20, 20, 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array([None if n is None else "x" * n for n in sizes])], ["k", "html"])
+    parts = list(page_slices(batch, 4, 1_000))
+    assert [k for p in parts for k in p["k"].to_pylist()] == list(range(10))
+    assert [p.num_rows for p in parts] == [4, 1, 4, 1]
