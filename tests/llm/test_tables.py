@@ -202,6 +202,18 @@ def test_any_shared_term_finds_a_partner(spark):
     assert {(names[r["id"]], names[r["near"]]) for r in got} == {(i, i ^ 1) for i in range(len(texts))}
 
 
+def test_no_table_holds_the_index(spark, monkeypatch):
+    """Postings go from their documents straight to their shards, named as the containers of the other pass name them."""
+    kept = []
+    monkeypatch.setattr(packing, "saved", lambda df, name: kept.append(saved(df, name)) or kept[-1])
+    docs = docs_of(spark, [f"these four words stand in each text {i}" for i in range(40)]).repartition(3)
+    check_packed(packing.pack_documents(docs, most_ids=100).toPandas(), 40)
+    boxes = [df for df in kept if "kind" in df.columns]
+    assert len(boxes) == 1 and boxes[0].where("kind = 1").count() == 0
+    posts = packing.indexed_containers(docs, 1, 100, None, 1, 40.0, 4, 1.0, kinds=(1,))
+    assert {(r["part"], r["seq"]) for r in posts.collect()} == {(r["part"], r["seq"]) for r in boxes[0].collect()}
+
+
 def test_long_lists_leave_no_document_out(spark):
     texts = [f"one line that all of them have {i} {i * 7} {i * 11}" for i in range(100)]
     held = saved(packing.indexed_containers(docs_of(spark, texts), 1, 300, None, 1, 30.0, 2, 1.0), "test-index")
