@@ -209,3 +209,11 @@ def test_changed_features_are_those_of_changed_pages(spark, sf_dir):
     assert key(short) == key(whole)
     assert set(robustness.TOUCHED) == set(robustness.PAGE_CHANGES)
     elements.unpersist()
+
+
+def test_large_pages_take_every_change(spark):
+    made = [(1, "http://a.example.org/", "<body>" + "login password " * 40_000 + "</body>"), (2, "http://b.example.org/", "<body><p>password</p></body>")]
+    elements = page_elements(spark.createDataFrame(made, "page_id long, url string, html string"))
+    wanted = {(i, n) for i in (1, 2) for n in (*robustness.PAGE_CHANGES, robustness.CLEAN)}
+    for out in (robustness.perturb_pages(elements, clean=True), robustness.changed_page_features(elements, clean=True)):
+        assert {(r["page_id"], r["perturbation"]) for r in out.select("page_id", "perturbation").collect()} == wanted

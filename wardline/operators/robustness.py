@@ -199,9 +199,6 @@ PAGE_CHANGES: dict[str, Callable[[Column], Column]] = {
     "page_hidden_iframe": with_element(new_element("iframe", {"src": "https://en.wikipedia.org", "style": "width:0;height:0;border:0"})),
     "page_long_hidden_start": with_element(new_element("#text", {}, " ".join([HIDDEN_START] * 500), hidden=True, parent="div"), first=True),
 }
-# Largest pages, in elements' characters, that a change applies to.
-LARGEST = {"page_bulk_hidden_text": 300_000, "page_long_hidden_start": 200_000}
-LARGEST_PAGE = 500_000
 
 
 def perturb_urls(df: DataFrame, names=tuple(URL_CHANGES), url_col: str = "url") -> DataFrame:
@@ -214,7 +211,7 @@ CLEAN = "clean"
 
 
 def perturb_pages(elements: DataFrame, names=tuple(PAGE_CHANGES), clean: bool = False) -> DataFrame:
-    """Each page once per change that applies, and with `clean` once as it is under that name. The elements are edited in the row; nothing is rendered or kept.
+    """Each page, however large, once per change, and with `clean` once as it is under that name. The elements are edited in the row; nothing is rendered or kept.
 
     steps, url_changed and length_change tell how far the page moved, valid whether it kept a body and a
     tenth of its length. Lengths are those of all texts.
@@ -222,8 +219,7 @@ def perturb_pages(elements: DataFrame, names=tuple(PAGE_CHANGES), clean: bool =
     length = lambda es: F.aggregate(es, F.lit(0).cast("long"), lambda n, e: n + F.coalesce(F.length(e["text"]), F.lit(0)))
     body = lambda es: F.exists(es, lambda e: e["tag"] == "body")
     named = elements.withColumn("_size", length(F.col("elements"))).withColumn("_body", body(F.col("elements"))).withColumn("perturbation", F.explode(F.array(*map(F.lit, (*names, CLEAN) if clean else names))))
-    limit = F.coalesce(F.when(F.col("perturbation") == CLEAN, F.col("_size")), *(F.when(F.col("perturbation") == k, F.lit(v)) for k, v in LARGEST.items()), F.lit(LARGEST_PAGE))
-    out = named.where(F.col("_size") <= limit).withColumn("elements", changed_elements(names))
+    out = named.withColumn("elements", changed_elements(names))
     after = length(F.col("elements"))
     return out.withColumns({
         "steps": F.lit(1), "url_changed": F.lit(False), "length_change": after - F.col("_size"),
@@ -275,12 +271,11 @@ def changed_page_features(elements: DataFrame, names=tuple(PAGE_CHANGES), clean:
         of = lambda c: F.col(f"_{n}_{c}" if n != CLEAN and c in moved[n] else f"_clean_{c}")
         counts = F.coalesce(F.col(f"_{n}_count"), F.col("_clean_count")) if n in texts else F.col("_clean_count")
         features = {c: of(c) for c in found if c not in ("text", "size")} | {"text_length": F.length(of("text"))} | {f"{b}_indicators": F.coalesce(counts[b], F.lit(0)) for b in banks}
-        limit = F.col("_clean_size") if n == CLEAN else F.lit(LARGEST.get(n, LARGEST_PAGE)).cast("long")
         told = {"perturbation": F.lit(n), "steps": F.lit(1), "url_changed": F.lit(False), "length_change": of("size") - F.col("_clean_size"), "valid": of("size") >= 0.1 * F.col("_clean_size")}  # no change takes the body away
-        return F.struct(*(v.alias(c) for c, v in (told | features | {"_fits": F.col("_clean_size") <= limit}).items()))
+        return F.struct(*(v.alias(c) for c, v in (told | features).items()))
 
     cases = F.array(*(case(n) for n in (*names, *([CLEAN] if clean else []))))
-    return df.select(*kept, F.explode(cases).alias("_c")).select(*kept, "_c.*").where("_fits").drop("_fits")
+    return df.select(*kept, F.explode(cases).alias("_c")).select(*kept, "_c.*")
 
 
 def paired_outcomes(clean: DataFrame, changed: DataFrame, key: str, phishing_min: int = fixed.PHISHING_MIN) -> DataFrame:

@@ -329,7 +329,7 @@ v AS{URL_OUTCOMES_SQL.split("v AS")[1].replace("SELECT perturbation, count", "SE
     "one_changed_row": (one_changed_row, f"WITH {CHANGED_URLS_SQL}, dealt AS (SELECT page_id AS id, (row_number() OVER (ORDER BY page_id) - 1) % 5 + 1 AS turn FROM pages WHERE page_id % 2 = 1) SELECT page_id || '__' || perturbation AS page_id, page_id AS source_id, perturbation, url FROM changed JOIN dealt ON id = page_id AND turn = k"),
     "structural_semantic_alignment": (suspicious_alignment, f"WITH {FEATURE_SQL} SELECT page_id, CAST(points + 40 > 50 AND page_id % 10 > 5 AS INTEGER) AS structural_semantic_alignment FROM pts"),
     "hybrid_model": (hybrid_model, None),
-    "feature_blindness": (feature_blindness, " UNION ALL ".join(f"SELECT '{n}' AS perturbation, count(*) AS rows, 0 AS values_changed FROM pages" for n in robustness.PAGE_CHANGES)),  # pages of over 200,000 characters of text are left out by some changes
+    "feature_blindness": (feature_blindness, " UNION ALL ".join(f"SELECT '{n}' AS perturbation, count(*) AS rows, 0 AS values_changed FROM pages" for n in robustness.PAGE_CHANGES)),
     "worst_cases": (worst_cases, None),
     "page_worst_cases": (page_worst_cases, None),
     "search_records": (search_records, f"WITH {FEATURE_SQL}, o AS (SELECT page_id, round(points / 100.0::DOUBLE, 4) AS original_probability, round(points / 100.0::DOUBLE, 4) * 0.5::DOUBLE AS final_probability, CAST(page_id % 4 AS INTEGER) AS steps FROM pts) SELECT *, final_probability < 0.2 AS success, round(original_probability - final_probability, 6) AS reduction, coalesce(round((original_probability - final_probability) / nullif(original_probability, 0), 6), 0) AS relative_reduction, round(final_probability + 0.005::DOUBLE * steps, 6) AS objective FROM o"),
