@@ -1,5 +1,6 @@
 """Sharding, mixing, tokens, packing, language ID and joins: edge cases and brute force."""
 
+import collections
 import random
 import zlib
 
@@ -214,6 +215,37 @@ def test_no_table_holds_the_index(spark, monkeypatch):
     assert {(r["part"], r["seq"]) for r in posts.collect()} == {(r["part"], r["seq"]) for r in boxes[0].collect()}
 
 
+@pytest.mark.parametrize("cheap", [16, 40, packing.CHEAP])
+def test_nearest_are_exact_over_lists_of_any_length(spark, cheap):
+    """A line in most texts, passages in many, copies and near copies: the best six of every text, as brute force over all lists has them."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3_000)]
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    line, passages, base = some(12), [some(rng.randint(5, 20)) for _ in range(6)], some(60).split()
+    texts = [" ".join([some(rng.randint(0, 30)), *rng.sample(passages, rng.randint(0, 3)), *[line] * (rng.random() < 0.7) * rng.choice([1, 1, 2]), some(rng.randint(0, 30))]) for _ in range(200)]
+    for _ in range(60):
+        near = list(base)
+        near[rng.randrange(60)] = rng.choice(words)
+        texts.append(" ".join(near) + f" {line}" * (rng.random() < 0.5))
+    texts += [f"{some(40)} {line}"] * 25 + [line] * 20 + [some(9)] * 7 + [some(30) for _ in range(10)]
+    rng.shuffle(texts)
+    n, n_bytes = len(texts), sum(len(t) for t in texts)
+    held = saved(packing.indexed_containers(docs_of(spark, texts).repartition(5), 1, 2_000, None, 4, n_bytes / n, 4, 1.0), "test-index")
+    names = {packing.named(r["part"], r["seq"]) + i: d for r in held.where("kind = 0").collect() for i, d in enumerate(r["doc_ids"])}
+    pairs = saved(packing.scored_pairs(held.where("kind = 1"), n, shares=3, cheap=cheap), "test-pairs")
+    got = packing.nearest(pairs, shares=3, clusters=4, cheap=cheap).toPandas().sort_values(["id", "place"])
+    grams = [collections.Counter(tuple(w[i : i + 4]) for i in range(max(len(w) - 3, 1))) for w in (t.split() for t in texts)]
+    df = collections.Counter(g for own in grams for g in own)
+    assert max(df.values()) > 150
+    weight = [{g: np.log1p((n - df[g] + 0.5) / (df[g] + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(t) * n / n_bytes)) for g, k in own.items()} for own, t in zip(grams, texts, strict=True)]
+    score = lambda a, b: sum(weight[b].get(g, 0) for g in grams[a])
+    found = {names[name]: own for name, own in got.groupby("id")}
+    for d in range(n):
+        want = sorted((s for j in range(n) if j != d and (s := score(d, j)) > 0), reverse=True)[:6]
+        own = found[d] if d in found else got.iloc[:0]
+        assert np.allclose(own.score, want, rtol=1e-4) and np.allclose([score(d, names[x]) for x in own.near], want, rtol=1e-4)
+
+
 def test_long_lists_leave_no_document_out(spark):
     texts = [f"one line that all of them have {i} {i * 7} {i * 11}" for i in range(100)]
     held = saved(packing.indexed_containers(docs_of(spark, texts), 1, 300, None, 1, 30.0, 2, 1.0), "test-index")
