@@ -62,6 +62,18 @@ def test_worst_pages_equal_a_plain_search(spark):
     start.unpersist()
 
 
+def test_pages_are_analysed_once_for_all_changes(spark):
+    """One analysis gives the states of page and address changes alike; forms and links follow the new address."""
+    start = page_elements(spark.createDataFrame(MADE, "page_id long, url string, html string")).select("page_id", "url", "elements").withColumn("state", robustness.page_state(F.col("url"), F.col("elements")))
+    score = lambda df: df.withColumn("probability", F.length("text_length").cast("double") + F.size("form_actions") + F.length(F.array_join("form_actions", " ")))
+    found = robustness.next_states(start, score, tuple(robustness.URL_CHANGES), tuple(robustness.PAGE_CHANGES), "page_id", "url", None)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    moved = robustness.perturb_urls(start).withColumn("html_available", F.lit(True))
+    want = score(pages.page_features(moved.withColumn("state", robustness.page_state(F.col("url"), F.col("elements")))))
+    key = lambda df: sorted(map(str, df.select("page_id", "perturbation", "url", "state", "probability").collect()))
+    assert key(found.where(F.col("perturbation").isin(*robustness.URL_CHANGES))) == key(want)
+
+
 @pytest.mark.parametrize("kind", ["double", "int"])
 def test_thresholds_by_suffix_sums(spark, kind):
     rng = random.Random(5)

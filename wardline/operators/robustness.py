@@ -356,15 +356,23 @@ def changed_elements(names=tuple(PAGE_CHANGES)) -> Column:
 def next_states(front: DataFrame, score: Callable[[DataFrame], DataFrame], url_names, page_names, key: str, url_col: str, banks) -> DataFrame:
     """key, parent, perturbation, url, state, probability of every change of every page state (key, state, url, elements).
 
-    Pages are analysed once for all their page changes; states that leave less than a tenth of a page don't count.
+    Pages are analysed once for all their page and address changes; of what a new address can move only forms and
+    links are counted again. States that leave less than a tenth of a page don't count.
     """
     base = front.select(key, F.col("state").alias("parent"), url_col, F.lit(True).alias("html_available"), "elements")
     own = [x for n in page_names for x in (F.lit(n), page_state(F.col(url_col), PAGE_CHANGES[n](F.col("elements"))))]
-    paged = changed_page_features(base.withColumn("_states", F.create_map(*own)), page_names, url_col=url_col, banks=banks).where("valid")
-    paged = paged.withColumn("state", F.col("_states")[F.col("perturbation")]).drop("_states", "steps", "url_changed", "length_change", "valid")
-    moved = perturb_urls(base, url_names, url_col).withColumn("state", page_state(F.col(url_col), F.col("elements")))
-    moved = page_features(moved, url_col, banks).drop("elements")
-    return score(paged.unionByName(moved)).select(key, "parent", "perturbation", url_col, "state", "probability")
+    own += [x for n in url_names for x in (F.lit(n), page_state(URL_CHANGES[n](F.col(url_col)), F.col("elements")))]
+    by_address = {f"_own_{g}": F.filter("elements", PARTS_OF[g]) for g in ("forms", "links")}
+    rows = changed_page_features(base.withColumns({"_states": F.create_map(*own), **by_address}), page_names, clean=True, url_col=url_col, banks=banks).where("valid")
+    case = lambda n, u: F.struct(n.alias("n"), u.cast("string").alias("u"))
+    moved = F.filter(F.array(case(F.lit(CLEAN), F.lit(None)), *(case(F.lit(n), URL_CHANGES[n](F.col(url_col))) for n in url_names)), lambda x: x["u"].isNotNull())
+    rows = rows.withColumn("_c", F.explode(F.when(F.col("perturbation") == CLEAN, moved).otherwise(F.array(case(F.col("perturbation"), F.col(url_col))))))
+    rows = rows.withColumns({"perturbation": F.col("_c.n"), url_col: F.col("_c.u")})
+    page = F.coalesce(F.col(url_col), F.lit(""))
+    again = group_features("forms", F.col("_own_forms"), page) | group_features("links", F.col("_own_links"), page)
+    rows = rows.withColumns({c: F.when(F.col("perturbation").isin(*url_names), v).otherwise(F.col(c)) for c, v in again.items()})
+    rows = rows.withColumn("state", F.col("_states")[F.col("perturbation")]).drop("_states", "_c", *by_address, "steps", "url_changed", "length_change", "valid")
+    return score(rows).select(key, "parent", "perturbation", url_col, "state", "probability")
 
 
 def page_worst_cases(elements: DataFrame, score: Callable[[DataFrame], DataFrame], url_names=tuple(URL_CHANGES), page_names=tuple(PAGE_CHANGES), key: str = "sample_id", url_col: str = "url", banks=None, width: int = 3, depth: int = 3, budget: int = 50, target: float = 0.49) -> DataFrame:
